@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,12 @@ def spread(df: DataFrame) -> DataFrame:
     """df over at least two tasks a core, so that a few large input files do not idle the cluster."""
     n = df.sparkSession.sparkContext.defaultParallelism * 2
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+#: Rows of a stored table that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 250_000
+
+
+def join_stored(df: DataFrame, stored: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """df joined to a stored table of narrow rows, which is broadcast only if its counted rows are few."""
+    return df.join(F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored, on, how)
