@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomix.llm import lines, minhash, mixing, secrets, simhash, suffixes, toxicity
+from cytomix.llm import html, lines, minhash, mixing, secrets, simhash, suffixes, toxicity, vectors
 from cytomix.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), html.fit(spark)).select("page_id", "url", "text", "n_chars")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
 
@@ -43,7 +51,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op5_mixing, op6_simhash, op7_suffixes, op8_toxicity, op9_lines, op10_secrets)}
+    return {f.__name__: f for f in (op1_minhash, op2_vectors, op4_html, op5_mixing, op6_simhash, op7_suffixes, op8_toxicity, op9_lines, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -53,7 +53,7 @@ def learned(rows: DataFrame) -> dict[str, float]:
             for text, label in zip(batch["text"], batch["label"], strict=True):
                 counts[label].update({t for w in set(_WORD.findall((text or "").lower())) for t in terms(w)})
                 counts[label][""] += 1
-            for label in (0, 1):
+            for label in (label for label in (0, 1) if counts[label]):
                 yield pd.DataFrame({"term": list(counts[label]), "label": label, "n": list(counts[label].values())})
 
     totals = rows.mapInPandas(run, "term string, label int, n long").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
