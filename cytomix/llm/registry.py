@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomix.llm import html, lines, minhash, mixing, secrets, simhash, suffixes, toxicity, vectors
+from cytomix.llm import html, lines, minhash, mixing, pieces, secrets, simhash, suffixes, toxicity, vectors
 from cytomix.llm.common import table
 
 
@@ -19,6 +19,12 @@ def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.default_model(spark)
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return coded.select("doc_id", "n_ids", "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), html.fit(spark)).select("page_id", "url", "text", "n_chars")
 
@@ -51,7 +57,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_vectors, op4_html, op5_mixing, op6_simhash, op7_suffixes, op8_toxicity, op9_lines, op10_secrets)}
+    return {f.__name__: f for f in (op1_minhash, op2_vectors, op3_pieces, op4_html, op5_mixing, op6_simhash, op7_suffixes, op8_toxicity, op9_lines, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

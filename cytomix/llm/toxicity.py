@@ -28,6 +28,12 @@ STEMS = (4, 5, 6)
 # Second-person words of the four languages.
 SECOND_PERSON = "you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split()
 
+# Common English insults, known before any label is seen. All other terms are learned.
+SEEDS = "idiot idiots idiotic stupid moron moronic dumb dumbass fool jerk freak creep loser losers pathetic worthless useless disgusting scum trash garbage filth vermin clown pig ugly imbecile retard bastard bitch asshole hate kill".split()
+SEED_RATIO = 4.0
+#: Below so many training rows the calibration uses all of them, not only the part set aside.
+FEW_ROWS = 1000
+
 FEATURES = ("strong_density", "weak_density", "strong_any", "top_ratio", "distinct_strong", "near_second_person", "second_person_density", "capitals", "punctuation", "obfuscation", "log_words")
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -70,7 +76,7 @@ class Describer:
     """The dense features of texts under a lexicon; the ratio of a word is looked up once."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.known = lexicon, {}
+        self.lexicon, self.known = dict.fromkeys(SEEDS, SEED_RATIO) | lexicon, {}
 
     def ratio(self, word: str) -> float:
         found = self.known.get(word)
@@ -140,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             if len(batch):
                 yield pd.DataFrame({"label": batch["label"].astype(float), "p": forest.probability(np.stack(batch["features"].to_list()))})
 
-    calibration = materialize(table.where("part = 4").mapInPandas(raw, "label double, p double"), "toxic-calibration")
+    set_aside = table.where("part = 4") if n >= FEW_ROWS else table
+    calibration = materialize(set_aside.mapInPandas(raw, "label double, p double"), "toxic-calibration")
     if calibration.isEmpty():
         return Model(lexicon, forest, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     curve = IsotonicRegression(featuresCol="p", labelCol="label").fit(calibration)
