@@ -1,0 +1 @@
+"""Plans on expression tables."""

@@ -1,0 +1 @@
+"""Sources on expression tables."""

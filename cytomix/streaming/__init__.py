@@ -1,0 +1 @@
+"""No operator here reads a stream; expression tables are finite."""
