@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytomix.llm.common import materialize
@@ -110,31 +110,39 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: st
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "items": [shingles(t, width).view(np.int64) for t in batch["text"]]})
 
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "id", "left_semi")
     return wanted.mapInPandas(run, "id long, items array<long>")
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, heads: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. Samples and sizes rule out the rest first."""
+def _near(a: str, b: str, percent: int) -> Column:
+    """What samples and sizes of two structs allow. Two documents share r elements at most, the smaller r of the two (r: those of n that any
+    other candidate has), which bounds their similarity; samples far below the threshold rule a pair out too."""
+    far = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
+    common = F.least(f"{a}.r", f"{b}.r")
+    return (far <= FAR_BITS) & (100 * common >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - common))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
     for end in ("a", "b"):
-        pairs = pairs.join(heads.select(F.col("id").alias(end), F.col("n_shingles").alias(f"n{end}"), F.col("s1").alias(f"s1{end}"), F.col("s2").alias(f"s2{end}")), end)
-    pairs = materialize(
-        pairs.where((F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) + F.bit_count(F.col("s2a").bitwiseXOR(F.col("s2b"))) <= FAR_BITS) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb"),
-        "minhash-pairs",
-    )
-    sets = materialize(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width, id_col, text_col), "minhash-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("xa", "xb")))
-    return materialize(both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b").distinct(), "minhash-links")
+        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("items").alias(f"x{end}")), end)
+    pairs = pairs.withColumn("common", F.size(F.array_intersect("xa", "xb")))
+    return materialize(pairs.where(100 * F.col("common") >= percent * (F.size("xa") + F.size("xb") - F.col("common"))).select("a", "b").distinct(), "minhash-links")
+
+
+def _star(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's pivot p with the members m of other groups that may be near it."""
+    pairs = members.join(pivots, "key").where((F.col("p.g") != F.col("m.g")) & (F.col("p.id") != F.col("m.id")) & _near("p", "m", percent))
+    return materialize(pairs.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct(), "minhash-pairs")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of docs.
 
-    Documents with equal shingle sets form a class whose smallest id stands for it. Classes that
-    share a band are candidates; in each bucket the smallest id is first compared with all others, then
-    only members of different components with each other, so that a large group of copies costs rows in proportion to
-    its size. Links are confirmed on the full sets.
+    Documents with equal shingle sets form a class whose smallest id stands for it. Classes that share a band are candidates. In
+    each bucket all members are compared with a pivot first, the one with the most company in all its buckets, which in a group of copies is
+    the original; then members outside the pivot's group get a pivot of their own. What two rounds of union-find leave apart is compared in full, so
+    no candidate is lost, and a large group of copies costs rows in proportion to its size. Links are confirmed on the full sets.
 
     Null and empty texts (and those without words) have n_shingles 0 and link with nothing. A row with a null id takes
     its class's component (null if it has none) and is kept. Ids should be unique; repeated rows have one class and get the same answer. Other
@@ -142,29 +150,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     sig = materialize(sketches(docs, width, percent, id_col, text_col), "minhash-sig")
     classes = materialize(sig.where("id is not null and set_hash is not null").groupBy("set_hash").agg(F.min("id").alias("rep")), "minhash-classes")
-    heads = materialize(sig.join(classes.select("set_hash", F.col("rep").alias("id")), ["set_hash", "id"]).dropDuplicates(["id"]).select("id", "n_shingles", "s1", "s2", "bands"), "minhash-heads")
+    heads = sig.where("bands is not null").join(classes.select("set_hash", F.col("rep").alias("id")), ["set_hash", "id"]).dropDuplicates(["id"])
+    heads = materialize(heads.select("id", "bands", F.struct("id", F.col("n_shingles").alias("n"), "s1", "s2").alias("m")), "minhash-heads")
 
     entries = heads.select(F.explode("bands").alias("key"), "id")
-    buckets = materialize(entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").select("key", "a"), "minhash-buckets")
-    members = materialize(entries.join(buckets, "key").select("key", "a", F.col("id").alias("b")), "minhash-members")
-    sizes = heads.drop("bands")
-    links = _alike(docs, members.where("a <> b").select("a", "b").distinct(), sizes, width, percent, id_col, text_col)
-    groups = materialize(components(links), "minhash-groups")
-
-    # What a star has left apart: members of one bucket in different components.
-    placed = members.select("key", "b", "a").join(groups.select(F.col("node").alias("b"), F.col("component").alias("g")), "b", "left").withColumn("g", F.coalesce("g", "b"))
-    placed = materialize(placed.join(sizes.withColumnRenamed("id", "b"), "b"), "minhash-placed")
-    mixed = materialize(placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key"), "minhash-mixed")
-    rest = materialize(placed.join(mixed, "key", "left_semi").where("a <> b").select("key", "b", "g", "n_shingles", "s1", "s2"), "minhash-rest")
-    other = rest.select("key", *[F.col(c).alias(f"{c}_") for c in ("b", "g", "n_shingles", "s1", "s2")])
-    near = (F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_"))) <= FAR_BITS) & (100 * F.least("n_shingles", "n_shingles_") >= percent * F.greatest("n_shingles", "n_shingles_"))
-    left = rest.join(other, (rest["key"] == other["key"]) & (F.col("b") < F.col("b_")) & (F.col("g") != F.col("g_")) & near).select(F.col("b").alias("a"), F.col("b_").alias("b")).distinct()
-    left = materialize(left, "minhash-left")
-    if not left.isEmpty():
-        links = links.unionByName(_alike(docs, left, sizes, width, percent, id_col, text_col))
+    buckets = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "minhash-buckets")
+    members = materialize(entries.join(buckets, "key"), "minhash-entries")
+    company = materialize(members.groupBy("id").agg(F.sum("c").alias("w")), "minhash-company")
+    sets = materialize(_sets(docs, company.select("id"), width, id_col, text_col), "minhash-sets")
+    own = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    known = heads.select("id", "m").join(company, "id").join(materialize(own, "minhash-own"), "id", "left").withColumn("r", F.col("m.n") - F.coalesce("own", F.lit(0)))
+    known = materialize(known.where(100 * F.col("r") >= percent * F.col("m.n")).select("id", "w", F.struct("m.*", "r").alias("m")), "minhash-known")
+    members = materialize(members.select("key", "id").join(known, "id"), "minhash-members").select("key", F.struct("w", (-F.col("id")).alias("order"), "m.*").alias("m"))
+
+    links = groups = None
+    for last in (False, False, True):
+        if groups is None:
+            placed = members.withColumn("m", F.struct("m.*", F.col("m.id").alias("g")))
+        else:
+            placed = members.withColumn("node", F.col("m.id")).join(groups, "node", "left").select("key", F.struct("m.*", F.coalesce("component", "node").alias("g")).alias("m"))
+            mixed = placed.groupBy("key").agg(F.min("m.g").alias("lo"), F.max("m.g").alias("hi")).where("lo <> hi").select("key")
+            placed = materialize(placed.join(materialize(mixed, "minhash-mixed"), "key", "left_semi"), "minhash-mixed-members")
+        first = placed.groupBy("key").agg(F.max("m").alias("p"))
+        if groups is None:
+            pairs = _star(placed, materialize(first, "minhash-pivots"), percent)
+        elif not last:
+            others = placed.join(materialize(first.select("key", "p.g"), "minhash-first"), "key").where("m.g <> g")
+            pairs = _star(placed, materialize(others.groupBy("key").agg(F.max("m").alias("p")), "minhash-pivots"), percent)
+        else:
+            short = sets.select("id", F.transform("items", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("k"))
+            placed = materialize(placed.withColumn("id", F.col("m.id")).join(short, "id").select("key", F.struct("m.*", "k").alias("m")), "minhash-rest")
+            again = placed.select("key", F.col("m").alias("p"))
+            common = F.size(F.array_intersect("p.k", "m.k")) + 2  # two for elements whose short forms meet
+            enough = 100 * common >= percent * (F.col("p.n") + F.col("m.n") - common)
+            pairs = placed.join(again, "key").where((F.col("p.id") < F.col("m.id")) & (F.col("p.g") != F.col("m.g")) & _near("p", "m", percent) & enough)
+            pairs = materialize(pairs.select(F.col("p.id").alias("a"), F.col("m.id").alias("b")).distinct(), "minhash-pairs")
+        if pairs.isEmpty():
+            if groups is None or last:
+                break
+            continue
+        found = _linked(pairs, sets, percent)
+        links = found if links is None else links.unionByName(found)
         groups = materialize(components(links), "minhash-groups")
 
     out = sig.select("id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
-    out = out.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    if groups is None:
+        out = out.withColumn("component", F.col("rep"))
+    else:
+        out = out.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
