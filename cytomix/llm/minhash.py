@@ -10,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cytomix.llm.common import materialize
 from cytomix.llm.components import components
@@ -136,13 +137,34 @@ def _star(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct(), "minhash-pairs")
 
 
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members m of different groups that can still be similar, by exact prefix filtering.
+
+    Elements are ordered from rare to common. Two sets of the similarity share an element among the first few of both, and where the first
+    shared one stands bounds the overlap. In a group of copies the first elements are each copy's own changes, so its common wording pairs nothing.
+    """
+    rows = sets.join(members.select(F.col("m.id").alias("id")), "id", "left_semi").select("id", F.explode("items").alias("item"))
+    often = materialize(rows.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "minhash-often")
+    shared = materialize(rows.join(often, "item"), "minhash-shared")
+    by_id = Window.partitionBy("id")
+    shared = shared.withColumn("rank", F.row_number().over(by_id.orderBy("c", "item"))).withColumn("kept", F.count(F.lit(1)).over(by_id))
+    n = F.col("m.n")
+    first = shared.join(members.withColumn("id", F.col("m.id")), "id").withColumn("at", F.col("rank") + n - F.col("kept"))
+    first = materialize(first.where(F.col("at") <= n - F.ceil(percent * n / 100) + 1).select("item", "at", "m"), "minhash-prefix")
+    other = first.select("item", F.col("at").alias("at_"), F.col("m").alias("p"))
+    overlap = 1 + F.least(n - F.col("at"), F.col("p.n") - F.col("at_"))
+    enough = (100 + percent) * overlap >= percent * (n + F.col("p.n"))
+    pairs = first.join(other, "item").where((F.col("m.id") < F.col("p.id")) & (F.col("m.g") != F.col("p.g")) & enough & _near("m", "p", percent))
+    return pairs.select(F.col("m.id").alias("a"), F.col("p.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of docs.
 
     Documents with equal shingle sets form a class whose smallest id stands for it. Classes that share a band are candidates. In
     each bucket all members are compared with a pivot first, the one with the most company in all its buckets, which in a group of copies is
-    the original; then members outside the pivot's group get a pivot of their own. What two rounds of union-find leave apart is compared in full, so
-    no candidate is lost, and a large group of copies costs rows in proportion to its size. Links are confirmed on the full sets.
+    the original; then members outside the pivot's group get a pivot of their own. What two rounds of union-find leave apart is compared by exact prefix filtering,
+    so no candidate is lost, and a large group of copies costs rows in proportion to its size. Links are confirmed on the full sets.
 
     Null and empty texts (and those without words) have n_shingles 0 and link with nothing. A row with a null id takes
     its class's component (null if it has none) and is kept. Ids should be unique; repeated rows have one class and get the same answer. Other
@@ -178,13 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             others = placed.join(materialize(first.select("key", "p.g"), "minhash-first"), "key").where("m.g <> g")
             pairs = _star(placed, materialize(others.groupBy("key").agg(F.max("m").alias("p")), "minhash-pivots"), percent)
         else:
-            short = sets.select("id", F.transform("items", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("k"))
-            placed = materialize(placed.withColumn("id", F.col("m.id")).join(short, "id").select("key", F.struct("m.*", "k").alias("m")), "minhash-rest")
-            again = placed.select("key", F.col("m").alias("p"))
-            common = F.size(F.array_intersect("p.k", "m.k")) + 2  # two for elements whose short forms meet
-            enough = 100 * common >= percent * (F.col("p.n") + F.col("m.n") - common)
-            pairs = placed.join(again, "key").where((F.col("p.id") < F.col("m.id")) & (F.col("p.g") != F.col("m.g")) & _near("p", "m", percent) & enough)
-            pairs = materialize(pairs.select(F.col("p.id").alias("a"), F.col("m.id").alias("b")).distinct(), "minhash-pairs")
+            pairs = materialize(_prefix_pairs(placed.select("m").dropDuplicates(["m"]), sets, percent), "minhash-pairs")
         if pairs.isEmpty():
             if groups is None or last:
                 break
