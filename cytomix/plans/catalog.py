@@ -107,7 +107,7 @@ QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], str | None]] = {
     "hvg_centroids": (lambda i: i.sig().join(signature.top_variable(signature.dispersion(i.cells()), 20).select("gene"), "gene", "left_semi").select("gene", "celltype", _r("mu")), "SELECT gene, celltype, round(mu, 6) AS mu FROM sig WHERE gene IN (SELECT gene FROM disp ORDER BY disp_norm DESC NULLS LAST, gene LIMIT 20)"),
     "bland_altman_outliers": (lambda i: bulk.bland_altman(i.scaled(), i.cells()).select("gene", _r("sc_mean"), _r("bulk_mean", 5), _r("diff", 5), "outlier"), "SELECT gene, round(sc_mean, 6) AS sc_mean, round(bulk_mean, 5) AS bulk_mean, round(diff, 5) AS diff, outlier FROM outliers"),
     "signature_without_outliers": (lambda i: bulk.without(i.sig(), bulk.bland_altman(i.scaled(), i.cells()).where("outlier")).select("gene", "celltype", _r("mu")), "SELECT gene, celltype, round(mu, 6) AS mu FROM sig WHERE gene NOT IN (SELECT gene FROM outliers WHERE outlier)"),
-    "mean_density": (lambda i: signature.density(i.sig(), "mu").select("bin", _r("density")), "SELECT CAST(least(floor((mu - lo) / ((hi - lo) / 100)), 99) AS INTEGER) AS bin, round(count(*) / max(n) / max((hi - lo) / 100), 6) AS density FROM sig, (SELECT min(mu) AS lo, max(mu) AS hi, CAST(count(*) AS DOUBLE) AS n FROM sig) AS e GROUP BY 1"),
+    "mean_density": (lambda i: signature.density(i.sig(), "mu").select("bin", _r("density")), "SELECT CAST(least(floor((mu - lo) / ((hi - lo) / 100)), 99) AS INTEGER) AS bin, round(count(*) / max(total) / max((hi - lo) / 100), 6) AS density FROM sig, (SELECT min(mu) AS lo, max(mu) AS hi, CAST(count(*) AS DOUBLE) AS total FROM sig) AS e GROUP BY 1"),
     "marker_override": (lambda i: signature.flagged(i.sig(), i.markers()).groupBy("is_marker").agg(F.count("*").alias("n")), "SELECT gene % 3 = 0 AS is_marker, count(*) AS n FROM sig GROUP BY 1"),
     "marker_semi": (lambda i: i.scaled().join(i.markers(), "gene", "left_semi").select("gene", "sample", _r("expr", 5)), "SELECT gene, sample, round(expr, 5) AS expr FROM scaled WHERE gene IN (SELECT gene FROM sig WHERE gene % 3 = 0)"),
     "marker_anti": (lambda i: i.scaled().join(i.markers(), "gene", "left_anti").select("gene", "sample", _r("expr", 5)), "SELECT gene, sample, round(expr, 5) AS expr FROM scaled WHERE gene NOT IN (SELECT gene FROM sig WHERE gene % 3 = 0)"),
