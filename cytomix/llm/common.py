@@ -36,10 +36,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
-#: Rows of a stored table that may be broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 250_000
+#: Rows, and items in their arrays, of a stored table that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_ITEMS = 250_000, 8_000_000
 
 
-def join_stored(df: DataFrame, stored: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """df joined to a stored table of narrow rows, which is broadcast only if its counted rows are few."""
-    return df.join(F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored, on, how)
+def join_stored(df: DataFrame, stored: DataFrame, on: list[str], how: str = "inner", items: str | None = None) -> DataFrame:
+    """df joined to a stored table of narrow rows, which is broadcast only if its counted rows, and the items of the array column named, are few."""
+    size = stored.agg(F.count(F.lit(1)).alias("rows"), (F.sum(F.size(items)) if items else F.lit(0)).alias("items")).head()
+    few = size["rows"] <= BROADCAST_ROWS and (size["items"] or 0) <= BROADCAST_ITEMS
+    return df.join(F.broadcast(stored) if few else stored, on, how)

@@ -67,7 +67,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc
     known = recurring(lines, masked, min_docs)
     marks = join_stored(lines, known.select("leaf", "whole", "first"), ["leaf", "whole"]).where("key <> first")
     gone = materialize(marks.groupBy(F.col("key").alias("_key")).agg(F.collect_set("at").alias("_gone")), "lines-gone")
-    out = join_stored(work, gone, ["_key"], "left")
+    out = join_stored(work, gone, ["_key"], "left", items="_gone")
     parts = F.split(F.col(text_col), "\n")
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
     out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long"))

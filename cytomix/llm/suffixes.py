@@ -266,7 +266,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 rows += [(w["gram"], w["body"], w["n"], w["many"], data[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted]
             yield pd.DataFrame(rows, columns=["gram", "body", "n", "many", "data"])
 
-    found = join_stored(work.select("doc", "text"), asked, ["doc"]).mapInPandas(fetch, "gram long, body long, n int, many boolean, data binary")
+    found = join_stored(work.select("doc", "text"), asked, ["doc"], items="asked").mapInPandas(fetch, "gram long, body long, n int, many boolean, data binary")
     found = materialize(found.dropDuplicates(["gram", "body"]), "suffix-found")
     parts = max(docs.sparkSession.sparkContext.defaultParallelism * 2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     few = found.where("not many").repartition(parts, "gram").sortWithinPartitions("gram").select("gram", "body", "n", "data")
@@ -299,6 +299,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 rows.append((i, len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
             yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = join_stored(work, gone, ["doc"], "left").select("id", "text", "gone")
+    out = join_stored(work, gone, ["doc"], "left", items="gone").select("id", "text", "gone")
     kind = docs.schema[id_col].dataType.simpleString()
     return out.mapInPandas(finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
