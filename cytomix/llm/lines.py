@@ -20,8 +20,9 @@ VARIABLE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+|(?<!\S)[A-Za-z]{1,10}+://\S*+"
 
 def _masked(line: Column) -> Column:
     """The line's tokens, one space apart, variable fields replaced. Lines that have none, or only single spaces, skip the costlier expressions."""
-    line = F.when(line.rlike(r"[^\S ]|  |^ | $"), F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
-    return F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+    odd = line.rlike(r"[\t\x0B\f\r]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    line = F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
+    return F.when(line.rlike("[0-9@:]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -32,17 +33,19 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("key", "at", "m", F.xxhash64(tokens, F.substring_index("m", " ", DEPTH)).alias("leaf"), F.xxhash64("m").alias("whole"))
 
 
-def recurring(lines: DataFrame, masked: DataFrame, min_docs: int) -> DataFrame:
+def recurring(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
     """(leaf, whole, template, docs, first): the masked lines whose template occurs in enough documents, and the smallest key that has it.
 
-    lines has their places and hashes, masked their forms as well. A leaf holds the lines of one token count and leading tokens. Within it, a token that enough documents have at a place is
+    lines has the hashes of all lines; wording is read again from docs, for one document of each form in question. A leaf holds the lines of one token count and leading tokens. Within it, a token that enough documents have at a place is
     fixed, any other is a variable field; a line whose fixed tokens are at least SIMILAR of all belongs to the template that they and
     wildcards make. A leaf that too few documents reach cannot have a recurring template, and only the others are opened up.
     """
     seen = materialize(lines.select("key", "leaf", "whole").distinct().groupBy("leaf", "whole").agg(F.count(F.lit(1)).alias("docs"), F.min("key").alias("first")), "lines-forms")
     wide = materialize(seen.groupBy("leaf").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).select("leaf"), "lines-leaves")
-    texts = join_stored(masked, wide, ["leaf"], "left_semi").groupBy("leaf", "whole").agg(F.min("m").alias("t"))
-    opened = materialize(join_stored(seen, wide, ["leaf"], "left_semi").join(texts, ["leaf", "whole"]).withColumn("t", F.split("t", " ")), "lines-opened")
+    opened = materialize(join_stored(seen, wide, ["leaf"], "left_semi"), "lines-candidates")
+    first = materialize(opened.select(F.col("first").alias("key")).distinct(), "lines-first")
+    texts = _occurrences(join_stored(docs, first, ["key"], "left_semi")).groupBy("leaf", "whole").agg(F.min("m").alias("t"))
+    opened = materialize(opened.join(texts, ["leaf", "whole"]).withColumn("t", F.split("t", " ")), "lines-opened")
     tokens = opened.select("leaf", "whole", "docs", F.posexplode("t").alias("i", "token"))
     fixed = materialize(tokens.groupBy("leaf", "i", "token").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).select("leaf", "i", "token"), "lines-fixed")
     kept = tokens.join(fixed, ["leaf", "i", "token"]).groupBy("leaf", "whole").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("f"))
@@ -62,9 +65,9 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc
     """
     id_key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     work = docs.withColumn("_key", F.struct(id_key.alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text")))
-    masked = _occurrences(work.select(F.col("_key").alias("key"), F.col(text_col).alias("text")).where("text is not null"))
-    lines = materialize(masked.select("key", "at", "leaf", "whole"), "lines-places")
-    known = recurring(lines, masked, min_docs)
+    texts = work.select(F.col("_key").alias("key"), F.col(text_col).alias("text")).where("text is not null")
+    lines = materialize(_occurrences(texts).drop("m"), "lines-places")
+    known = recurring(lines, texts, min_docs)
     marks = join_stored(lines, known.select("leaf", "whole", "first"), ["leaf", "whole"]).where("key <> first")
     gone = materialize(marks.groupBy(F.col("key").alias("_key")).agg(F.collect_set("at").alias("_gone")), "lines-gone")
     out = join_stored(work, gone, ["_key"], "left", items="_gone")
