@@ -187,7 +187,7 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
     """As _sorted_chunks, for grams with so many passages that one task should not sort them: strings are counted by hash, of 128 bits with the gram's.
 
     Strings of a passage at BLOCK neighbouring distances from the gram form a block. Its core, the bytes that any of them holds, must occur twice for any
-    to repeat; if the whole block occurs twice, all do. Only the strings of other blocks, at the edge of what passages share, are counted one by one, along with those of
+    to repeat; if the block occurs twice with the same strings, all do. Only the strings of other blocks, at the edge of what passages share, are counted one by one, along with those of
     one block of each kind that repeats.
     """
 
@@ -204,21 +204,21 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (part[1:] != part[:-1]))))
                 last = np.append(first[1:], n) - 1
                 core = cores[at[first] - part[first] * BLOCK]
-                whole = _mix(marks[first] * _C[5] + marks[last])
+                whole = _mix(_mix(marks[first] * _C[5] + marks[last]) + (last - first).astype(np.uint64))
                 for f, g, p, c, w in zip(first.tolist(), last.tolist(), part[first].tolist(), core.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True):
-                    out.append((gram, body, f, p, c, w if g - f + 1 == BLOCK else None, marks[f : g + 1].view(np.int64)))
-            yield pd.DataFrame(out, columns=["gram", "body", "at", "part", "core", "whole", "marks"]).astype({"whole": "Int64"})
+                    out.append((gram, body, f, p, c, w, marks[f : g + 1].view(np.int64)))
+            yield pd.DataFrame(out, columns=["gram", "body", "at", "part", "core", "whole", "marks"])
 
     blocks = materialize(rows.mapInPandas(run, "gram long, body long, at int, part int, core long, whole long, marks array<long>"), "suffix-blocks")
     seen = F.count(F.lit(1)).over(Window.partitionBy("gram", "part", "core"))
     blocks = blocks.withColumn("seen", seen).where("seen > 1")
     all_seen = F.count("whole").over(Window.partitionBy("gram", "part", "whole"))
     nth = F.row_number().over(Window.partitionBy("gram", "part", "whole").orderBy("body", "at"))
-    blocks = blocks.withColumn("nth", nth).withColumn("all", F.when(F.col("whole").isNotNull(), all_seen > 1).otherwise(False))
+    blocks = blocks.withColumn("nth", nth).withColumn("all", all_seen > 1)
     blocks = materialize(blocks, "suffix-shared")
     strings = blocks.where("not all or nth = 1").select("gram", "body", "at", F.posexplode("marks").alias("i", "mark"))
     strings = strings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("gram", "mark"))).where("c > 1")
-    spans = blocks.where("all").select("gram", "body", F.struct(F.col("at").alias("from"), (F.col("at") + BLOCK).alias("to")).alias("s"))
+    spans = blocks.where("all").select("gram", "body", F.struct(F.col("at").alias("from"), (F.col("at") + F.size("marks")).alias("to")).alias("s"))
     spans = spans.unionByName(strings.select("gram", "body", F.struct((F.col("at") + F.col("i")).alias("from"), (F.col("at") + F.col("i") + 1).alias("to")).alias("s")))
     return spans.groupBy("gram", "body").agg(F.collect_list("s").alias("spans"))
 
