@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -245,22 +246,33 @@ class Lattice:
         return ids, np.diff(edge)
 
 
-def decode_ids(ids: list[int], v: Vocabulary) -> str:
-    """The text of ids: pieces joined, runs of byte pieces read as UTF-8, spaces restored, the one put in front removed."""
-    out, run = [], bytearray()
-    value = {i: b for b, i in enumerate(v.bytes) if i != v.unknown}
-    for i in ids:
-        b = value.get(i)
-        if b is not None:
-            run.append(b)
-            continue
-        if run:
+class Decoder:
+    """Text of ids: pieces joined, byte pieces read as UTF-8, spaces restored, the one put in front removed."""
+
+    def __init__(self, v: Vocabulary):
+        self.byte = {i: b for b, i in enumerate(v.bytes) if i != v.unknown}
+        #: Bytes under 128 are characters of their own; only others need their neighbours.
+        self.text = [chr(self.byte[i]) if self.byte.get(i, 128) < 128 else t for i, t in enumerate(v.text)]
+        self.part = np.zeros(len(v.text), bool)
+        self.part[[i for i, b in self.byte.items() if b > 127]] = True
+
+    def __call__(self, ids: np.ndarray) -> str:
+        if self.part[ids].any():
+            out, run = [], bytearray()
+            for i in ids.tolist():
+                b = self.byte.get(i)
+                if b is not None:
+                    run.append(b)
+                    continue
+                if run:
+                    out.append(run.decode("utf-8", "replace"))
+                    run = bytearray()
+                out.append(self.text[i])
             out.append(run.decode("utf-8", "replace"))
-            run = bytearray()
-        out.append(v.text[i])
-    out.append(run.decode("utf-8", "replace"))
-    text = "".join(out).replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
+        else:
+            out = map(self.text.__getitem__, ids.tolist())
+        text = "".join(out).replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
 
 
 def encode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
@@ -291,9 +303,11 @@ def decode(rows: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
     """rows with a column decoded: the text of ids_col, null where that is null. A column of that name is replaced."""
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
 
-    @F.udf("string", useArrow=True)
-    def text(ids: list[int] | None) -> str | None:
-        return None if ids is None else decode_ids(ids, shared.value)
+    @F.pandas_udf("string")
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decoder = Decoder(shared.value)
+        for batch in batches:
+            yield pd.Series([None if ids is None else decoder(np.asarray(ids, np.int64)) for ids in batch], dtype=object)
 
     return rows.withColumn("decoded", text(F.col(ids_col)))
 
