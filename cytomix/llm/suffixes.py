@@ -188,12 +188,12 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
 
     Strings of a passage at BLOCK neighbouring distances from the gram form a block. Its core, the bytes that any of them holds, must occur twice for any
     to repeat; if the block occurs twice with the same strings, all do. Only the strings of other blocks, at the edge of what passages share, are counted one by one, along with those of
-    one block of each kind that repeats.
+    one block of each kind that repeats. Equal blocks of a batch travel as one row.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out: dict[tuple, tuple[np.ndarray, list, list]] = {}
             for gram, body, n, data in zip(batch["gram"], batch["body"], batch["n"], batch["data"], strict=True):
                 b = np.frombuffer(data, np.uint8)
                 places = np.flatnonzero(_gram_hashes(b, GRAM).view(np.int64) == gram)
@@ -206,19 +206,20 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
                 core = cores[at[first] - part[first] * BLOCK]
                 whole = _mix(_mix(marks[first] * _C[5] + marks[last]) + (last - first).astype(np.uint64))
                 for f, g, p, c, w in zip(first.tolist(), last.tolist(), part[first].tolist(), core.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True):
-                    out.append((gram, body, f, p, c, w, marks[f : g + 1].view(np.int64)))
-            yield pd.DataFrame(out, columns=["gram", "body", "at", "part", "core", "whole", "marks"])
-
-    blocks = materialize(rows.mapInPandas(run, "gram long, body long, at int, part int, core long, whole long, marks array<long>"), "suffix-blocks")
-    seen = F.count(F.lit(1)).over(Window.partitionBy("gram", "part", "core"))
-    blocks = blocks.withColumn("seen", seen).where("seen > 1")
-    all_seen = F.count("whole").over(Window.partitionBy("gram", "part", "whole"))
-    nth = F.row_number().over(Window.partitionBy("gram", "part", "whole").orderBy("body", "at"))
-    blocks = blocks.withColumn("nth", nth).withColumn("all", all_seen > 1)
+                    kind = out.setdefault((gram, p, c, w), (marks[f : g + 1].view(np.int64), [], []))
+                    kind[1].append(body)
+                    kind[2].append(f)
+            yield pd.DataFrame([(*k, *v, len(v[1])) for k, v in out.items()], columns=["gram", "part", "core", "whole", "marks", "bodies", "ats", "c"])
+
+    blocks = materialize(rows.mapInPandas(run, "gram long, part int, core long, whole long, marks array<long>, bodies array<long>, ats array<int>, c long"), "suffix-blocks")
+    blocks = blocks.withColumn("seen", F.sum("c").over(Window.partitionBy("gram", "part", "core"))).where("seen > 1")
+    one = Window.partitionBy("gram", "part", "whole")
+    blocks = blocks.withColumn("all", F.sum("c").over(one) > 1).withColumn("nth", F.row_number().over(one.orderBy("core")))
     blocks = materialize(blocks, "suffix-shared")
-    strings = blocks.where("not all or nth = 1").select("gram", "body", "at", F.posexplode("marks").alias("i", "mark"))
-    strings = strings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("gram", "mark"))).where("c > 1")
-    spans = blocks.where("all").select("gram", "body", F.struct(F.col("at").alias("from"), (F.col("at") + F.size("marks")).alias("to")).alias("s"))
+    strings = blocks.where("not all or nth = 1").select("gram", F.get("bodies", F.lit(0)).alias("body"), F.get("ats", F.lit(0)).alias("at"), F.posexplode("marks").alias("i", "mark"))
+    strings = strings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram", "mark"))).where("n > 1")
+    places = blocks.where("all").select("gram", F.size("marks").alias("k"), F.inline(F.arrays_zip("bodies", "ats")))
+    spans = places.select("gram", F.col("bodies").alias("body"), F.struct(F.col("ats").alias("from"), (F.col("ats") + F.col("k")).alias("to")).alias("s"))
     spans = spans.unionByName(strings.select("gram", "body", F.struct((F.col("at") + F.col("i")).alias("from"), (F.col("at") + F.col("i") + 1).alias("to")).alias("s")))
     return spans.groupBy("gram", "body").agg(F.collect_list("s").alias("spans"))
 
