@@ -221,7 +221,9 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
     places = blocks.where("all").select("gram", F.size("marks").alias("k"), F.inline(F.arrays_zip("bodies", "ats")))
     spans = places.select("gram", F.col("bodies").alias("body"), F.struct(F.col("ats").alias("from"), (F.col("ats") + F.col("k")).alias("to")).alias("s"))
     spans = spans.unionByName(strings.select("gram", "body", F.struct((F.col("at") + F.col("i")).alias("from"), (F.col("at") + F.col("i") + 1).alias("to")).alias("s")))
-    return spans.groupBy("gram", "body").agg(F.collect_list("s").alias("spans"))
+    merged = """aggregate(sort_array(collect_list(s)), cast(array() as array<struct<from:int,to:int>>), (a, x) -> if(get(a, size(a) - 1).to >= x.from,
+        concat(slice(a, 1, size(a) - 1), array(named_struct('from', get(a, size(a) - 1).from, 'to', greatest(get(a, size(a) - 1).to, x.to)))), concat(a, array(named_struct('from', x.from, 'to', x.to)))))"""
+    return spans.groupBy("gram", "body").agg(F.expr(merged).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
