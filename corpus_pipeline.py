@@ -19,8 +19,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the lines whose template recurs; n_chars follows the text."""
-    return lines.drop_recurring(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, less the lines whose template recurs; n_chars follows the text. Near copies keep what only they share: the next stage finds them by it."""
+    copies = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("id"), F.col("component_id").alias("group"))
+    copies = materialize(copies.distinct(), "pipeline-groups")
+    return lines.drop_recurring(docs, copies=copies).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ DEPTH = 3
 MIN_DOCS = 5
 #: Least share of a line's tokens that its template must fix.
 SIMILAR = 0.6
+#: Words beyond which a line is a passage, which recurs from its second document on, and the least share of tokens that passages of one wording have in common.
+PASSAGE, NEAR = 50, 0.9
 
 #: Fields that vary by their form: words with a digit or an at sign, and links. Possessive, so that long words take linear time.
 VARIABLE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+|(?<!\S)[A-Za-z]{1,10}+://\S*+"
@@ -26,22 +28,42 @@ def _masked(line: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """One row for each line with words: its document's key, place, masked form m, leaf of the tree and hash of the masked form."""
+    """One row for each line with words: its document's key, place, masked form m, leaf of the tree, hash of the masked form, and whether it is a passage."""
     lines = docs.select("key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.select("key", "at", F.explode(F.array(_masked(F.col("line")))).alias("m")).where("m <> ''")
     tokens = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit("")))
-    return lines.select("key", "at", "m", F.xxhash64(tokens, F.substring_index("m", " ", DEPTH)).alias("leaf"), F.xxhash64("m").alias("whole"))
+    variable = F.when(F.col("m").contains("<*>"), (F.length("m") - F.length(F.replace("m", F.lit("<*>"), F.lit("")))) / 3).otherwise(0)
+    return lines.select("key", "at", "m", F.xxhash64(tokens, F.substring_index("m", " ", DEPTH)).alias("leaf"), F.xxhash64("m").alias("whole"), (tokens + 1 - variable > PASSAGE).alias("passage"))
+
+
+def led(rows: DataFrame, share: float) -> DataFrame:
+    """(leaf, id, to) from rows (leaf, id, docs, f): within a leaf, the first row, by falling docs, that has at least this share of f in common; itself where none has."""
+    lists = rows.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("docs")).alias("d"), "id", "f"))).alias("rows"))
+
+    def alike(a: Column, b: Column) -> Column:
+        return (a["id"] == b["id"]) | (F.size(F.array_intersect(a["f"], b["f"])) >= share * F.greatest(F.size(a["f"]), F.size(b["f"])))
+
+    def lead(found: Column, x: Column) -> Column:
+        return F.when(F.exists(found, lambda y: alike(x, y)), found).otherwise(F.concat(found, F.array(x)))
+
+    lists = lists.select("leaf", "rows", F.aggregate("rows", F.slice("rows", 1, 1), lead).alias("leads"))
+    moves = F.transform("rows", lambda x: F.struct(x["id"].alias("id"), F.element_at(F.filter("leads", lambda y: alike(x, y)), 1)["id"].alias("to")))
+    return lists.select("leaf", F.explode(moves).alias("t")).select("leaf", "t.*")
 
 
 def recurring(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
-    """(leaf, whole, template, docs, first): the masked lines whose template occurs in enough documents, and the smallest key that has it.
+    """(leaf, whole, first, often): the masked lines that recur, and the smallest key that has their template.
+
+    A line recurs often if its template occurs in min_docs documents; other passages recur from two documents on, as near-equal wording.
 
     lines has the hashes of all lines; wording is read again from docs, for one document of each form in question. A leaf holds the lines of one token count and leading tokens. Within it, a token that enough documents have at a place is
     fixed, any other is a variable field; a line whose fixed tokens are at least SIMILAR of all belongs to the template that they and
     wildcards make. A leaf that too few documents reach cannot have a recurring template, and only the others are opened up.
     """
-    seen = materialize(lines.select("key", "leaf", "whole").distinct().groupBy("leaf", "whole").agg(F.count(F.lit(1)).alias("docs"), F.min("key").alias("first")), "lines-forms")
-    wide = materialize(seen.groupBy("leaf").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).select("leaf"), "lines-leaves")
+    seen = lines.select("key", "leaf", "whole", "passage").distinct().groupBy("leaf", "whole").agg(F.count(F.lit(1)).alias("docs"), F.min("key").alias("first"), F.max("passage").alias("passage"))
+    seen = materialize(seen, "lines-forms")
+    wide = seen.groupBy("leaf").agg(F.sum("docs").alias("all"), F.max("passage").alias("any")).where((F.col("all") >= min_docs) | (F.col("any") & (F.col("all") >= 2)))
+    wide = materialize(wide.select("leaf"), "lines-leaves")
     opened = materialize(join_stored(seen, wide, ["leaf"], "left_semi"), "lines-candidates")
     first = materialize(opened.select(F.col("first").alias("key")).distinct(), "lines-first")
     texts = _occurrences(join_stored(docs, first, ["key"], "left_semi")).groupBy("leaf", "whole").agg(F.min("m").alias("t"))
@@ -52,14 +74,22 @@ def recurring(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
     shaped = opened.join(kept, ["leaf", "whole"]).where(F.size("f") >= SIMILAR * F.size("t")).select("leaf", "whole", "docs", "first", F.xxhash64("leaf", "f").alias("template"))
     shaped = materialize(shaped, "lines-shaped")
     often = materialize(shaped.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs), "lines-often")
-    return materialize(shaped.select("leaf", "whole", "template").join(often, "template"), "lines-recurring")
+    often = materialize(shaped.select("leaf", "whole", "template").join(often, "template").select("leaf", "whole", "first", F.lit(True).alias("often")), "lines-recurring")
+    rest = opened.where("passage").join(often, ["leaf", "whole"], "left_anti").withColumnRenamed("whole", "id")
+    rest = materialize(rest.select("leaf", "id", "docs", "first", F.transform("t", lambda x, i: F.xxhash64(i, x)).alias("f")), "lines-passages")
+    moved = materialize(rest.join(led(rest, NEAR), ["leaf", "id"]).select("leaf", "id", "to", "docs", "first"), "lines-moved")
+    heads = moved.groupBy("leaf", "to").agg(F.sum("docs").alias("all"), F.min("first").alias("first")).where("all >= 2")
+    twice = moved.select("leaf", "to", F.col("id").alias("whole")).join(heads, ["leaf", "to"]).select("leaf", "whole", "first", F.lit(False).alias("often"))
+    return materialize(often.unionByName(twice), "lines-known")
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", copies: DataFrame | None = None) -> DataFrame:
     """docs without the lines whose template recurs, with columns n_lines and n_dropped (long) added.
 
     A recurring template stays in one document, the one with the smallest id, so that no wording is lost altogether. Lines that differ
-    only in variable fields share a template. Blank lines stay. A null text stays null with no lines; a text whose lines all go becomes
+    only in variable fields share a template. A passage, a line of over PASSAGE words, recurs from its second document on; copies (id, group) may name
+    documents that are copies as wholes, and a passage in fewer than min_docs documents then stays in those of the same group as the one that keeps it, so that they can
+    still be found to be copies. Blank lines stay. A null text stays null with no lines; a text whose lines all go becomes
     empty, and its row stays. Rows with one id and text are one document and get the same answer. All other columns of docs stay;
     own columns named n_lines or n_dropped are replaced.
     """
@@ -68,7 +98,13 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc
     texts = work.select(F.col("_key").alias("key"), F.col(text_col).alias("text")).where("text is not null")
     lines = materialize(_occurrences(texts).drop("m"), "lines-places")
     known = recurring(lines, texts, min_docs)
-    marks = join_stored(lines, known.select("leaf", "whole", "first"), ["leaf", "whole"]).where("key <> first")
+    marks = join_stored(lines, known, ["leaf", "whole"]).where("key <> first")
+    if copies is not None:
+        of = [materialize(copies.select(F.col("id").alias(f"{c}_id"), F.col("group").alias(f"{c}_group")), "lines-copies") for c in ("key", "first")]
+        marks = marks.withColumns({f"{c}_id": F.col(f"{c}.id") for c in ("key", "first")})
+        for c, group in zip(("key", "first"), of, strict=True):
+            marks = join_stored(marks, group, [f"{c}_id"], "left")
+        marks = marks.where(F.col("often") | (F.coalesce("key_group", "key_id") != F.coalesce("first_group", "first_id")))
     gone = materialize(marks.groupBy(F.col("key").alias("_key")).agg(F.collect_set("at").alias("_gone")), "lines-gone")
     out = join_stored(work, gone, ["_key"], "left", items="_gone")
     parts = F.split(F.col(text_col), "\n")

@@ -50,3 +50,16 @@ def test_edges(spark):
     assert drop_recurring(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = drop_recurring(spark.createDataFrame([(None, "a b")] * 3, "doc_id long, text string"), 2)
     assert [(r.text, r.n_dropped) for r in got.collect()] == [("a b", 0)] * 3
+
+
+def test_passages_recur_from_two_documents(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    passage, near = " ".join(words), " ".join([*words[:30], "changed", *words[31:]])
+    far = " ".join([*words[:30], *(f"other{w}" for w in words[30:])])
+    rows = [(1, f"one\n{passage}"), (2, f"two\n{passage}\nmore"), (3, f"three\n{near}"), (4, f"four\n{far}"), (5, "short line of few words"), (6, "short line of few words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in drop_recurring(docs, 5).collect()}
+    assert got == dict(rows) | {2: "two\nmore", 3: "three"}
+    copies = spark.createDataFrame([(2, 1)], "id long, group long")
+    got = {r.doc_id: r.text for r in drop_recurring(docs, 5, copies=copies).collect()}
+    assert got == dict(rows) | {3: "three"}
