@@ -37,11 +37,11 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def led(rows: DataFrame, share: float) -> DataFrame:
-    """(leaf, id, to) from rows (leaf, id, docs, f): within a leaf, the first row, by falling docs, that has at least this share of f in common; itself where none has."""
-    lists = rows.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("docs")).alias("d"), "id", "f"))).alias("rows"))
+    """(leaf, id, to) from rows (leaf, id, docs, of, f): within a leaf, the first row, by falling docs, that has at least this share of the leaf's of tokens in common in f; itself where none has."""
+    lists = rows.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("docs")).alias("d"), "id", "of", "f"))).alias("rows"))
 
     def alike(a: Column, b: Column) -> Column:
-        return (a["id"] == b["id"]) | (F.size(F.array_intersect(a["f"], b["f"])) >= share * F.greatest(F.size(a["f"]), F.size(b["f"])))
+        return (a["id"] == b["id"]) | (F.size(F.array_intersect(a["f"], b["f"])) >= share * a["of"])
 
     def lead(found: Column, x: Column) -> Column:
         return F.when(F.exists(found, lambda y: alike(x, y)), found).otherwise(F.concat(found, F.array(x)))
@@ -58,7 +58,8 @@ def recurring(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
 
     lines has the hashes of all lines; wording is read again from docs, for one document of each form in question. A leaf holds the lines of one token count and leading tokens. Within it, a token that enough documents have at a place is
     fixed, any other is a variable field; a line whose fixed tokens are at least SIMILAR of all belongs to the template that they and
-    wildcards make. A leaf that too few documents reach cannot have a recurring template, and only the others are opened up.
+    wildcards make. A template that too few documents have is attached to the one of its leaf that recurs and has most tokens in common with it,
+    at least SIMILAR of all, or else to another such template, and documents are counted after that. A leaf that too few documents reach cannot have a recurring template, and only the others are opened up.
     """
     seen = lines.select("key", "leaf", "whole", "passage").distinct().groupBy("leaf", "whole").agg(F.count(F.lit(1)).alias("docs"), F.min("key").alias("first"), F.max("passage").alias("passage"))
     seen = materialize(seen, "lines-forms")
@@ -71,12 +72,24 @@ def recurring(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
     tokens = opened.select("leaf", "whole", "docs", F.posexplode("t").alias("i", "token"))
     fixed = materialize(tokens.groupBy("leaf", "i", "token").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).select("leaf", "i", "token"), "lines-fixed")
     kept = tokens.join(fixed, ["leaf", "i", "token"]).groupBy("leaf", "whole").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("f"))
-    shaped = opened.join(kept, ["leaf", "whole"]).where(F.size("f") >= SIMILAR * F.size("t")).select("leaf", "whole", "docs", "first", F.xxhash64("leaf", "f").alias("template"))
+    hashes = F.transform("f", lambda x: F.xxhash64("leaf", x))
+    shaped = opened.join(kept, ["leaf", "whole"]).where(F.size("f") >= SIMILAR * F.size("t")).select("leaf", "whole", "docs", "first", F.size("t").alias("n"), hashes.alias("f"), F.xxhash64("leaf", "f").alias("id"))
     shaped = materialize(shaped, "lines-shaped")
-    often = materialize(shaped.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs), "lines-often")
-    often = materialize(shaped.select("leaf", "whole", "template").join(often, "template").select("leaf", "whole", "first", F.lit(True).alias("often")), "lines-recurring")
+    groups = shaped.groupBy("leaf", "id", "n").agg(F.sum("docs").alias("docs"), F.first("f").alias("f"))
+    groups = materialize(groups, "lines-templates")
+    own, loose = groups.where(F.col("docs") >= min_docs), groups.where(F.col("docs") < min_docs)
+    shared = F.size(F.array_intersect("f", "to_f"))
+    near = loose.join(own.select("leaf", F.col("id").alias("to"), F.col("docs").alias("to_docs"), F.col("f").alias("to_f")), "leaf").withColumn("shared", shared).where(F.col("shared") >= SIMILAR * F.col("n"))
+    near = materialize(near.groupBy("leaf", "id").agg(F.max(F.struct("shared", "to_docs", "to")).alias("b")).select("leaf", "id", "b.to"), "lines-near")
+    loose = loose.join(near, ["leaf", "id"], "left_anti")
+    enough = loose.groupBy("leaf").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).select("leaf")
+    loose = materialize(loose.join(enough, "leaf", "left_semi"), "lines-loose")
+    moved = own.select("leaf", "id", F.col("id").alias("to")).unionByName(near).unionByName(led(loose.withColumn("of", F.col("n")), SIMILAR))
+    shaped = materialize(shaped.join(materialize(moved, "lines-attached"), ["leaf", "id"]).select("leaf", "whole", "docs", "first", "to"), "lines-placed")
+    often = materialize(shaped.groupBy("leaf", "to").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs).select("leaf", "to", "first"), "lines-often")
+    often = materialize(shaped.select("leaf", "whole", "to").join(often, ["leaf", "to"]).select("leaf", "whole", "first", F.lit(True).alias("often")), "lines-recurring")
     rest = opened.where("passage").join(often, ["leaf", "whole"], "left_anti").withColumnRenamed("whole", "id")
-    rest = materialize(rest.select("leaf", "id", "docs", "first", F.transform("t", lambda x, i: F.xxhash64(i, x)).alias("f")), "lines-passages")
+    rest = materialize(rest.select("leaf", "id", "docs", "first", F.size("t").alias("of"), F.transform("t", lambda x, i: F.xxhash64(i, x)).alias("f")), "lines-passages")
     moved = materialize(rest.join(led(rest, NEAR), ["leaf", "id"]).select("leaf", "id", "to", "docs", "first"), "lines-moved")
     heads = moved.groupBy("leaf", "to").agg(F.sum("docs").alias("all"), F.min("first").alias("first")).where("all >= 2")
     twice = moved.select("leaf", "to", F.col("id").alias("whole")).join(heads, ["leaf", "to"]).select("leaf", "whole", "first", F.lit(False).alias("often"))

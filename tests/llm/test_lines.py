@@ -63,3 +63,13 @@ def test_passages_recur_from_two_documents(spark):
     copies = spark.createDataFrame([(2, 1)], "id long, group long")
     got = {r.doc_id: r.text for r in drop_recurring(docs, 5, copies=copies).collect()}
     assert got == dict(rows) | {3: "three"}
+
+
+def test_lines_are_attached_to_the_nearest_template(spark):
+    # ids 7 and 8 change a word that others fix; in the second leaf, each value is common but no combination is
+    rows = [(i, f"own{chr(97 + i)}\nread the terms of use on our site before you post") for i in range(6)]
+    rows += [(7, "read the terms of use on our page before you post"), (8, "read the terms of those on our site before you post")]
+    names, places = "Ann Bob Cem Dee Eva".split(), "Rome Oslo Bern Kiev Lima".split()
+    rows += [(20 + 5 * i + j, f"we hope that you meet {a} soon in {b} as was planned before") for i, a in enumerate(names) for j, b in enumerate(places)]
+    got = {r.doc_id: r.n_dropped for r in drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == {i: int(i not in (0, 20)) for i, _ in rows}
