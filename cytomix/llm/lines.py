@@ -15,25 +15,39 @@ MIN_DOCS = 5
 SIMILAR = 0.6
 #: Words beyond which a line is a passage, which recurs from its second document on, and the least share of tokens that passages of one wording have in common.
 PASSAGE, NEAR = 50, 0.9
+#: Least share of a line's tokens that are words, not variable fields; a line of fewer recurs only as it stands.
+WORDS = 0.5
 
 #: Fields that vary by their form: words with a digit or an at sign, and links. Possessive, so that long words take linear time.
 VARIABLE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+|(?<!\S)[A-Za-z]{1,10}+://\S*+"
 
 
-def _masked(line: Column) -> Column:
-    """The line's tokens, one space apart, variable fields replaced. Lines that have none, or only single spaces, skip the costlier expressions."""
+def _spaced(line: Column) -> Column:
+    """The line's tokens, one space apart. Lines that have only single spaces skip the costlier expressions."""
     odd = line.rlike(r"[\t\x0B\f\r]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
-    line = F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
+    return F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
+
+
+def _masked(line: Column) -> Column:
+    """A spaced line with its variable fields replaced."""
     return F.when(line.rlike("[0-9@:]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """One row for each line with words: its document's key, place, masked form m, leaf of the tree, hash of the masked form, and whether it is a passage."""
+    """One row for each line with words: its document's key, place, masked form m, leaf of the tree, hash of m, and whether it is a passage.
+
+    A line of mostly variable fields has no wording to be told by: it is its own form, and alone in its leaf.
+    """
     lines = docs.select("key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select("key", "at", F.explode(F.array(_masked(F.col("line")))).alias("m")).where("m <> ''")
+    lines = lines.select("key", "at", F.explode(F.array(_spaced(F.col("line")))).alias("line")).where("line <> ''")
+    lines = lines.select("key", "at", "line", F.explode(F.array(_masked(F.col("line")))).alias("m"))
     tokens = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit("")))
     variable = F.when(F.col("m").contains("<*>"), (F.length("m") - F.length(F.replace("m", F.lit("<*>"), F.lit("")))) / 3).otherwise(0)
-    return lines.select("key", "at", "m", F.xxhash64(tokens, F.substring_index("m", " ", DEPTH)).alias("leaf"), F.xxhash64("m").alias("whole"), (tokens + 1 - variable > PASSAGE).alias("passage"))
+    words = tokens + 1 - variable
+    told = words >= WORDS * (tokens + 1)
+    m = F.when(told, F.col("m")).otherwise(F.col("line"))
+    leaf = F.when(told, F.xxhash64(tokens, F.substring_index("m", " ", DEPTH))).otherwise(F.xxhash64(tokens, "line", F.lit(1)))
+    return lines.select("key", "at", m.alias("m"), leaf.alias("leaf"), F.xxhash64(m).alias("whole"), (words > PASSAGE).alias("passage"))
 
 
 def led(rows: DataFrame, share: float) -> DataFrame:
@@ -100,7 +114,8 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc
     """docs without the lines whose template recurs, with columns n_lines and n_dropped (long) added.
 
     A recurring template stays in one document, the one with the smallest id, so that no wording is lost altogether. Lines that differ
-    only in variable fields share a template. A passage, a line of over PASSAGE words, recurs from its second document on; copies (id, group) may name
+    only in variable fields share a template, if at least
+    WORDS of their tokens are words; else they must be equal. A passage, a line of over PASSAGE words, recurs from its second document on; copies (id, group) may name
     documents that are copies as wholes, and a passage in fewer than min_docs documents then stays in those of the same group as the one that keeps it, so that they can
     still be found to be copies. Blank lines stay. A null text stays null with no lines; a text whose lines all go becomes
     empty, and its row stays. Rows with one id and text are one document and get the same answer. All other columns of docs stay;

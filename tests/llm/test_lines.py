@@ -73,3 +73,9 @@ def test_lines_are_attached_to_the_nearest_template(spark):
     rows += [(20 + 5 * i + j, f"we hope that you meet {a} soon in {b} as was planned before") for i, a in enumerate(names) for j, b in enumerate(places)]
     got = {r.doc_id: r.n_dropped for r in drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
     assert got == {i: int(i not in (0, 20)) for i, _ in rows}
+
+
+def test_lines_of_variable_fields_recur_only_as_they_stand(spark):
+    rows = [(i, f"own{chr(97 + i)}\n{i} {i * 7} {i}.5 http://x.y/{i}\nTotal {i} {i * 3} {i * 5}\n10 20 30\nPage {i}") for i in range(8)]
+    got = {r.doc_id: r.text for r in drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == {i: t if i == 0 else t.replace("\n10 20 30", "").replace(f"\nPage {i}", "") for i, t in rows}
