@@ -19,8 +19,8 @@ FIT_SAMPLE, CENTRES = 16_000, 2048
 #: Graph: candidates and chance members looked at for each node, its most neighbours, and the slack of the pruning rule.
 CANDIDATES, CHANCE, DEGREE, ALPHA = 48, 24, 32, 1.2
 BEAM = 48
-#: Vectors compared with all others to measure recall, and the recall wanted.
-AUDIT, RECALL = 200, 0.98
+#: Vectors compared with all others at first to measure recall, those with a partner that the measure needs, and the recall wanted.
+AUDIT, PARTNERED, RECALL = 200, 50, 0.98
 
 
 def _unit(vectors: pd.Series | list) -> np.ndarray:
@@ -209,32 +209,54 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def audit(classes: DataFrame, pairs: DataFrame, least: float) -> float:
-    """Recall of pairs, against about AUDIT vectors compared with all: queries chosen by hash, sent to every task, and counted there."""
-    n = classes.count()
-    queries = classes.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, AUDIT / max(1, n))))).collect()
-    if not queries:
-        return 1.0
-    shared = classes.sparkSession.sparkContext.broadcast(([q["id"] for q in queries], _unit([q["vec"] for q in queries])))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x = shared.value
-        total = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            if len(batch):
-                total += (_unit(batch["vec"]) @ x.T >= least).sum(0)
-        yield pd.DataFrame({"id": ids, "true": total})
-
-    true = classes.mapInPandas(run, "id long, true long").groupBy("id").agg((F.sum("true") - 1).alias("true"))  # less the vector itself
-    both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("found"))
-    row = true.join(both, "id", "left").agg(F.sum("true").alias("true"), F.sum("found").alias("found")).head()
-    return (row["found"] or 0) / row["true"] if row["true"] else 1.0
+    """Recall of pairs, averaged over vectors that have a partner: about AUDIT vectors chosen by hash are sent to every task and compared with all,
+    then four times as many, until PARTNERED of them have a partner or all are compared."""
+    n, drawn = classes.count(), AUDIT
+    both = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("found")), "vectors-degrees")
+    while True:
+        share = max(1, int(1_000_000 * min(1.0, drawn / max(1, n))))
+        queries = classes.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < share).collect()
+        shared = classes.sparkSession.sparkContext.broadcast(([q["id"] for q in queries], _unit([q["vec"] for q in queries]) if queries else None))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, x = shared.value
+            total = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                if len(batch) and len(ids):
+                    total += (_unit(batch["vec"]) @ x.T >= least).sum(0)
+            yield pd.DataFrame({"id": ids, "true": total}).astype("int64")
+
+        true = classes.mapInPandas(run, "id long, true long").groupBy("id").agg((F.sum("true") - 1).alias("true")).where(F.col("true") > 0)  # less the vector itself
+        row = true.join(both, "id", "left").agg(F.count(F.lit(1)).alias("n"), F.avg(F.least(F.lit(1.0), F.coalesce("found", F.lit(0)) / F.col("true"))).alias("recall")).head()
+        if row["n"] >= PARTNERED or share >= 1_000_000:
+            return row["recall"] if row["n"] else 1.0
+        drawn *= 4
+
+
+def exact(classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, as links gives them, by comparing each block of vectors with each."""
+    blocks = max(1, -(-classes.count() // SHARD_MOST))
+    mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, "mine").alias("i"), F.greatest(o, "mine").alias("j")))
+    members = classes.select("id", "vec", mine.alias("mine")).select("id", "vec", "mine", F.explode(cells).alias("cell")).select("id", "vec", "mine", "cell.*")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        p, q = (group[group["mine"] == group[c]] for c in ("i", "j"))
+        if p.empty or q.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        u, v = np.nonzero(_unit(p["vec"]) @ _unit(q["vec"]).T >= least)
+        a, b = p["id"].to_numpy()[u], q["id"].to_numpy()[v]
+        once = (a != b) & ((a < b) | (group["i"].iloc[0] != group["j"].iloc[0]))
+        return pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once]})
+
+    return materialize(members.groupBy("i", "j").applyInPandas(compare, "a long, b long"), "vectors-pairs")
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row: other vectors with a cosine of least or more, and the smallest id reachable by links.
 
     Equal vectors form a class and are searched as one; its size counts in n_links. Recall is audited against brute force on a sample, and
-    the search repeated with more overlap where it is below RECALL, up to all that three tries give. Only pairs checked in double precision are links.
+    the search repeated with more overlap where it is below RECALL; where three tries are not enough, all are compared. Only pairs checked in double precision are links.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and those whose length is not the commonest, link with nothing.
     So do rows with a null id, whose component is null. Repeated rows count each. An empty table gives an empty result.
@@ -252,6 +274,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id"
         pairs = links(vectors, least, overlap)
         if audit(vectors, pairs, least) >= RECALL:
             break
+    else:
+        pairs = exact(vectors, least)
     size = classes.select("id", "size")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(size.withColumnRenamed("id", "b"), "b")
     counts = materialize(both.groupBy(F.col("a").alias("id")).agg(F.sum("size").alias("others")), "vectors-counts")

@@ -49,3 +49,21 @@ def test_against_brute_force(spark, monkeypatch, shard, most):
 def test_empty(spark):
     assert V.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert V.near_duplicates(spark.createDataFrame([(None, [1.0])], "vec_id long, embedding array<float>")).head().n_links == 0
+
+
+def test_audit_counts_each_vector_once_and_exact_makes_up(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    group = rnd.normal(size=16) + rnd.normal(size=(60, 16)) * 0.01
+    pairs = np.repeat(rnd.normal(size=(150, 16)), 2, 0) + rnd.normal(size=(300, 16)) * 0.01
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*group, *pairs])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    classes = docs.select(docs.vec_id.alias("id"), docs.embedding.alias("vec"))
+    found = spark.createDataFrame([(a, b) for b in range(60) for a in range(b)], "a long, b long")
+    assert V.audit(classes, found, 0.95) < 0.5
+    assert V.audit(classes, found.limit(0), 0.95) == 0.0
+    monkeypatch.setattr(V, "AUDIT", 1)
+    assert V.audit(classes, found, 0.95) < 0.5
+    monkeypatch.setattr(V, "SHARD_MOST", 100)
+    monkeypatch.setattr(V, "links", lambda c, least, overlap: found)
+    got = {r.vec_id: r.n_links for r in V.near_duplicates(docs).collect()}
+    assert got == {i: w[0] for i, w in brute(rows, 0.95).items()}
