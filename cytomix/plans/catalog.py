@@ -155,7 +155,7 @@ QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], str | None]] = {
     "smallest_label": (lambda i: i.cells().groupBy("celltype").agg(F.countDistinct("cell_id").alias("n")).orderBy("n", "celltype").limit(1), "SELECT celltype, count(DISTINCT cell_id) AS n FROM cells GROUP BY 1 ORDER BY 2, 1 LIMIT 1"),
     "state_names": (lambda i: i.loadings().select(F.concat_ws("_", F.lit("type"), "celltype", "state").alias("name")).distinct().select("name", F.regexp_replace("name", "_[^_]*$", "").alias("kind"), F.element_at(F.split("name", "_"), -1).alias("number")), "SELECT DISTINCT 'type_' || celltype || '_' || state AS name, 'type_' || celltype AS kind, CAST(state AS VARCHAR) AS number FROM loadings"),
     "variance_trend": (lambda i: signature.variance_trend(i.sig()), None),
-    "deconvolve": (lambda i: model.deconvolve(i.scaled(), i.sig().where("celltype < 5")), None),
+    "deconvolve": (lambda i: model.deconvolve(i.scaled(), i.sig()), None),
     "refine": (lambda i: model.refine(i.scaled(), i.sig().where("celltype < 5"), model.fractions(i.beta()).select("sample", "celltype", "fraction")), None),
     "cnmf": (lambda i: states.best_run(_factors(i)[1]), None),
     "cnmf_loadings": (lambda i: (lambda m, f: states.loadings(m, states.best_run(f.where("states = 3"))))(*_factors(i)), None),

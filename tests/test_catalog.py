@@ -38,3 +38,7 @@ def test_runs(spark, name):
     assert len(got) and not got.isna().any().any()
     for c in got.select_dtypes("number"):
         assert pd.Series(got[c]).abs().max() < 1e12
+
+
+def test_deconvolve_fits_all_cell_types(spark):
+    assert catalog.queries()["deconvolve"](spark, SF).select("celltype").distinct().count() == 10
