@@ -10,7 +10,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cytomix.llm.common import join_stored, materialize
 
@@ -181,49 +180,85 @@ def _sorted_chunks(rows: DataFrame, length: int) -> DataFrame:
 
 #: Neighbouring strings of a block, by their distance from the gram.
 BLOCK = 8
+#: Repeated blocks and strings of a gram that may travel to each of its passages in one array.
+KEYS_MOST = 2048
+
+
+def _blocks(gram: int, n: int, data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A hash for each of a passage's n strings; and its blocks, strings at BLOCK neighbouring distances from the gram: first and last string, distance,
+    hash of the bytes that any of its strings holds (its core), and hash of all its strings."""
+    b = np.frombuffer(data, np.uint8)
+    places = np.flatnonzero(_gram_hashes(b, GRAM).view(np.int64) == gram)
+    marks, cores = _gram_hashes(b, length)[:n], _gram_hashes(b, length - BLOCK + 1)
+    string = np.arange(n)
+    at = places[np.searchsorted(places, string)]
+    part = (at - string) // BLOCK
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (part[1:] != part[:-1]))))
+    last = np.append(first[1:], n) - 1
+    part = part[first]
+    whole = _mix(_mix(_mix(marks[first] * _C[5] + marks[last]) + (last - first).astype(np.uint64)) + part.astype(np.uint64))
+    return marks.view(np.int64), first, last, part, cores[at[first] - part * BLOCK].view(np.int64), whole.view(np.int64)
+
+
+def _spans_of(marks: np.ndarray, first: np.ndarray, last: np.ndarray, whole: np.ndarray, keys: np.ndarray) -> list[dict]:
+    """Runs of strings that keys name, one by one or as a block."""
+    hit = np.isin(marks, keys)
+    for f, g in zip(first[found := np.isin(whole, keys)].tolist(), last[found].tolist(), strict=True):
+        hit[f : g + 1] = True
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+    return [{"from": x, "to": y} for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
 
 
 def _counted(rows: DataFrame, length: int) -> DataFrame:
     """As _sorted_chunks, for grams with so many passages that one task should not sort them: strings are counted by hash, of 128 bits with the gram's.
 
-    Strings of a passage at BLOCK neighbouring distances from the gram form a block. Its core, the bytes that any of them holds, must occur twice for any
-    to repeat; if the block occurs twice with the same strings, all do. Only the strings of other blocks, at the edge of what passages share, are counted one by one, along with those of
-    one block of each kind that repeats. Equal blocks of a batch travel as one row.
+    A block's core must occur twice for any of its strings to repeat; if the block occurs twice, all do. Equal blocks of a batch, then of all, are one row with a count, so that a group of
+    copies costs what its different wordings cost. Only where blocks of one core differ are their strings counted one by one. What repeats is then
+    looked up by each passage: in one array for its gram, or, where a gram has too much for an array, by a join on each block and string.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: dict[tuple, list] = {}
+            for gram, n, data in zip(batch["gram"], batch["n"], batch["data"], strict=True):
+                marks, first, last, part, core, whole = _blocks(gram, n, data, length)
+                for f, g, p, c, w in zip(first.tolist(), last.tolist(), part.tolist(), core.tolist(), whole.tolist(), strict=True):
+                    out.setdefault((gram, p, c, w), [0, marks[f : g + 1]])[0] += 1
+            yield pd.DataFrame([(*k, *v) for k, v in out.items()], columns=["gram", "part", "core", "whole", "c", "marks"])
+
+    kinds = materialize(rows.select("gram", "n", "data").mapInPandas(cut, "gram long, part int, core long, whole long, c long, marks array<long>"), "suffix-blocks")
+    kinds = kinds.groupBy("gram", "part", "core", "whole").agg(F.sum("c").alias("c"), F.min("marks").alias("marks"))
+    shared = kinds.groupBy("gram", "part", "core").agg(F.sum("c").alias("seen"), F.min("c").alias("least")).where("seen > 1").select("gram", "part", "core", (F.col("least") == 1).alias("differ"))
+    kinds = materialize(kinds.join(shared, ["gram", "part", "core"]), "suffix-kinds")
+    strings = kinds.where("differ").select("gram", "c", F.explode("marks").alias("key")).groupBy("gram", "key").agg(F.sum("c").alias("c"))
+    keys = materialize(kinds.where("c > 1").select("gram", F.col("whole").alias("key")).unionByName(strings.where("c > 1").select("gram", "key")).distinct(), "suffix-keys")
+    sizes = keys.groupBy("gram").agg(F.count(F.lit(1)).alias("keys"))
+    sizes = materialize(sizes.select("gram", (F.col("keys") > KEYS_MOST).alias("crowded")), "suffix-crowded")
+    lists = materialize(keys.join(sizes.where("not crowded"), "gram").groupBy("gram").agg(F.collect_list("key").alias("keys")), "suffix-lists")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: dict[tuple, tuple[np.ndarray, list, list]] = {}
-            for gram, body, n, data in zip(batch["gram"], batch["body"], batch["n"], batch["data"], strict=True):
-                b = np.frombuffer(data, np.uint8)
-                places = np.flatnonzero(_gram_hashes(b, GRAM).view(np.int64) == gram)
-                marks, cores = _gram_hashes(b, length)[:n], _gram_hashes(b, length - BLOCK + 1)
-                string = np.arange(n)
-                at = places[np.searchsorted(places, string)]
-                part = (at - string) // BLOCK
-                first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (part[1:] != part[:-1]))))
-                last = np.append(first[1:], n) - 1
-                core = cores[at[first] - part[first] * BLOCK]
-                whole = _mix(_mix(marks[first] * _C[5] + marks[last]) + (last - first).astype(np.uint64))
-                for f, g, p, c, w in zip(first.tolist(), last.tolist(), part[first].tolist(), core.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True):
-                    kind = out.setdefault((gram, p, c, w), (marks[f : g + 1].view(np.int64), [], []))
-                    kind[1].append(body)
-                    kind[2].append(f)
-            yield pd.DataFrame([(*k, *v, len(v[1])) for k, v in out.items()], columns=["gram", "part", "core", "whole", "marks", "bodies", "ats", "c"])
-
-    blocks = materialize(rows.mapInPandas(run, "gram long, part int, core long, whole long, marks array<long>, bodies array<long>, ats array<int>, c long"), "suffix-blocks")
-    blocks = blocks.withColumn("seen", F.sum("c").over(Window.partitionBy("gram", "part", "core"))).where("seen > 1")
-    one = Window.partitionBy("gram", "part", "whole")
-    blocks = blocks.withColumn("all", F.sum("c").over(one) > 1).withColumn("nth", F.row_number().over(one.orderBy("core")))
-    blocks = materialize(blocks, "suffix-shared")
-    strings = blocks.where("not all or nth = 1").select("gram", F.get("bodies", F.lit(0)).alias("body"), F.get("ats", F.lit(0)).alias("at"), F.posexplode("marks").alias("i", "mark"))
-    strings = strings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram", "mark"))).where("n > 1")
-    places = blocks.where("all").select("gram", F.size("marks").alias("k"), F.inline(F.arrays_zip("bodies", "ats")))
-    spans = places.select("gram", F.col("bodies").alias("body"), F.struct(F.col("ats").alias("from"), (F.col("ats") + F.col("k")).alias("to")).alias("s"))
-    spans = spans.unionByName(strings.select("gram", "body", F.struct((F.col("at") + F.col("i")).alias("from"), (F.col("at") + F.col("i") + 1).alias("to")).alias("s")))
-    merged = """aggregate(sort_array(collect_list(s)), cast(array() as array<struct<from:int,to:int>>), (a, x) -> if(get(a, size(a) - 1).to >= x.from,
-        concat(slice(a, 1, size(a) - 1), array(named_struct('from', get(a, size(a) - 1).from, 'to', greatest(get(a, size(a) - 1).to, x.to)))), concat(a, array(named_struct('from', x.from, 'to', x.to)))))"""
-    return spans.groupBy("gram", "body").agg(F.expr(merged).alias("spans"))
+            spans = []
+            for gram, n, data, keys in zip(batch["gram"], batch["n"], batch["data"], batch["keys"], strict=True):
+                marks, first, last, _, _, whole = _blocks(gram, n, data, length)
+                spans.append(_spans_of(marks, first, last, whole, keys))
+            yield pd.DataFrame({"gram": batch["gram"], "body": batch["body"], "spans": spans})
+
+    kind = f"gram long, body long, spans {_SPANS}"
+    found = rows.join(lists, "gram").mapInPandas(look, kind)
+    if not sizes.where("crowded").isEmpty():
+
+        def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for gram, body, n, data in zip(batch["gram"], batch["body"], batch["n"], batch["data"], strict=True):
+                    marks, first, last, _, _, whole = _blocks(gram, n, data, length)
+                    string = np.arange(n)
+                    yield pd.DataFrame({"gram": gram, "body": body, "key": np.concatenate((marks, whole)), "from": np.concatenate((string, first)), "to": np.concatenate((string, last)) + 1})
+
+        spelt = rows.join(sizes.where("crowded").select("gram"), "gram").mapInPandas(spell, "gram long, body long, key long, from int, to int")
+        spans = spelt.join(keys, ["gram", "key"]).groupBy("gram", "body").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
+        found = found.unionByName(spans.select("gram", "body", F.col("spans").cast(_SPANS).alias("spans")))
+    return materialize(found.where(F.size("spans") > 0), "suffix-counted")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,8 +266,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     a length-byte string that starts in another place too, in the same or another row.
 
     Strings are brought together by their least gram: a run of strings with one least gram is a passage. A gram that occurs once is done
-    with, unless its passage repeats itself. Where all passages of a gram are equal, all their strings repeat. Other passages are stored once each, and the strings of all
-    passages of a gram are compared by sorting suffixes. Rows with equal texts are told apart by nothing, so they share
+    with, unless its passage repeats itself. Equal passages are one, with a count: all their strings repeat. Others are stored once each, and the strings of all
+    passages of a gram are compared by sorting suffixes; those of a gram with over CHUNK_PASSAGES passages by counting, which needs no task to hold them all. Rows with equal texts are told apart by nothing, so they share
     the answer. Null texts count as empty; a text under length bytes loses nothing; nulls in id_col and repeated rows stay as they are;
     other columns are ignored. length is GRAM at least.
     """

@@ -56,8 +56,9 @@ def test_against_brute_force(spark, monkeypatch):
     texts += [texts[10]] * 5 + [texts[11][:-1] + "x", texts[12] + texts[12]]
     docs = spark.createDataFrame([(i, t, b"k") for i, t in enumerate(texts)], "doc_id long, text string, kept binary").repartition(6)
     want = list(brute(texts, 200))
-    for most in (256, 3):
+    for most, keys in ((256, 2048), (3, 2048), (3, 2)):
         monkeypatch.setattr(suffixes, "CHUNK_PASSAGES", most)
+        monkeypatch.setattr(suffixes, "KEYS_MOST", keys)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect()}
         assert [got[i] for i in range(len(texts))] == want
     assert remove_repeats(docs.limit(0)).count() == 0
