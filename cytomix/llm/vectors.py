@@ -278,38 +278,40 @@ def balls(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
             return items.drop("held"), members
 
 
-def _lists(members: DataFrame) -> DataFrame:
-    """(node, around, medoid_of): the joined adjacency lists that the graphs of all shards give a node."""
+def _lists(members: DataFrame, least: float) -> DataFrame:
+    """(node, around, near): the joined adjacency lists that the graphs of all shards give a node, and those of the list that one query can have in range together with the node."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node", ignore_index=True)
-        x, nodes = _unit(group["vec"]), group["node"].to_numpy()
-        graph = pruned_graph(np.clip(x @ x.T, -1.0, 1.0), np.random.default_rng(17))
-        return pd.DataFrame({"node": nodes, "around": [nodes[g[g >= 0]] for g in graph]})
+        x, nodes, radius = _unit(group["vec"]), group["node"].to_numpy(), group["radius"].to_numpy()
+        sims = np.clip(x @ x.T, -1.0, 1.0)
+        graph = pruned_graph(sims, np.random.default_rng(17))
+        near = _angle(sims) <= 2 * np.arccos(least) + radius[:, None] + radius
+        return pd.DataFrame({"node": nodes, "around": [nodes[g[g >= 0]] for g in graph], "near": [nodes[h[near[i, h]]] for i, g in enumerate(graph) for h in (g[g >= 0],)]})
 
-    built = members.groupBy("shard", "block").applyInPandas(build, "node long, around array<long>")
-    return materialize(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("around")), "vectors-lists")
+    built = members.groupBy("shard", "block").applyInPandas(build, "node long, around array<long>, near array<long>")
+    return materialize(built.groupBy("node").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("around", "near")]), "vectors-lists")
 
 
 def search(items: DataFrame, least: float, overlap: int) -> DataFrame:
     """Findings (kind, a, b), as _told gives them, about items (node, vec, radius, size).
 
     Every item joins the shards of its overlap nearest centres. Each shard, or block of one that stays crowded, makes a robust-pruned graph; the lists of a node from all its shards are joined. An item
-    is a query in its nearest shard, over the shard's members and all that their joined lists lead to.
+    is a query in its nearest shard, over the shard's members and the nodes near to them that their joined lists lead to.
     """
     placed = place(items, overlap)
     of = placed.select("node", "vec", "radius", "size", F.posexplode("shards").alias("nth", "shard"))
     sizes = materialize(of.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_MOST).cast("int").alias("blocks")), "vectors-sizes")
     of = of.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     of = materialize(of, "vectors-shards")
-    lists = _lists(of)
+    lists = _lists(of, least)
 
     # A region is what one task searches: a block of a shard's queries with a block of its nodes, and the nodes that these lead to.
     cells = F.filter(F.sequence(F.lit(0), F.col("blocks") * F.col("blocks") - 1), lambda c: (F.floor(c / F.col("blocks")) == F.col("block")) | (c % F.col("blocks") == F.col("block")))
     inside = of.withColumn("cell", F.explode(cells)).select("shard", "cell", "node", "vec", "radius", "size", ((F.col("nth") == 0) & (F.floor(F.col("cell") / F.col("blocks")) == F.col("block"))).alias("asks"), (F.col("cell") % F.col("blocks") == F.col("block")).alias("here"))
     inside = inside.join(lists, "node").select("shard", "cell", "node", "vec", "radius", "size", "asks", "here", "around")
     plain = of.where("blocks = 1")
-    beyond = plain.select("shard", "node").join(lists, "node").select("shard", F.explode("around").alias("node")).distinct().join(plain.select("shard", "node"), ["shard", "node"], "left_anti")
+    beyond = plain.select("shard", "node").join(lists, "node").select("shard", F.explode("near").alias("node")).distinct().join(plain.select("shard", "node"), ["shard", "node"], "left_anti")
     beyond = beyond.join(items, "node").join(lists, "node").select("shard", F.lit(0).alias("cell"), "node", "vec", "radius", "size", F.lit(False).alias("asks"), F.lit(True).alias("here"), "around")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
