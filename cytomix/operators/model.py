@@ -1,13 +1,11 @@
-"""The mixture model of log bulk expression: expectations, objective terms, and distributed coordinate ascent.
+"""The mixture model of log bulk expression: expectations, objective terms, priors and checks. variational.py fits it.
 
 Tables: beta (sample, celltype, beta), nu (sample, gene, celltype, nu), omega (gene, celltype, omega), y (gene, sample, y; log scale),
-prior (gene, celltype, mu0, beta0). All sums are aggregates; a pass over genes or samples is one grouped job.
+prior (gene, celltype, mu0, beta0). All sums are aggregates.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,9 +45,14 @@ def sigma(terms: DataFrame, sample_specific: bool = False) -> DataFrame:
     return terms.select("gene", "sample", (s if sample_specific else F.avg(s).over(Window.partitionBy("gene"))).alias("sigma"))
 
 
-def likelihood_y(terms: DataFrame, sigmas: DataFrame) -> DataFrame:
-    """One row, value: expected log likelihood of the bulk, up to constants."""
-    return terms.join(sigmas, ["gene", "sample"]).agg(F.sum(-0.5 / (F.col("sigma") * F.col("sigma")) * (F.col("a") + F.col("r2"))).alias("value"))
+def likelihood_y(terms: DataFrame, sigmas: DataFrame | None = None) -> DataFrame:
+    """One row, value: expected log likelihood of the bulk, up to constants, under sigmas (gene, sample, sigma), by default those of terms themselves."""
+    if sigmas is None:
+        miss = F.sqrt(F.col("a") + F.col("r2"))
+        rows = terms.withColumn("sigma", F.avg(miss).over(Window.partitionBy("gene")))
+    else:
+        rows = terms.join(sigmas, ["gene", "sample"])
+    return rows.agg(F.sum(-0.5 / (F.col("sigma") * F.col("sigma")) * (F.col("a") + F.col("r2"))).alias("value"))
 
 
 def posterior_beta(nu: DataFrame, omega: DataFrame, prior: DataFrame, kappa0: float = 1.0) -> DataFrame:
@@ -65,8 +68,10 @@ def likelihood_x(post: DataFrame, alpha0: float = 1000.0) -> DataFrame:
     return post.agg(F.sum(-(alpha0 + F.col("n") / 2) * F.log("post")).alias("value"))
 
 
-def entropy_x(omega: DataFrame, n_samples: int) -> DataFrame:
-    return omega.agg((-n_samples * F.sum(F.log("omega"))).alias("value"))
+def entropy_x(omega: DataFrame, nu: DataFrame) -> DataFrame:
+    """One row, value; nu (sample, ...) tells the number of samples."""
+    samples = nu.agg(F.countDistinct("sample").alias("n"))
+    return omega.agg(F.sum(F.log("omega")).alias("s")).join(samples).select((-F.col("n") * F.col("s")).alias("value"))
 
 
 def dirichlet_terms(beta: DataFrame, alpha: DataFrame) -> DataFrame:
@@ -78,26 +83,68 @@ def dirichlet_terms(beta: DataFrame, alpha: DataFrame) -> DataFrame:
     return by_sample.agg(F.sum("p").alias("pf"), F.sum("q").alias("qf"))
 
 
-def objective(px: DataFrame, qx: DataFrame, py: DataFrame, dirichlet: DataFrame, n_genes: int, n_types: int, weight: float = 1.0) -> DataFrame:
-    """One row, value: (px - qx) / weight + py + sqrt(G / C) (pf - qf)."""
-    one = px.select(F.col("value").alias("px")).join(F.broadcast(qx.select(F.col("value").alias("qx")))).join(F.broadcast(py.select(F.col("value").alias("py")))).join(F.broadcast(dirichlet))
-    return one.select(((F.col("px") - F.col("qx")) / weight + F.col("py") + F.sqrt(F.lit(n_genes / n_types)) * (F.col("pf") - F.col("qf"))).alias("value"))
+def objective(px: DataFrame, qx: DataFrame, py: DataFrame, dirichlet: DataFrame, omega: DataFrame, weight: float = 1.0) -> DataFrame:
+    """One row, value: (px - qx) / weight + py + sqrt(G / C) (pf - qf); omega (gene, celltype, ...) tells the numbers of genes and cell types."""
+    sizes = omega.agg(F.countDistinct("gene").alias("g"), F.countDistinct("celltype").alias("c"))
+    one = px.select(F.col("value").alias("px")).join(qx.select(F.col("value").alias("qx"))).join(py.select(F.col("value").alias("py"))).join(dirichlet).join(sizes)
+    return one.select(((F.col("px") - F.col("qx")) / weight + F.col("py") + F.sqrt(F.col("g") / F.col("c")) * (F.col("pf") - F.col("qf"))).alias("value"))
 
 
-def health(y: DataFrame, beta: DataFrame) -> DataFrame:
+def health(y: DataFrame, beta: DataFrame, alpha: DataFrame | None = None, prior: DataFrame | None = None, objective: DataFrame | None = None) -> DataFrame:
+    """One row of what is wrong with a model: odd or negative y (log scale), numbers that must be positive but are not, and, as not_fitted, that there is no objective.
+
+    alpha is (.., alpha); prior holds whichever of alpha0, beta0 and kappa0 vary. What is not given is not looked at.
+    """
+
+    def nonpositive(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.bool_or(F.col(name).isNull() | F.isnan(F.col(name).cast("double")) | (F.col(name) <= 0)).alias(f"nonpositive_{name}"))
+
     odd = F.col("y").isNull() | F.isnan("y") | (F.abs("y") == float("inf"))
-    return y.agg(F.bool_or(odd).alias("odd_y"), F.bool_or(F.col("y") < 0).alias("negative_y")).join(F.broadcast(beta.agg(F.bool_or(F.col("beta") <= 0).alias("nonpositive_beta"))))
+    out = y.agg(F.bool_or(odd).alias("odd_y"), F.bool_or(F.col("y") < 0).alias("negative_y")).join(nonpositive(beta, "beta"))
+    if alpha is not None:
+        out = out.join(nonpositive(alpha, "alpha"))
+    for name in ("alpha0", "beta0", "kappa0"):
+        if prior is not None and name in prior.columns:
+            out = out.join(nonpositive(prior, name))
+    fitted = F.lit(False) if objective is None else None
+    if fitted is not None:
+        return out.withColumn("not_fitted", ~fitted)
+    return out.join(objective.agg((F.count(F.when(~F.isnan("value"), 1)) == 0).alias("not_fitted")))
 
 
-def mean_alpha(beta: DataFrame) -> DataFrame:
-    """alpha without a prior: each cell type's mean beta over samples, for every sample."""
-    return beta.select("sample", "celltype", F.avg("beta").over(Window.partitionBy("celltype")).alias("alpha"))
+def mean_alpha(beta: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """alpha without a prior: each cell type's mean beta over samples, for every sample; for each group of the columns by on its own."""
+    by = by or []
+    return beta.join(beta.groupBy(*by, "celltype").agg(F.avg("beta").alias("alpha")), [*by, "celltype"]).select(*by, "sample", "celltype", "alpha")
 
 
 def expectation_problems(expected: DataFrame, celltypes: DataFrame) -> DataFrame:
     """One row about prior fractions (sample, celltype, prior): whether any is exactly 0 or 1, and how many cell types have none at all."""
     missing = celltypes.join(expected, "celltype", "left_anti").agg(F.count("*").alias("missing_types"))
-    return expected.agg(F.bool_or((F.col("prior") == 0) | (F.col("prior") == 1)).alias("any_certain")).join(F.broadcast(missing))
+    return expected.agg(F.bool_or((F.col("prior") == 0) | (F.col("prior") == 1)).alias("any_certain")).join(missing)
+
+
+def checked_prior(expected: DataFrame, celltypes: DataFrame, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(expected, members) as alpha_with_prior takes them, from prior fractions by cell type (sample, celltype, prior), or by group (sample, group, prior) with members (group, celltype).
+
+    A prior of exactly 0 or 1, one by cell type that lacks a cell type, a group without members or members of unknown groups are errors. Nulls say nothing about a fraction.
+    """
+    if members is None:
+        missing = [r["celltype"] for r in celltypes.select("celltype").distinct().join(expected, "celltype", "left_anti").take(5)]
+        if missing:
+            raise ValueError(f"the prior says nothing about cell types {missing}")
+        expected = expected.select("sample", F.col("celltype").alias("group"), "prior")
+        members = celltypes.select(F.col("celltype").alias("group"), "celltype").distinct()
+        sums = expected
+    else:
+        if not expected.join(members, "group", "left_anti").isEmpty() or not members.join(expected, "group", "left_anti").isEmpty():
+            raise ValueError("groups with a prior and groups with members differ")
+        if not members.join(celltypes, "celltype", "left_anti").isEmpty():
+            raise ValueError("a group has a member that is no cell type")
+        sums = group_prior(expected, members)
+    if not sums.where("prior = 0 or prior = 1").isEmpty():
+        raise ValueError("a prior fraction is exactly 0 or 1")
+    return expected, members
 
 
 def group_prior(expected: DataFrame, members: DataFrame) -> DataFrame:
@@ -105,96 +152,18 @@ def group_prior(expected: DataFrame, members: DataFrame) -> DataFrame:
     return expected.join(members, "group").groupBy("sample", "celltype").agg(F.sum("prior").alias("prior"))
 
 
-def alpha_with_prior(beta: DataFrame, expected: DataFrame, members: DataFrame) -> DataFrame:
-    """alpha where groups of cell types have an expected mass in a sample (null: none): within a group the mean fractions keep their proportions, the other
-    types share what is left, and the whole is scaled so that the unpinned types keep their mean beta."""
-    mean = fractions(beta).groupBy("celltype").agg(F.avg("fraction").alias("f"), F.avg("beta").alias("m"))
-    grid = beta.select("sample").distinct().crossJoin(F.broadcast(mean))  # cell types are few
-    pinned = grid.join(F.broadcast(members), "celltype", "left").join(expected.where("prior is not null"), ["sample", "group"], "left")
-    w = Window.partitionBy("sample")
-    in_group = F.sum("f").over(Window.partitionBy("sample", "group"))
+def alpha_with_prior(beta: DataFrame, expected: DataFrame, members: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """alpha where groups of cell types have an expected mass in a sample (null: none): within a group the shares of the mean beta keep their proportions, the other
+    types share what is left, and the whole is scaled so that the unpinned types keep their mean beta. Each group of the columns by is on its own."""
+    by = by or []
+    mean = beta.groupBy(*by, "celltype").agg(F.avg("beta").alias("m"))
+    mean = mean.withColumn("f", F.try_divide("m", F.sum("m").over(Window.partitionBy(*by))))  # cell types are few
+    rows = beta.select(*by, "sample", "celltype").join(mean, [*by, "celltype"]).join(members, "celltype", "left").join(expected.where("prior is not null"), ["sample", "group"], "left")
+    w = Window.partitionBy(*by, "sample")
     free = F.col("prior").isNull()
-    rows = pinned.withColumn("in_group", in_group).withColumn("mass", F.sum(F.when(~free, F.col("f") / F.col("in_group") * F.col("prior")).otherwise(0.0)).over(w))
+    rows = rows.withColumn("in_group", F.sum("f").over(Window.partitionBy(*by, "sample", "group")))
+    rows = rows.withColumn("mass", F.sum(F.when(~free, F.try_divide("f", "in_group") * F.col("prior")).otherwise(0.0)).over(w))
     rows = rows.withColumn("free_f", F.sum(F.when(free, F.col("f")).otherwise(0.0)).over(w)).withColumn("free_m", F.sum(F.when(free, F.col("m")).otherwise(0.0)).over(w))
-    share = F.when(free, F.try_divide("f", "free_f") * (1 - F.col("mass"))).otherwise(F.col("f") / F.col("in_group") * F.col("prior"))
-    scale = F.coalesce(F.try_divide(F.col("free_m"), 1 - F.col("mass")), F.sum("m").over(w))
-    return rows.select("sample", "celltype", (share * scale).alias("alpha"))
-
-
-def _simplex_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Fractions b >= 0 of sum one for which log(x b) is near y, by exponentiated gradient with backtracking."""
-    b = np.full(x.shape[1], 1.0 / x.shape[1])
-    step, loss = 0.5, None
-    for _ in range(rounds):
-        mean = np.maximum(x @ b, 1e-12)
-        miss = np.log(mean) - y
-        value = float((w * miss * miss).sum())
-        grad = x.T @ (w * miss / mean)
-        grad = grad - grad @ b
-        size = np.abs(grad).max()
-        if size < 1e-9:
-            break
-        while step > 1e-8:
-            t = b * np.exp(-step * grad / size)
-            t /= t.sum()
-            after = float((w * (np.log(np.maximum(x @ t, 1e-12)) - y) ** 2).sum())
-            if after < value:
-                break
-            step /= 2
-        else:
-            break
-        b, step = t, min(step * 1.5, 1.0)
-        if loss is not None and loss - after < 1e-9 * max(1.0, loss):
-            break
-        loss = after
-    return b
-
-
-def deconvolve(bulk: DataFrame, signature: DataFrame) -> DataFrame:
-    """(sample, celltype, fraction): each sample's log expression fitted by a mixture of the signature's linear means, genes weighted by
-    the signature's spread. Samples are independent groups; a group is one sample's genes, with the signature's values for a gene as an array.
-    """
-    types = [r["celltype"] for r in signature.select("celltype").distinct().orderBy("celltype").collect()]
-    per_gene = signature.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("celltype", "mu", "std"))).alias("s")).where(F.size("s") == len(types))
-    rows = bulk.join(per_gene, "gene").select("sample", "gene", F.log1p("expr").alias("y"), F.transform("s", lambda t: F.exp(t["mu"] + t["std"] * t["std"] / 2)).alias("e"), F.aggregate("s", F.lit(0.0), lambda a, t: a + t["std"] * t["std"] / len(types)).alias("v"))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("gene")
-        x = np.stack(group["e"].to_list())
-        y = group["y"].to_numpy()
-        level = np.median(y - np.log(x.mean(1)))  # bulk and signature may differ by a factor
-        b = _simplex_fit(x, y - level, 1.0 / group["v"].to_numpy())
-        return pd.DataFrame({"sample": group["sample"].iloc[0], "celltype": types, "fraction": b})
-
-    kind = {f.name: f.dataType.simpleString() for f in [*bulk.schema.fields, *signature.schema.fields]}
-    return rows.groupBy("sample").applyInPandas(fit, f"sample {kind['sample']}, celltype {kind['celltype']}, fraction double")
-
-
-def refine(bulk: DataFrame, signature: DataFrame, fraction: DataFrame, weight: float = 1.0, rounds: int = 60) -> DataFrame:
-    """(celltype, sample, gene, nu): expression of each cell type in each sample, with fractions fixed. Genes are independent groups.
-
-    For a gene, squared misfit of log expression is traded against distance from the signature's mean in units of its spread by gradient steps.
-    """
-    rows = bulk.join(fraction, "sample").join(signature.select("gene", "celltype", "mu", "std"), ["gene", "celltype"]).select("gene", "sample", "celltype", F.log1p("expr").alias("y"), "fraction", "mu", "std")
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["sample", "celltype"])
-        n = group["celltype"].nunique()
-        f, mu, sd = (group[c].to_numpy().reshape(-1, n) for c in ("fraction", "mu", "std"))
-        y = group["y"].to_numpy().reshape(-1, n)[:, 0]
-        y = y - np.median(y - np.log((f * np.exp(mu)).sum(1) + 1e-12))
-        nu, step, last = mu.copy(), 0.1, np.inf
-        for _ in range(rounds):
-            part = f * np.exp(nu)
-            mean = part.sum(1) + 1e-12
-            miss = np.log(mean) - y
-            value = (miss**2).sum() + ((nu - mu) ** 2 / sd**2).sum() / weight
-            if value > last:
-                nu, step = held, step / 2
-                continue
-            held, last = nu.copy(), value
-            nu = nu - step * (miss[:, None] * part / mean[:, None] + (nu - mu) / sd**2 / weight) / (1 + 1 / sd**2 / weight)
-        return pd.DataFrame({"celltype": group["celltype"].to_numpy(), "sample": group["sample"].to_numpy(), "gene": group["gene"].to_numpy(), "nu": held.ravel()})
-
-    kind = {f.name: f.dataType.simpleString() for f in [*bulk.schema.fields, *signature.schema.fields]}
-    return rows.groupBy("gene").applyInPandas(fit, f"celltype {kind['celltype']}, sample {kind['sample']}, gene {kind['gene']}, nu double")
+    share = F.when(free, F.try_divide("f", "free_f") * (1 - F.col("mass"))).otherwise(F.try_divide("f", "in_group") * F.col("prior"))
+    scale = F.coalesce(F.try_divide(F.nullif("free_m", F.lit(0.0)), 1 - F.col("mass")), F.sum("m").over(w))
+    return rows.select(*by, "sample", "celltype", (share * scale).alias("alpha"))

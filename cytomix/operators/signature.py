@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cytomix.operators.bulk import bland_altman, without
+
 
 def summary(cells: DataFrame) -> DataFrame:
     """One row: extremes, mean, population deviation, median, and what speaks against log values (max over 50, or over 99% of non-zeros whole)."""
@@ -34,7 +36,7 @@ def sparse_moments(cells: DataFrame, expr: DataFrame) -> DataFrame:
 def with_variance_floor(signature: DataFrame) -> DataFrame:
     """0.01 added to every var if any is zero."""
     flag = signature.agg(F.bool_or(F.col("var") == 0).alias("any_zero"))
-    return signature.join(F.broadcast(flag)).withColumn("var", F.when(F.col("any_zero"), F.col("var") + 0.01).otherwise(F.col("var"))).drop("any_zero")
+    return signature.join(flag).withColumn("var", F.when(F.col("any_zero"), F.col("var") + 0.01).otherwise(F.col("var"))).drop("any_zero")
 
 
 def range_flags(signature: DataFrame) -> DataFrame:
@@ -46,14 +48,14 @@ def dispersion(cells: DataFrame, n_bins: int = 20) -> DataFrame:
 
     Bins are closed on the right and the lowest edge reaches 0.1% further. A bin's single gene has its own dispersion as spread and a mean of zero.
     """
-    stats = cells.groupBy("gene").agg(F.avg(F.expm1("x")).alias("m"), F.var_samp(F.expm1("x")).alias("v"))
+    stats = cells.groupBy("gene").agg(F.avg(F.expm1("x")).alias("m"), F.var_pop(F.expm1("x")).alias("v"))
     stats = stats.withColumn("m", F.when(F.col("m") == 0, 1e-12).otherwise(F.col("m"))).withColumn("d", F.nullif(F.col("v") / F.col("m"), F.lit(0.0)))
     stats = stats.select("gene", F.log1p("m").alias("mean"), F.log("d").alias("disp"))
     ends = stats.agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
     place = F.ceil((F.col("mean") - F.col("lo")) / F.nullif((F.col("hi") - F.col("lo")) / n_bins, F.lit(0.0)))
-    binned = stats.join(F.broadcast(ends)).withColumn("bin", F.least(F.greatest(F.coalesce(place, F.lit(1)), F.lit(1)), F.lit(n_bins)).cast("int"))
+    binned = stats.join(ends).withColumn("bin", F.least(F.greatest(F.coalesce(place, F.lit(1)), F.lit(1)), F.lit(n_bins)).cast("int"))
     in_bin = binned.groupBy("bin").agg(F.avg("disp").alias("a"), F.stddev_samp("disp").alias("s"))
-    out = binned.join(F.broadcast(in_bin), "bin")
+    out = binned.join(in_bin, "bin")
     single = F.col("s").isNull()
     norm = (F.col("disp") - F.when(single, 0.0).otherwise(F.col("a"))) / F.nullif(F.when(single, F.col("a")).otherwise(F.col("s")), F.lit(0.0))
     return out.select("gene", "mean", "disp", "bin", norm.alias("disp_norm"))
@@ -79,7 +81,7 @@ def density(values: DataFrame, value: str, n_bins: int = 100) -> DataFrame:
     ends = values.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("total"))
     width: Column = (F.col("hi") - F.col("lo")) / n_bins
     at = F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(n_bins - 1)).cast("int")
-    rows = values.join(F.broadcast(ends)).withColumn("bin", F.coalesce(at, F.lit(0)))
+    rows = values.join(ends).withColumn("bin", F.coalesce(at, F.lit(0)))
     return rows.groupBy("bin").agg((F.count("*") / F.first(F.col("total")) / F.first(F.nullif(width, F.lit(0.0)))).alias("density"))
 
 
@@ -93,22 +95,182 @@ def marker_ranks(signature: DataFrame, per_type: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= per_type)
 
 
-def variance_trend(signature: DataFrame, min_mean: float = 0.1, degree: int = 2) -> DataFrame:
-    """(gene, celltype, var) smoothed along the mean: ln(var) as a polynomial of ln(mean), fitted for each cell type by weighted sums that Spark
-    aggregates; only the small normal equations are solved in Python. Genes under min_mean take no part in the fit and get the value at min_mean."""
-    x = F.log(F.greatest("mu", F.lit(min_mean)))
-    rows = signature.withColumn("lx", x).withColumn("ly", F.log("var"))
-    fit = rows.where((F.col("mu") >= min_mean) & (F.col("var") > 1e-8))
-    sums = fit.groupBy("celltype").agg(*[F.sum(F.pow("lx", F.lit(i))).alias(f"x{i}") for i in range(2 * degree + 1)], *[F.sum(F.pow("lx", F.lit(i)) * F.col("ly")).alias(f"y{i}") for i in range(degree + 1)])
-
-    @F.pandas_udf("array<double>")
-    def solve(sums: pd.DataFrame) -> pd.Series:
-        out = []
-        for r in sums.itertuples():
-            a = np.array([[getattr(r, f"x{i + j}") for j in range(degree + 1)] for i in range(degree + 1)])
-            out.append(np.linalg.lstsq(a, np.array([getattr(r, f"y{i}") for i in range(degree + 1)]), rcond=None)[0])
-        return pd.Series(out)
-
-    curves = sums.select("celltype", solve(F.struct(*[c for c in sums.columns if c != "celltype"])).alias("c"))
-    value = sum((F.element_at("c", i + 1) * F.pow("lx", F.lit(i)) for i in range(degree + 1)), F.lit(0.0))
-    return rows.join(F.broadcast(curves), "celltype").select("gene", "celltype", (F.exp(value) + 0.01).alias("var"))
+def checked_cells(cells: DataFrame) -> DataFrame:
+    """cells (cell_id, celltype, gene, x) if they can be log-scaled expression, else ValueError: a column is missing, there are no values, some are negative, or they look like counts."""
+    missing = {"celltype", "gene", "x"} - set(cells.columns)
+    if missing:
+        raise ValueError(f"single cells lack the columns {sorted(missing)}")
+    row = summary(cells).head()
+    if row["min_x"] is None:
+        raise ValueError("single cells hold no expression")
+    if row["any_negative"]:
+        raise ValueError("single-cell expression has negative values")
+    if row["not_logged"]:
+        raise ValueError("single-cell expression looks like counts, not log values")
+    return cells
+
+
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """(a, b, n) for which a x / (x^n + b) is near y in weighted squares, from ones, by damped Gauss-Newton steps; b is at least zero."""
+    p, damp = np.ones(3), 1e-3
+
+    def off(p: np.ndarray) -> np.ndarray:
+        return weight * (p[0] * x / (x ** p[2] + p[1]) - y)
+
+    miss = off(p)
+    for _ in range(rounds):
+        bottom = x ** p[2] + p[1]
+        slope = weight[:, None] * np.column_stack((x / bottom, -p[0] * x / bottom**2, -p[0] * x * x ** p[2] * np.log(x) / bottom**2))
+        square = slope.T @ slope
+        step = np.linalg.solve(square + damp * (np.diag(np.diag(square)) + 1e-12 * np.eye(3)), -slope.T @ miss)
+        new = p + step
+        new[1] = max(new[1], 0.0)
+        with np.errstate(all="ignore"):
+            ahead = off(new)
+        if np.isfinite(ahead).all() and ahead @ ahead < miss @ miss:
+            done = miss @ miss - ahead @ ahead < 1e-12 * (miss @ miss)
+            p, miss, damp = new, ahead, max(damp / 5, 1e-12)
+            if done:
+                break
+        else:
+            damp *= 5
+            if damp > 1e12:
+                break
+    return p
+
+
+def _local_lines(x: np.ndarray, y: np.ndarray, share: float, robust: int = 3) -> np.ndarray:
+    """y smoothed along rising x: at each point a line through the nearest share of points (three at least) by tricube weights, fitted again with less weight on points far off."""
+    n = len(x)
+    k = min(n, max(3, int(share * n + 0.5)))
+    left = np.zeros(n, int)
+    at = 0
+    for i in range(n):
+        while at + k < n and x[at + k] - x[i] < x[i] - x[at]:
+            at += 1
+        left[i] = at
+    rows = left[:, None] + np.arange(k)
+    near, own, trust = x[rows], y[rows], np.ones(n)
+    far = np.maximum(np.abs(near - x[:, None]).max(1, keepdims=True), 1e-12)
+    base = np.clip(1 - (np.abs(near - x[:, None]) / far) ** 3, 0, None) ** 3
+    for turn in range(robust + 1):
+        w = base * trust[rows] + 1e-300
+        total = w.sum(1)
+        mx, my = (w * near).sum(1) / total, (w * own).sum(1) / total
+        dx = near - mx[:, None]
+        spread = (w * dx * dx).sum(1)
+        slope = np.where(spread > 1e-12 * total * (np.ptp(x) + 1e-12) ** 2, (w * dx * own).sum(1) / np.maximum(spread, 1e-300), 0.0)
+        fit = my + slope * (x - mx)
+        if turn < robust:
+            miss = np.abs(y - fit)
+            scale = 6 * np.median(miss)
+            if scale <= 0:
+                break
+            trust = np.clip(1 - (miss / scale) ** 2, 0, None) ** 2
+    return fit
+
+
+def trend(mean: np.ndarray, var: np.ndarray, min_mean: float = 0.1, share: float = 0.025) -> np.ndarray:
+    """The variance that each mean has by its trend: the curve a x / (x^n + b), fitted on genes that vary and have min_mean at least, dense stretches of means counting more than sparse ones by their
+    histogram, times the exponential of a local regression of the log residuals, held level beyond its ends."""
+    usable = (var > 1e-8) & (mean >= min_mean)
+    if usable.sum() < 2:
+        raise ValueError("a variance trend needs two genes that vary and have the least mean")
+    x, y = mean[usable], var[usable]
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    height, edges = np.histogram(x, bins=100, density=True)
+    weight = height[np.clip(np.digitize(x, edges[:-1]) - 1, 0, 99)] + 1e-5
+    p = _curve(x, y, weight)
+    line = lambda z: np.maximum(p[0] * z / (np.maximum(z, 0) ** p[2] + p[1] + 1e-300), 1e-300)
+    rest = _local_lines(x, np.log(y) - np.log(line(x)), share)
+    return np.exp(np.interp(mean, x, rest)) * line(mean)
+
+
+def variance_trend(signature: DataFrame, min_mean: float = 0.1, share: float = 0.025) -> DataFrame:
+    """(gene, celltype, var): trend() of each cell type's genes, plus 0.01. A group is one cell type's genes, so it is as large as a genome."""
+    kind = {f.name: f.dataType.simpleString() for f in signature.schema.fields}
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("gene")
+        return pd.DataFrame({"gene": group["gene"], "celltype": group["celltype"], "var": trend(group["mu"].to_numpy(float), group["var"].to_numpy(float), min_mean, share) + 0.01})
+
+    return signature.select("gene", "celltype", "mu", "var").groupBy("celltype").applyInPandas(fit, f"gene {kind['gene']}, celltype {kind['celltype']}, var double")
+
+
+#: Variable genes that a marker search looks at, at most; its tasks hold their centroids.
+SEARCH_GENES = 5000
+
+
+def _separation(x: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """For each set of genes (row of masks) how well the cell types' centroids (types by genes) differ on it: mean distance between types, scaled, less mean absolute correlation."""
+    out = np.empty(len(masks))
+    pair = np.triu_indices(len(x), 1)
+    whole = np.linalg.norm(x[pair[0]] - x[pair[1]], axis=1).mean() + 1e-12
+    for i, mask in enumerate(masks):
+        part = x[:, mask]
+        far = np.linalg.norm(part[pair[0]] - part[pair[1]], axis=1).mean() / whole
+        centred = part - part.mean(1, keepdims=True)
+        size = np.linalg.norm(centred, axis=1)
+        out[i] = far - np.abs((centred @ centred.T)[pair] / np.maximum(size[pair[0]] * size[pair[1]], 1e-12)).mean()
+    return out
+
+
+def marker_search(centroids: DataFrame, n_genes: int | None = None, islands: int = 8, generations: int = 300, offspring: int = 40, seed: int = 0) -> DataFrame:
+    """(gene): a set of genes on which the cell types' centroids (gene, celltype, mu) lie far apart and correlate little, found by seeded evolution on islands, one task each.
+
+    An island breeds sets from its two best by swapping genes and changing a few, and keeps the better ones; the best island wins. n_genes fixes the size of the set, else the search
+    chooses it. Centroids are those of at most SEARCH_GENES variable genes, which the caller selects. Sets found depend on the seed only.
+    """
+    kind = centroids.schema["gene"].dataType.simpleString()
+    rows = centroids.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("celltype", "mu"))).alias("s")).select("gene", F.col("s.mu").alias("mu"))
+    size = rows.count()
+    if size > SEARCH_GENES:
+        raise ValueError(f"a marker search takes {SEARCH_GENES} genes at most, not {size}; select variable genes first")
+    spread = rows.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+
+    def evolve(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("gene", ignore_index=True)
+        x, island = np.stack(group["mu"].to_list()).T, int(group["island"].iloc[0])
+        rnd, n = np.random.default_rng([seed, island]), x.shape[1]
+        want = min(n, n_genes) if n_genes else None
+
+        def fixed(masks: np.ndarray) -> np.ndarray:
+            for m in masks:
+                short = (want if want else max(2, m.sum())) - m.sum()
+                if short:
+                    m[rnd.choice(np.flatnonzero(~m if short > 0 else m), abs(short), replace=False)] = short > 0
+            return masks
+
+        pool = fixed(rnd.random((offspring, n)) < (want or n / 2) / n)
+        score = _separation(x, pool)
+        for _ in range(generations):
+            parents = pool[rnd.integers(0, min(len(pool), 10), (offspring, 2))]
+            young = np.where(rnd.random((offspring, n)) < 0.5, parents[:, 0], parents[:, 1]) ^ (rnd.random((offspring, n)) < 1.5 / n)
+            pool, score = np.concatenate((pool, fixed(young))), np.concatenate((score, _separation(x, young)))
+            keep = np.argsort(-score, kind="stable")[:offspring]
+            pool, score = pool[keep], score[keep]
+        return pd.DataFrame({"gene": group["gene"][pool[0]], "island": island, "score": score[0]})
+
+    found = spread.groupBy("island").applyInPandas(evolve, f"gene {kind}, island int, score double")
+    sets = found.groupBy("island", "score").agg(F.sort_array(F.collect_list("gene")).alias("genes"))
+    return sets.agg(F.max_by("genes", F.struct("score", -F.col("island"))).alias("genes")).select(F.explode("genes").alias("gene"))
+
+
+def create_signature(cells: DataFrame, *, correct_variance: bool = True, n_variable: int = 2000, n_markers: int | None = None, markers: DataFrame | None = None, bulk: DataFrame | None = None, drop_outliers: bool = False) -> DataFrame:
+    """(gene, celltype, mu, std, var, is_marker) from cells (cell_id, celltype, gene, x), x being log expression.
+
+    var is the variance by its trend along the mean, or, without correct_variance, the spread std itself. Markers are the genes given, or those of a search on the centroids of the n_variable most variable
+    genes. With bulk (gene, sample, expr) and drop_outliers, genes whose means disagree too much between the two are dropped.
+    """
+    cells = checked_cells(cells)
+    out = moments(cells)
+    if markers is None:
+        markers = marker_search(out.join(top_variable(dispersion(cells.where(F.col("celltype").isNotNull())), n_variable).select("gene"), "gene", "left_semi").select("gene", "celltype", "mu"), n_markers)
+    if correct_variance:
+        out = out.drop("var").join(variance_trend(out), ["gene", "celltype"])
+    else:
+        out = out.withColumn("var", F.col("std"))
+    if bulk is not None and drop_outliers:
+        out = without(out, bland_altman(bulk, cells).where("outlier"))
+    return flagged(out.select("gene", "celltype", "mu", "std", "var"), markers)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cytomix.sources.stored import small, stored
+
 
 def cluster_matrix(gex: DataFrame, omega: DataFrame, fraction: DataFrame, weighing: str = "Omega") -> DataFrame:
     """(celltype, sample, gene, x) from gex (celltype, sample, gene, nu): centred per gene and weighted by omega, or by omega and fraction, or only centred, or as it is."""
@@ -24,11 +28,41 @@ def cluster_matrix(gex: DataFrame, omega: DataFrame, fraction: DataFrame, weighi
     return rows.join(fraction, ["sample", "celltype"]).select("celltype", "sample", "gene", (F.col("c") * F.col("omega") * F.col("fraction")).alias("x"))
 
 
+#: Most samples of a cell type: matrices of samples by samples are held by one task.
+SAMPLES_MOST = 6000
+
+
 def gram(matrix: DataFrame) -> DataFrame:
-    """(celltype, s1, s2, k), s1 <= s2: inner products of samples over genes. Genes are the join key, so its width is the number of samples."""
-    a = matrix.select("celltype", "gene", F.col("sample").alias("s1"), F.col("x").alias("x1"))
-    b = matrix.select("celltype", "gene", F.col("sample").alias("s2"), F.col("x").alias("x2"))
-    return a.join(b, ["celltype", "gene"]).where("s1 <= s2").groupBy("celltype", "s1", "s2").agg(F.sum(F.col("x1") * F.col("x2")).alias("k"))
+    """(celltype, s1, s2, k), s1 <= s2: inner products of samples over genes; pairs of samples without a common gene are left out.
+
+    A task turns the genes it holds into one block of sums for each cell type, so what is shuffled is a row for each pair of samples and task, not for each gene too.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in matrix.schema.fields}
+    rows = matrix.groupBy("celltype", "gene").agg(F.collect_list(F.struct("sample", "x")).alias("v")).select("celltype", F.col("v.sample").alias("samples"), F.col("v.x").alias("x")).sortWithinPartitions("celltype")
+
+    def block(celltype, genes: list[tuple]) -> pd.DataFrame:
+        samples = np.unique(np.concatenate([s for s, _ in genes]))
+        wide, there = np.zeros((len(genes), len(samples))), np.zeros((len(genes), len(samples)))
+        for i, (s, x) in enumerate(genes):
+            at = np.searchsorted(samples, s)
+            wide[i, at], there[i, at] = x, 1.0
+        i, j = np.nonzero(np.triu(there.T @ there))
+        return pd.DataFrame({"celltype": celltype, "s1": samples[i], "s2": samples[j], "k": (wide.T @ wide)[i, j]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, of = [], None
+        for batch in batches:
+            for celltype, samples, x in zip(batch["celltype"], batch["samples"], batch["x"], strict=True):
+                if held and (celltype != of or len(held) >= 4096):
+                    yield block(of, held)
+                    held = []
+                of = celltype
+                held.append((samples, x))
+        if held:
+            yield block(of, held)
+
+    parts = rows.mapInPandas(run, f"celltype {kind['celltype']}, s1 {kind['sample']}, s2 {kind['sample']}, k double")
+    return parts.groupBy("celltype", "s1", "s2").agg(F.sum("k").alias("k"))
 
 
 def connectivity(assigned: DataFrame) -> DataFrame:
@@ -40,7 +74,7 @@ def connectivity(assigned: DataFrame) -> DataFrame:
 def consensus(assigned: DataFrame) -> DataFrame:
     """(s1, s2, share): share of runs that put both samples into one cluster, where that ever happens."""
     runs = assigned.agg(F.countDistinct("run").alias("n"))
-    return connectivity(assigned).groupBy("s1", "s2").agg(F.count("*").alias("c")).join(F.broadcast(runs)).select("s1", "s2", (F.col("c") / F.col("n")).alias("share"))
+    return connectivity(assigned).groupBy("s1", "s2").agg(F.count("*").alias("c")).join(runs).select("s1", "s2", (F.col("c") / F.col("n")).alias("share"))
 
 
 def normalized(scores: DataFrame) -> DataFrame:
@@ -62,7 +96,7 @@ def top_per_state(loadings: DataFrame, n: int) -> DataFrame:
 def top_absolute(loadings: DataFrame, n: int) -> DataFrame:
     """Loadings of the n genes whose largest absolute loading in any state is highest."""
     best = loadings.groupBy("gene").agg(F.max(F.abs("loading")).alias("top")).orderBy(F.desc("top"), "gene").limit(n)
-    return loadings.join(F.broadcast(best.select("gene")), "gene", "left_semi")
+    return loadings.join(best.select("gene"), "gene", "left_semi")
 
 
 def fraction_order(fraction: DataFrame, by: str = "median") -> DataFrame:
@@ -90,11 +124,11 @@ def constant_genes(matrix: DataFrame) -> DataFrame:
 
 def pick_k(curve: DataFrame, least: float = 0.9) -> DataFrame:
     """(celltype, chosen) from curve (celltype, k, c): at the last k whose c falls under least after two at or above it, the one of the k one
-    and two before whose step is nearer in value; the largest k where no such fall exists."""
+    and two before whose step is nearer in value, the smaller on ties; the largest k where no such fall exists."""
     w = Window.partitionBy("celltype").orderBy("k")
     rows = curve.withColumns({"c1": F.lag("c", 1).over(w), "c2": F.lag("c", 2).over(w), "k1": F.lag("k", 1).over(w), "k2": F.lag("k", 2).over(w)})
     fall = (F.col("c") < least) & (F.col("c1") >= least) & (F.col("c2") >= least)
-    nearer = F.when(F.abs(F.col("c1") - least) < F.abs(F.col("c") - least), F.col("k2")).otherwise(F.col("k1"))
+    nearer = F.when(F.abs(F.col("c1") - least) <= F.abs(F.col("c") - least), F.col("k2")).otherwise(F.col("k1"))
     found = rows.groupBy("celltype").agg(F.max(F.when(fall, F.struct("k", nearer.alias("pick")))).alias("f"), F.max("k").alias("most"))
     return found.select("celltype", F.coalesce("f.pick", "most").alias("chosen"))
 
@@ -108,7 +142,7 @@ def biggest_drop(curve: DataFrame) -> DataFrame:
 
 def nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
     """(id, centre, dist): Euclidean nearest of few centres (centre, gene, c) for points (id, gene, x); the lowest centre on ties."""
-    d = points.join(F.broadcast(centres), "gene").groupBy("id", "centre").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("c"), 2))).alias("dist"))
+    d = points.join(small(centres), "gene").groupBy("id", "centre").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("c"), 2))).alias("dist"))
     return d.groupBy("id").agg(F.min(F.struct("dist", "centre")).alias("b")).select("id", "b.centre", "b.dist")
 
 
@@ -125,60 +159,79 @@ def _kmeans(k: np.ndarray, states: int, rnd: np.random.Generator) -> np.ndarray:
     m = np.zeros((states, n))
     m[np.arange(states), np.sort(rnd.choice(n, states, replace=False))] = 1.0
     for _ in range(10):
-        d = np.diag(k)[None] - 2 * m @ k + np.einsum("si,ij,sj->s", m, k, m)[:, None]
-        near = d.argmin(0)
+        mk = m @ k
+        near = (np.diag(k)[None] - 2 * mk + (mk * m).sum(1)[:, None]).argmin(0)
         for s in range(states):
             if (near == s).any():
                 m[s] = (near == s) / (near == s).sum()
     return near
 
 
-def _factorised(k: np.ndarray, states: int, seed: int, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray, float]:
-    """Convex factors of X = X g h from k = X'X: multiplicative updates of the positive and negative parts, from a k-means start."""
-    rnd = np.random.default_rng(seed)
+def _factorised(k: np.ndarray, states: int, seeds: list[int], rounds: int = 1000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Convex factors of X = X g h from k = X'X, for each seed: multiplicative updates of the positive and negative parts, from a k-means start.
+
+    Returns h (seeds, states, samples), g (seeds, samples, states) and the errors.
+    """
     n = len(k)
-    near = _kmeans(k, states, rnd)
-    one = (near[None] == np.arange(states)[:, None]).astype(float)
-    h, g = one + 0.2, (one + 0.01).T / np.maximum(one.sum(1), 1)[None]
-    up, down, last = np.maximum(k, 0), np.maximum(-k, 0), np.inf
+    near = np.stack([_kmeans(k, states, np.random.default_rng(seed)) for seed in seeds])
+    one = (near[:, None] == np.arange(states)[None, :, None]).astype(float)
+    h, g = one + 0.2, np.swapaxes((one + 0.01) / np.maximum(one.sum(2, keepdims=True), 1), 1, 2)
+    up, down, whole = np.maximum(k, 0), np.maximum(-k, 0), np.trace(k)
+    err, live = np.full(len(seeds), np.inf), np.arange(len(seeds))
     for _ in range(rounds):
-        gg_up, gg_down = g.T @ up @ g, g.T @ down @ g
-        h *= np.sqrt((g.T @ up + gg_down @ h) / (g.T @ down + gg_up @ h + 1e-9))
-        hh = h @ h.T
-        g *= np.sqrt((up @ h.T + down @ g @ hh) / (down @ h.T + up @ g @ hh + 1e-9))
-        rest = np.eye(n) - g @ h
-        err = float(np.sqrt(max(0.0, np.trace(rest.T @ k @ rest))))
-        if abs(last - err) / n < 1e-12:
+        a, b = h[live], g[live]
+        bt = np.swapaxes(b, 1, 2)
+        ub, db = up @ b, down @ b
+        a = a * np.sqrt((np.swapaxes(ub, 1, 2) + bt @ db @ a) / (np.swapaxes(db, 1, 2) + bt @ ub @ a + 1e-9))
+        at = np.swapaxes(a, 1, 2)
+        hh = a @ at
+        b = b * np.sqrt((up @ at + db @ hh) / (down @ at + ub @ hh + 1e-9))
+        kb = k @ b
+        square = whole - 2 * np.einsum("rij,rji->r", kb, a) + np.einsum("rij,rji->r", hh, np.swapaxes(b, 1, 2) @ kb)
+        h[live], g[live] = a, b
+        now = np.sqrt(np.maximum(square, 0))
+        moved = np.abs(err[live] - now) / n >= 1e-12
+        err[live] = now
+        live = live[moved]
+        if not len(live):
             break
-        last = err
-    return g, h, err
+    return h, g, err
 
 
 def factorise(gram_rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """(celltype, k, run, sample, state, h, g, err): convex factorisations of each cell type's Gram matrix (celltype, s1, s2, k), for runs (states, run).
+    """(celltype, states, run, sample, state, h, g, err): convex factorisations of each cell type's Gram matrix (celltype, s1, s2, k), for runs (states, run), or (celltype, states, run).
 
-    Genes have been summed away; a group is one cell type's sample by sample matrix and one restart. run is also the seed.
+    Genes have been summed away: a task gets one cell type's matrix of samples by samples, of SAMPLES_MOST samples at most, and the restarts of one number of states, ten at a time. run is also the seed.
     """
-    rows = gram_rows.crossJoin(F.broadcast(runs))  # restarts are few and each needs the matrix
     kind = {f.name: f.dataType.simpleString() for f in gram_rows.schema.fields}
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        samples = np.unique(np.concatenate((group["s1"], group["s2"])))
-        k = np.zeros((len(samples), len(samples)))
-        i, j = np.searchsorted(samples, group["s1"]), np.searchsorted(samples, group["s2"])
-        k[i, j] = k[j, i] = group["k"]
-        states, run = int(group["states"].iloc[0]), int(group["run"].iloc[0])
-        g, h, err = _factorised(k, min(states, len(samples)), run)
-        s, t = np.indices(g.shape)
-        return pd.DataFrame({"celltype": group["celltype"].iloc[0], "states": states, "run": run, "sample": samples[s.ravel()], "state": t.ravel(), "h": h.T.ravel(), "g": g.ravel(), "err": err})
-
-    return rows.groupBy("celltype", "states", "run").applyInPandas(fit, f"celltype {kind['celltype']}, states int, run int, sample {kind['s1']}, state int, h double, g double, err double")
+    widest = gram_rows.groupBy("celltype").agg(F.count(F.when(F.col("s1") == F.col("s2"), 1)).alias("n")).agg(F.max("n")).head()[0]
+    if widest and widest > SAMPLES_MOST:
+        raise ValueError(f"{widest} samples of a cell type are more than a task can factorise ({SAMPLES_MOST})")
+    packed = gram_rows.groupBy("celltype").agg(F.collect_list(F.struct("s1", "s2", "k")).alias("v")).select("celltype", F.col("v.s1").alias("s1"), F.col("v.s2").alias("s2"), F.col("v.k").alias("k"))
+    batches = runs.withColumn("batch", F.floor(F.col("run") / 10)).groupBy(*[c for c in runs.columns if c != "run"], "batch").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    rows = packed.join(batches, "celltype") if "celltype" in runs.columns else packed.crossJoin(small(batches))  # batches of restarts are few, and each needs the matrix
+    parts = max(gram_rows.sparkSession.sparkContext.defaultParallelism, int(gram_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(parts, "celltype", "states", "batch")
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                samples = np.unique(np.concatenate((row.s1, row.s2)))
+                k = np.zeros((len(samples), len(samples)))
+                i, j = np.searchsorted(samples, row.s1), np.searchsorted(samples, row.s2)
+                k[i, j] = k[j, i] = row.k
+                h, g, err = _factorised(k, min(int(row.states), len(samples)), [int(r) for r in row.runs])
+                for r, run in enumerate(row.runs):
+                    s, t = np.indices(g[r].shape)
+                    yield pd.DataFrame({"celltype": row.celltype, "states": int(row.states), "run": int(run), "sample": samples[s.ravel()], "state": t.ravel(), "h": h[r].T.ravel(), "g": g[r].ravel(), "err": err[r]})
+
+    return rows.mapInPandas(fit, f"celltype {kind['celltype']}, states int, run int, sample {kind['s1']}, state int, h double, g double, err double")
 
 
 def best_run(factors: DataFrame) -> DataFrame:
     """The factors of the restart with the least error, the first on ties, for each cell type and number of states."""
     best = factors.groupBy("celltype", "states").agg(F.min(F.struct("err", "run")).alias("b")).select("celltype", "states", F.col("b.run").alias("run"))
-    return factors.join(F.broadcast(best), ["celltype", "states", "run"], "left_semi")
+    return factors.join(best, ["celltype", "states", "run"], "left_semi")
 
 
 def loadings(matrix: DataFrame, factors: DataFrame) -> DataFrame:
@@ -189,7 +242,8 @@ def loadings(matrix: DataFrame, factors: DataFrame) -> DataFrame:
 def _cophenetic(c: np.ndarray) -> float:
     """Correlation of the distances between rows of c with the heights at which average linkage joins them."""
     n = len(c)
-    d = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 0))
+    square = (c * c).sum(1)
+    d = np.sqrt(np.maximum(square[:, None] + square - 2 * c @ c.T, 0))
     start, height, size = d.copy(), np.zeros((n, n)), np.ones(n)
     groups, work = [[i] for i in range(n)], d + np.diag(np.full(n, np.inf))
     for _ in range(n - 1):
@@ -241,3 +295,59 @@ def retrieve(matrix: DataFrame, known: DataFrame, rounds: int = 300) -> DataFram
         return pd.DataFrame({"celltype": group["celltype"].iloc[0], "sample": group["sample"].iloc[0], "state": np.arange(len(h)), "score": h / total})
 
     return rows.groupBy("celltype", "sample").applyInPandas(fit, f"celltype {kind['celltype']}, sample {kind['sample']}, state int, score double")
+
+
+def ordered_loadings(loadings: DataFrame) -> DataFrame:
+    """loadings (celltype, gene, state, loading) with their place within cell type and state by falling loading, ties by gene."""
+    return loadings.withColumn("place", F.row_number().over(Window.partitionBy("celltype", "state").orderBy(F.desc("loading"), "gene")))
+
+
+def wide(rows: DataFrame, key: str, value: str, names: list[str]) -> DataFrame:
+    """rows (celltype, key, state, value) with a column celltype_state for each of names, and a row for each key of any cell type; null where a type lacks it."""
+    return rows.withColumn("name", F.concat_ws("_", "celltype", "state")).groupBy(key).pivot("name", names).agg(F.first(value))
+
+
+def state_points(scores: DataFrame) -> DataFrame:
+    """(celltype, sample, points): each sample's scores without the states that do not vary over samples, NaN and absent as zero, padded by zeros to one length: what a layout of all samples starts from."""
+    clean = scores.withColumn("score", F.coalesce(F.when(~F.isnan("score"), F.col("score")), F.lit(0.0)))
+    varied = clean.groupBy("celltype", "state").agg(F.var_pop("score").alias("v")).where("v > 0").withColumn("at", F.row_number().over(Window.partitionBy("celltype").orderBy("state")))
+    longest = varied.agg(F.coalesce(F.max("at"), F.lit(0)).alias("width"))
+    rows = clean.join(varied.select("celltype", "state", "at"), ["celltype", "state"], "left").groupBy("celltype", "sample").agg(F.map_from_entries(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "score")))).alias("m"))
+    cells = F.transform(F.sequence(F.lit(1), F.col("width")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return rows.join(longest).select("celltype", "sample", F.when(F.col("width") > 0, cells).otherwise(F.array().cast("array<double>")).alias("points"))
+
+
+def layout(points: DataFrame, axes: int = 2) -> DataFrame:
+    """points with the coordinates of its first principal axes; stands in for a neighbour embedding, which has no single right answer."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = points.withColumn("vec", array_to_vector("points"))
+    return PCA(k=axes, inputCol="vec", outputCol="at").fit(rows).transform(rows).withColumn("at", vector_to_array("at")).drop("vec")
+
+
+def discover(matrix: DataFrame, wanted: DataFrame | None = None, *, runs: int = 10, final_runs: int = 100, least: float = 0.9, most: int = 10) -> dict[str, DataFrame]:
+    """Cell states of a cluster matrix (celltype, sample, gene, x): scores, loadings, and cophenetic (celltype, k, c, chosen).
+
+    wanted (celltype, k) fixes the number of states of the cell types it names, and leaves all other types out; null k, or no wanted at all, asks for a sweep over 2 to most - 1 states with runs restarts each, from which pick_k chooses. The
+    chosen number is then fitted with final_runs restarts, of which the one with the least error counts. Types with fixed k have one cophenetic row, of the final restarts.
+    """
+    spark = matrix.sparkSession
+    products = stored(gram(matrix), "states-gram")
+    types = products.select("celltype").distinct()
+    wanted = types.withColumn("k", F.lit(None).cast("int")) if wanted is None else wanted.select("celltype", F.col("k").cast("int").alias("k")).join(types, "celltype", "left_semi")
+    wanted = stored(wanted, "states-wanted")
+    open_, fixed = wanted.where("k is null").select("celltype"), wanted.where("k is not null")
+    run = lambda n: spark.range(n).select(F.col("id").cast("int").alias("run"))
+    plan = open_.crossJoin(run(runs)).withColumn("states", F.explode(F.sequence(F.lit(2), F.lit(most - 1))))
+    curve = stored(cophenetic(factorise(products.join(open_, "celltype", "left_semi"), plan)).withColumnRenamed("states", "k"), "states-curve")
+    chosen = stored(pick_k(curve, least).select("celltype", F.col("chosen").cast("int").alias("k")).unionByName(fixed), "states-chosen")
+    final = stored(factorise(products, chosen.select("celltype", F.col("k").alias("states")).crossJoin(run(final_runs))), "states-final")
+    best = stored(best_run(final), "states-best")
+    own = cophenetic(final.join(fixed.select("celltype"), "celltype", "left_semi")).withColumnRenamed("states", "k")
+    curve = curve.unionByName(own).join(chosen.withColumnRenamed("k", "pick"), "celltype")
+    return {
+        "scores": normalized(best.select("celltype", "sample", "state", F.col("h").alias("score"))),
+        "loadings": loadings(matrix, best),
+        "cophenetic": curve.select("celltype", "k", "c", (F.col("k") == F.col("pick")).alias("chosen")),
+    }

@@ -14,7 +14,7 @@ from cytomix.sources import tables
 class Inputs:
     """Lazily built inputs of the named queries.
 
-    Samples are nations. Cell types of the model are market segments, numbered 0 to 4 by name, and paired with vector labels 0 to 4.
+    Samples are nations. Cell types of the model are the ten vector labels, paired with market segments, numbered 0 to 4 by name, in two halves by the customers' keys.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -44,17 +44,16 @@ class Inputs:
 
     @cache
     def beta(self) -> DataFrame:
-        """1 + customers of each nation in each segment, on the whole grid."""
-        segments = self.raw("customer").select("c_mktsegment").distinct().withColumn("celltype", F.expr("row_number() over (order by c_mktsegment) - 1"))
-        counts = self.raw("customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
-        grid = self.raw("nation").select(F.col("n_nationkey").alias("sample")).crossJoin(F.broadcast(segments))  # 25 nations by 5 segments
-        rows = grid.join(counts, (F.col("sample") == F.col("c_nationkey")) & (grid["c_mktsegment"] == counts["c_mktsegment"]), "left")
-        return rows.select("sample", "celltype", (1.0 + F.coalesce("n", F.lit(0))).alias("beta"))
+        """1 + customers of each nation in each half of a segment, on the whole grid."""
+        segments = self.raw("customer").select("c_mktsegment").distinct().withColumn("segment", F.expr("row_number() over (order by c_mktsegment) - 1"))
+        rows = self.raw("customer").join(segments, "c_mktsegment").groupBy(F.col("c_nationkey").alias("sample"), (2 * F.col("segment") + F.col("c_custkey") % 2).cast("int").alias("celltype")).agg(F.count("*").alias("n"))
+        grid = self.raw("nation").select(F.col("n_nationkey").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("celltype"))
+        return grid.join(rows, ["sample", "celltype"], "left").select("sample", "celltype", (1.0 + F.coalesce("n", F.lit(0))).alias("beta"))
 
     @cache
     def prior(self) -> DataFrame:
         """(gene, celltype, mu0, beta0, omega) of the genes that bulk and signature share."""
-        both = self.sig().join(self.bulk().select("gene").distinct(), "gene", "left_semi").where("celltype < 5")
+        both = self.sig().join(self.bulk().select("gene").distinct(), "gene", "left_semi")
         return both.select("gene", "celltype", F.col("mu").alias("mu0"), (1000 * F.col("std") * F.col("std")).alias("beta0"), F.col("std").alias("omega"))
 
     def omega(self) -> DataFrame:
