@@ -14,7 +14,7 @@ from cytomix.llm.common import materialize
 from cytomix.llm.components import components
 
 #: Nodes a shard should hold before overlap, and from how many members on it is cut further.
-SHARD, SHARD_MOST = 800, 3000
+SHARD, SHARD_MOST = 800, 2000
 #: Vectors on which the first centres are fitted, the most centres of a level, and nodes of a crowded shard on which its own are fitted.
 FIT_SAMPLE, CENTRES, CROWDED_SAMPLE = 16_000, 1024, 4000
 #: Graph: candidates and chance members looked at for each node, its most neighbours, and the slack of the pruning rule.
@@ -50,7 +50,11 @@ def pruned_graph(sims: np.ndarray, rnd: np.random.Generator) -> np.ndarray:
     k = min(CANDIDATES, n - 1)
     if k < 1:
         return np.full((n, 1), -1)
-    near = np.argpartition(-sims + 8.0 * np.eye(n), k - 1, axis=1)[:, :k]
+    near = np.empty((n, k), np.int64)
+    for i in range(0, n, 256):  # blocks of rows, as copies of all would be large
+        far = -sims[i : i + 256]
+        far[np.arange(len(far)), np.arange(i, i + len(far))] = 8.0
+        near[i : i + 256] = np.argpartition(far, k - 1, axis=1)[:, :k]
     pool = np.concatenate((near, rnd.integers(0, n, (n, CHANCE))), 1)
     rows = np.arange(n)[:, None]
     dist = 1.0 - sims[rows, pool]
@@ -286,8 +290,9 @@ def _lists(members: DataFrame, least: float) -> DataFrame:
         x, nodes, radius = _unit(group["vec"]), group["node"].to_numpy(), group["radius"].to_numpy()
         sims = np.clip(x @ x.T, -1.0, 1.0)
         graph = pruned_graph(sims, np.random.default_rng(17))
-        near = _angle(sims) <= 2 * np.arccos(least) + radius[:, None] + radius
-        return pd.DataFrame({"node": nodes, "around": [nodes[g[g >= 0]] for g in graph], "near": [nodes[h[near[i, h]]] for i, g in enumerate(graph) for h in (g[g >= 0],)]})
+        around = [g[g >= 0] for g in graph]
+        near = [g[_angle(sims[i, g]) <= 2 * np.arccos(least) + radius[i] + radius[g]] for i, g in enumerate(around)]
+        return pd.DataFrame({"node": nodes, "around": [nodes[g] for g in around], "near": [nodes[g] for g in near]})
 
     built = members.groupBy("shard", "block").applyInPandas(build, "node long, around array<long>, near array<long>")
     return materialize(built.groupBy("node").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("around", "near")]), "vectors-lists")
@@ -350,11 +355,14 @@ def exact(items: DataFrame, least: float) -> DataFrame:
         x, radius = _unit(group["vec"]), group["radius"].to_numpy()
         first = (group["mine"] == group["i"]).to_numpy()
         across = group["i"].iloc[0] != group["j"].iloc[0]
-        sims = x @ x.T
-        a, b = np.nonzero(sims >= np.cos(np.minimum(np.arccos(least) + SLACK + radius[:, None] + radius, np.pi)))
-        fine = (a != b) & (~across | (first[a] != first[b]))
-        a, b = a[fine], b[fine]
-        return _told(group["node"].to_numpy(), group["size"].to_numpy(), radius, a, b, sims[a, b], least, np.ones(len(a), bool))
+        found = []
+        for i in range(0, len(x), 256):  # blocks of rows
+            sims = x[i : i + 256] @ x.T
+            a, b = np.nonzero(sims >= np.cos(np.minimum(np.arccos(least) + SLACK + radius[i : i + 256, None] + radius, np.pi)))
+            fine = (a + i != b) & (first[a + i] != first[b] if across else True)
+            found.append((a[fine] + i, b[fine], sims[a[fine], b[fine]]))
+        a, b, sims = (np.concatenate(f) for f in zip(*found, strict=True))
+        return _told(group["node"].to_numpy(), group["size"].to_numpy(), radius, a, b, sims, least, np.ones(len(a), bool))
 
     return materialize(rows.groupBy("d", "i", "j").applyInPandas(compare, _FOUND), "vectors-found")
 
