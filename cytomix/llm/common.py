@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local master gets one of our own; any other has executors that would not see it, which is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="cytomix-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -40,8 +42,9 @@ def spread(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS, BROADCAST_ITEMS = 250_000, 8_000_000
 
 
-def join_stored(df: DataFrame, stored: DataFrame, on: list[str], how: str = "inner", items: str | None = None) -> DataFrame:
-    """df joined to a stored table of narrow rows, which is broadcast only if its counted rows, and the items of the array column named, are few."""
-    size = stored.agg(F.count(F.lit(1)).alias("rows"), (F.sum(F.size(items)) if items else F.lit(0)).alias("items")).head()
+def join_stored(df: DataFrame, stored: DataFrame, on: list[str], how: str = "inner", items: str | Column | None = None) -> DataFrame:
+    """df joined to a stored table of narrow rows, which is broadcast only if its counted rows, and the items of the array column named (or what else items counts in a row), are few."""
+    counted = F.lit(0) if items is None else F.sum(F.size(items) if isinstance(items, str) else items)
+    size = stored.agg(F.count(F.lit(1)).alias("rows"), counted.alias("items")).head()
     few = size["rows"] <= BROADCAST_ROWS and (size["items"] or 0) <= BROADCAST_ITEMS
     return df.join(F.broadcast(stored) if few else stored, on, how)

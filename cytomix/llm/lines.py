@@ -68,10 +68,10 @@ def led(rows: DataFrame, share: float) -> DataFrame:
 def recurring(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
     """(leaf, whole, first, often): the masked lines that recur, and the smallest key that has their template.
 
-    A line recurs often if its template occurs in min_docs documents; other passages recur from two documents on, as near-equal wording.
+    A line recurs often if min_docs different documents have its template; other passages recur from two documents on, as near-equal wording.
 
-    lines has the hashes of all lines; wording is read again from docs, for one document of each form in question. A leaf holds the lines of one token count and leading tokens. Within it, a token that enough documents have at a place is
-    fixed, any other is a variable field; a line whose fixed tokens are at least SIMILAR of all belongs to the template that they and
+    lines has the hashes of all lines; wording is read again from docs, for one document of each form in question. A leaf holds the lines of one token count and leading tokens. Within it, a token that forms have at a place min_docs times, a form counting
+    once for each document that has it, is fixed, any other is a variable field; a line whose fixed tokens are at least SIMILAR of all belongs to the template that they and
     wildcards make. A template that too few documents have is attached to the one of its leaf that recurs and has most tokens in common with it,
     at least SIMILAR of all, or else to another such template, and documents are counted after that. A leaf that too few documents reach cannot have a recurring template, and only the others are opened up.
     """
@@ -89,7 +89,9 @@ def recurring(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
     hashes = F.transform("f", lambda x: F.xxhash64("leaf", x))
     shaped = opened.join(kept, ["leaf", "whole"]).where(F.size("f") >= SIMILAR * F.size("t")).select("leaf", "whole", "docs", "first", F.size("t").alias("n"), hashes.alias("f"), F.xxhash64("leaf", "f").alias("id"))
     shaped = materialize(shaped, "lines-shaped")
-    groups = shaped.groupBy("leaf", "id", "n").agg(F.sum("docs").alias("docs"), F.first("f").alias("f"))
+    having = materialize(join_stored(lines.select("leaf", "whole", "key"), shaped.select("leaf", "whole", "id"), ["leaf", "whole"]).select("leaf", "id", "key").distinct(), "lines-having")
+    counts = having.groupBy("leaf", "id").agg(F.count(F.lit(1)).alias("docs"))
+    groups = shaped.groupBy("leaf", "id", "n").agg(F.first("f").alias("f")).join(counts, ["leaf", "id"])
     groups = materialize(groups, "lines-templates")
     own, loose = groups.where(F.col("docs") >= min_docs), groups.where(F.col("docs") < min_docs)
     shared = F.size(F.array_intersect("f", "to_f"))
@@ -99,9 +101,10 @@ def recurring(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
     enough = loose.groupBy("leaf").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).select("leaf")
     loose = materialize(loose.join(enough, "leaf", "left_semi"), "lines-loose")
     moved = own.select("leaf", "id", F.col("id").alias("to")).unionByName(near).unionByName(led(loose.withColumn("of", F.col("n")), SIMILAR))
-    shaped = materialize(shaped.join(materialize(moved, "lines-attached"), ["leaf", "id"]).select("leaf", "whole", "docs", "first", "to"), "lines-placed")
-    often = materialize(shaped.groupBy("leaf", "to").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs).select("leaf", "to", "first"), "lines-often")
-    often = materialize(shaped.select("leaf", "whole", "to").join(often, ["leaf", "to"]).select("leaf", "whole", "first", F.lit(True).alias("often")), "lines-recurring")
+    moved = materialize(moved, "lines-attached")
+    often = join_stored(having, moved, ["leaf", "id"]).select("leaf", "to", "key").distinct().groupBy("leaf", "to").agg(F.count(F.lit(1)).alias("docs"), F.min("key").alias("first"))
+    often = materialize(often.where(F.col("docs") >= min_docs).select("leaf", "to", "first"), "lines-often")
+    often = materialize(shaped.select("leaf", "whole", "id").join(moved, ["leaf", "id"]).join(often, ["leaf", "to"]).select("leaf", "whole", "first", F.lit(True).alias("often")), "lines-recurring")
     rest = opened.where("passage").join(often, ["leaf", "whole"], "left_anti").withColumnRenamed("whole", "id")
     rest = materialize(rest.select("leaf", "id", "docs", "first", F.size("t").alias("of"), F.transform("t", lambda x, i: F.xxhash64(i, x)).alias("f")), "lines-passages")
     moved = materialize(rest.join(led(rest, NEAR), ["leaf", "id"]).select("leaf", "id", "to", "docs", "first"), "lines-moved")
@@ -121,9 +124,11 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc
     empty, and its row stays. Rows with one id and text are one document and get the same answer. All other columns of docs stay;
     own columns named n_lines or n_dropped are replaced.
     """
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     id_key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    work = docs.withColumn("_key", F.struct(id_key.alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text")))
-    texts = work.select(F.col("_key").alias("key"), F.col(text_col).alias("text")).where("text is not null")
+    key = F.struct(id_key.alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).alias("text"), key.alias("key"))
+    texts = work.select("key", "text").where("text is not null")
     lines = materialize(_occurrences(texts).drop("m"), "lines-places")
     known = recurring(lines, texts, min_docs)
     marks = join_stored(lines, known, ["leaf", "whole"]).where("key <> first")
@@ -133,10 +138,14 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc
         for c, group in zip(("key", "first"), of, strict=True):
             marks = join_stored(marks, group, [f"{c}_id"], "left")
         marks = marks.where(F.col("often") | (F.coalesce("key_group", "key_id") != F.coalesce("first_group", "first_id")))
-    gone = materialize(marks.groupBy(F.col("key").alias("_key")).agg(F.collect_set("at").alias("_gone")), "lines-gone")
-    out = join_stored(work, gone, ["_key"], "left", items="_gone")
-    parts = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).drop("_key", "_gone")
+    gone = marks.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("gone"))
+    # a byte for each line up to the last one dropped, so that every line is looked up at once
+    before = lambda i: F.when(i > 0, F.get("gone", i - 1)).otherwise(-1)
+    flags = F.array_join(F.transform("gone", lambda at, i: F.concat(F.repeat(F.lit("0"), at - before(i) - 1), F.lit("1"))), "").cast("binary")
+    gone = materialize(gone.select("key", flags.alias("flags"), F.size("gone").alias("gone")), "lines-gone")
+    out = join_stored(work, gone, ["key"], "left", items=F.octet_length("flags"))
+    parts = F.split("text", "\n")
+    left = F.array_join(F.filter(parts, lambda _, i: F.substr("flags", i + 1, F.lit(1)) != F.lit(b"1")), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_dropped")]
+    return out.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in kept], *counts)

@@ -26,7 +26,7 @@ def brute(rows, least):
             groups.setdefault((leaf, f), []).append((t, ds))
     first = {}
     for (leaf, _), members in groups.items():
-        if sum(len(ds) for _, ds in members) >= least:
+        if len(set().union(*(ds for _, ds in members))) >= least:
             for t, _ in members:
                 first[leaf, t] = min(d[0] for _, ds in members for d in ds)
     out = {}
@@ -79,3 +79,27 @@ def test_lines_of_variable_fields_recur_only_as_they_stand(spark):
     rows = [(i, f"own{chr(97 + i)}\n{i} {i * 7} {i}.5 http://x.y/{i}\nTotal {i} {i * 3} {i * 5}\n10 20 30\nPage {i}") for i in range(8)]
     got = {r.doc_id: r.text for r in drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
     assert got == {i: t if i == 0 else t.replace("\n10 20 30", "").replace(f"\nPage {i}", "") for i, t in rows}
+
+
+def test_documents_of_a_template_are_counted_once(spark):
+    # two documents with three wordings each are not five documents
+    rows = [(i, f"own{chr(97 + i)}\n" + "\n".join(f"we hope that you meet {n} soon as was planned before" for n in names)) for i, names in enumerate((("Ann", "Bob", "Cem"), ("Dee", "Eva", "Fay")))]
+    rows += [(9, "we hope that you meet Gus soon as was planned before"), (10, "nothing else at all")]
+    got = {r.doc_id: r.text for r in drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == dict(rows)
+    more = [*rows, (11, "we hope that you meet Hal soon as was planned before"), (12, "we hope that you meet Ida soon as was planned before")]
+    got = {r.doc_id: r.n_dropped for r in drop_recurring(spark.createDataFrame(more, "doc_id long, text string"), 5).collect()}
+    assert got == {0: 0, 1: 3, 9: 1, 10: 0, 11: 1, 12: 1}
+
+
+def test_any_column_name_may_be_in_the_input(spark):
+    docs = spark.createDataFrame([(i, "one and the same line of words\nown", *range(7)) for i in range(6)], "doc_id long, text string, _key int, _gone int, row int, key int, gone int, flags int, leaf int")
+    got = drop_recurring(docs, 5).collect()
+    assert all(tuple(r)[2:9] == tuple(range(7)) for r in got) and [r.n_dropped for r in sorted(got)] == [0, 2, 2, 2, 2, 2]
+
+
+def test_many_lines_take_linear_time(spark):
+    text = "\n".join(["one and the same line of words", "other"] * 40_000)
+    docs = spark.createDataFrame([(i, text if i < 2 else "one and the same line of words") for i in range(6)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in drop_recurring(docs, 5).collect()}
+    assert got[1] == (80_000, 40_000) and got[5] == (1, 1)
