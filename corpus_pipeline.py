@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages, each calling one operator of cytomix.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents.
+
+Null and empty texts pass every stage that does not score them as toxic: they have no lines to drop, link with no document, weigh nothing in the mix (and are in it once, as their source is), and have no
+pieces; an empty table passes as an empty one. Repeated rows are scored alike, are one document to the line stage, and stay or go together as near copies, all with the smallest id staying. Columns of
+docs other than those named stay as they are. Near copies are told by five words and a similarity of 0.8, the setting for such stages; op1_minhash has its own.
 """
 
 from __future__ import annotations
