@@ -14,7 +14,10 @@ from cytomix.sources.stored import small, stored
 
 
 def cluster_matrix(gex: DataFrame, omega: DataFrame, fraction: DataFrame, weighing: str = "Omega") -> DataFrame:
-    """(celltype, sample, gene, x) from gex (celltype, sample, gene, nu): centred per gene and weighted by omega, or by omega and fraction, or only centred, or as it is."""
+    """(celltype, sample, gene, x) from gex (celltype, sample, gene, nu): centred per gene and weighted by omega, or by omega and fraction, or only centred, or as it is.
+
+    Genes without omega, and samples without a fraction, have no weight and are left out.
+    """
     centred = F.col("nu") - F.avg("nu").over(Window.partitionBy("celltype", "gene"))
     if weighing == "no_weighing":
         return gex.select("celltype", "sample", "gene", F.col("nu").alias("x"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_wide(spark: SparkSession, path: str, key: str, name: str, value: str, sep: str = "\t") -> DataFrame:
     """A wide text file (a key column, then a numeric column for each name) as rows (key, name, value). NaN becomes null."""
-    wide = spark.read.csv(path, sep=sep, header=True)
-    first, *rest = wide.columns
-    long = wide.select(F.col(f"`{first}`").alias(key), *[F.col(f"`{c}`").cast("double").alias(c) for c in rest]).unpivot(key, rest, name, value)
+    first, *rest = spark.read.csv(path, sep=sep, header=True).columns
+    schema = T.StructType([T.StructField(first, T.StringType()), *(T.StructField(c, T.DoubleType()) for c in rest)])
+    wide = spark.read.csv(path, sep=sep, header=True, schema=schema)
+    long = wide.select(F.col(f"`{first}`").alias(key), *[F.col(f"`{c}`").alias(c) for c in rest]).unpivot(key, rest, name, value)
     return long.withColumn(value, F.when(~F.isnan(value), F.col(value)))
 
 

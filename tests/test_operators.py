@@ -42,23 +42,21 @@ def test_choice_of_k(spark, curve, k):
     assert states.pick_k(df).head().chosen == k
 
 
-def planted(spark, rnd):
-    mu = rnd.normal(3, 1.2, (60, 4))
-    f = rnd.dirichlet(np.ones(4), 30)
-    y = np.exp(mu) @ f.T * np.exp(rnd.normal(0, 0.05, (60, 30)))
-    b = spark.createDataFrame([(g, s, float(y[g, s])) for g in range(60) for s in range(30)], "gene int, sample int, expr double")
-    sig = spark.createDataFrame([(g, c, float(mu[g, c]), 0.05) for g in range(60) for c in range(4)], "gene int, celltype int, mu double, std double")
-    return b, sig, f
-
-
-def test_planted_fractions_are_recovered(spark):
-    b, sig, f = planted(spark, np.random.default_rng(1))
-    got = {(r.sample, r.celltype): r.fraction for r in model.deconvolve(b, sig).collect()}
-    est = np.array([[got[s, c] for c in range(4)] for s in range(30)])
-    assert np.allclose(est.sum(1), 1) and np.corrcoef(est.ravel(), f.ravel())[0, 1] > 0.97
-    frac = spark.createDataFrame([(s, c, float(f[s, c])) for s in range(30) for c in range(4)], "sample int, celltype int, fraction double")
-    nu = model.refine(b, sig, frac)
-    assert nu.count() == 60 * 30 * 4
+def test_exact_ties_take_the_earlier_number_of_states(spark):
+    df = spark.createDataFrame([(0, 2, 1.0), (0, 3, 0.75), (0, 4, 0.25)], "celltype int, k int, c double")
+    assert states.pick_k(df, 0.5).head().chosen == 2
+
+
+def test_divergence_keeps_terms_without_a_logarithm(spark):
+    df = spark.createDataFrame([([0.0, 1.0], [2.0, 1.0]), ([-1.0, 3.0], [1.0, -2.0]), ([-1.0], [-2.0])], "a array<double>, b array<double>")
+    got = [r[0] for r in df.select(special.kl_divergence("a", "b")).collect()]
+    assert np.allclose(got, [2.0, 2.0 - 5.0, np.log(2.0) - 1.0])
+
+
+def test_signed_parts_and_interpolation(spark):
+    knots = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 1.0), (2.0, 5.0), (4.0, 3.0))])
+    rows = spark.createDataFrame([(-1.0,), (0.0,), (1.0,), (2.0,), (3.5,), (9.0,)], "x double").select("x", special.interpolated("x", knots).alias("y"), special.positive_part("x").alias("p"), special.negative_part("x").alias("n")).collect()
+    assert np.allclose([r.y for r in rows], np.interp([r.x for r in rows], [0, 2, 4], [1, 5, 3])) and all(r.p - r.n == r.x for r in rows)
 
 
 def test_covariance_needs_no_pairs(spark):
