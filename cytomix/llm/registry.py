@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytomix.llm import html, lines, minhash, mixing, pieces, secrets, simhash, suffixes, toxicity, vectors
-from cytomix.llm.common import table
+from cytomix.llm.common import materialize, table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    marks = materialize(simhash.edited_fingerprints(table(spark, sf_dir, "documents")), "op6-marks")
+    return marks.join(simhash.near_counts(marks), "fingerprint", "left").select(*marks.columns, "n_near")
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +61,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash, op2_vectors, op3_pieces, op4_html, op5_mixing, op6_simhash, op7_suffixes, op8_toxicity, op9_lines, op10_secrets)}
 
 
+#: Shingle sets as lists, joined by the hashes of their items.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w)
+- 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.h = b.h AND a.doc_id <> b.doc_id WHERE 100 * least(a.n, b.n) >= 85 *
+greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b)
+SELECT s.doc_id, CAST(max(len(s.s)) AS BIGINT) AS n_shingles, min(r.b) AS component_id, min(r.b) = s.doc_id AS kept FROM sets s JOIN reach r ON r.a =
+s.doc_id GROUP BY s.doc_id
+"""
+#: All pairs of vectors.
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b)
+SELECT v.vec_id, (SELECT count(*) FROM pairs p WHERE p.a = v.vec_id) AS n_links, min(r.b) AS component_id, min(r.b) = v.vec_id AS kept, CAST(1 AS
+DOUBLE) AS recall FROM v JOIN reach r ON r.a = v.vec_id GROUP BY v.vec_id
+"""
+#: All strings of 200 bytes, in hex.
+OP7_SQL = """
+WITH hexed AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+grams AS (SELECT doc_id, i, hash(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS m FROM hexed, LATERAL (SELECT unnest(range(0, greatest(0, len(h) // 2 -
+199))) AS i) AS t),
+again AS (SELECT m FROM grams GROUP BY m HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM grams SEMI JOIN again USING (m)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM hits GROUP BY doc_id, run),
+marked AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS
+fresh FROM runs),
+joined AS (SELECT doc_id, a, b, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS part FROM marked),
+spans AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM joined GROUP BY doc_id, part),
+kept AS (SELECT s.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * coalesce(prev, 0) + 1, 2 * (a - coalesce(prev, 0))),
+'' ORDER BY a) || substr(max(h), 2 * max(b) + 1) AS rest FROM (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM spans) AS s JOIN
+hexed USING (doc_id) GROUP BY s.doc_id)
+SELECT x.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS
+n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM hexed x LEFT JOIN kept k ON k.doc_id = x.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Classifiers, graphs of pieces and hashes of another engine have no counterpart in SQL; tests compare those with brute force."""
+    return {"op1_minhash": OP1_SQL, "op2_vectors": OP2_SQL, "op7_suffixes": OP7_SQL}

@@ -12,11 +12,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytomix.llm.common import materialize
+from cytomix.llm.common import join_stored, materialize
 
 BITS = 256
 #: Documents in a range of ids, about, and the most ranges (their bounds go through the driver).
 RANGE_DOCS, RANGES = 2000, 4096
+#: Fingerprints of one block that meet in a task at once, about.
+PART = 1000
 
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1.0
 _LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -114,6 +116,54 @@ def _differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.conv(F.substring(a, i, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(b, i, 8), 16, 10).cast("long"))) for i in range(1, BITS // 4, 8)), F.lit(0))
 
 
+def _cuts(radius: int) -> list[tuple[int, int]]:
+    """The hex digits cut into radius + 2 blocks, of which fingerprints at most radius bits apart agree in two at least."""
+    digits, n = BITS // 4, radius + 2
+    at = [round(digits * i / n) for i in range(n + 1)]
+    return list(zip(at, at[1:]))
+
+
+def _tables(mark: str, radius: int) -> Column:
+    """The key of a fingerprint in each permuted table: one for each two blocks."""
+    cuts = _cuts(radius)
+    return F.array(*[F.xxhash64(F.lit(i), *[F.substring(mark, a + 1, b - a) for a, b in two]) for i, two in enumerate(combinations(cuts, 2))])
+
+
+def near_counts(marks: DataFrame, radius: int = 3, mark_col: str = "fingerprint") -> DataFrame:
+    """(mark_col, n_near) for each fingerprint: how many other rows have one at most radius bits away, equal ones included.
+
+    Equal fingerprints are one, with a count. A table for each two blocks brings close ones together, so none is missed; a pair counts in the first table
+    that has it. Pairs are counted where they meet, not stored: a crowded block is cut into parts of about PART, and each part meets each. Null fingerprints are left out.
+    """
+    classes = materialize(marks.where(F.col(mark_col).isNotNull()).groupBy(F.col(mark_col).alias("mark")).agg(F.count(F.lit(1)).alias("size")), "simhash-classes")
+    entries = classes.select("mark", "size", F.posexplode(_tables("mark", radius)).alias("t", "block"))
+    shared = materialize(entries.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "simhash-blocks")
+    rows = join_stored(entries, shared, ["block"]).withColumn("mine", F.pmod(F.xxhash64("mark"), F.col("parts")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, "mine").alias("i"), F.greatest(o, "mine").alias("j")))
+    rows = rows.select("block", "t", "mark", "size", "mine", F.explode(cells).alias("cell")).select("block", "t", "mark", "size", "mine", "cell.*")
+    cuts, two = _cuts(radius), list(combinations(range(radius + 2), 2))
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        p, q = (group[group["mine"] == group[c]] for c in ("i", "j"))
+        one, other = two[group["t"].iloc[0]]
+        x, y = (np.frombuffer(bytes.fromhex("".join(g["mark"])), np.uint64).reshape(len(g), BITS // 64) for g in (p, q))
+        near = np.zeros((len(x), len(y)), np.int64)
+        for k in range(x.shape[1]):
+            near += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+        near = (near > 0) & (near <= radius)
+        for b in range(other + 1):  # this table is the first that has the pair if no other block before its second one agrees
+            u, v = (np.array([int(m[cuts[b][0] : cuts[b][1]], 16) for m in g["mark"]], np.uint64) for g in (p, q))
+            near &= (u[:, None] == v) == (b in (one, other))
+        found = [(p["mark"], near @ q["size"].to_numpy())]
+        if group["i"].iloc[0] != group["j"].iloc[0]:
+            found.append((q["mark"], near.T @ p["size"].to_numpy()))
+        out = pd.concat([pd.DataFrame({"mark": m.to_numpy(), "n": n}) for m, n in found])
+        return out[out["n"] > 0]
+
+    met = rows.groupBy("block", "i", "j").applyInPandas(count, "mark string, n long").groupBy("mark").agg(F.sum("n").alias("n"))
+    return classes.join(met, "mark", "left").select(F.col("mark").alias(mark_col), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_near"))
+
+
 def within_radius(marks: DataFrame, radius: int = 6, id_col: str = "doc_id", mark_col: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
     """All pairs of different fingerprints at most radius bits apart, and the class of each row.
 
@@ -123,10 +173,7 @@ def within_radius(marks: DataFrame, radius: int = 6, id_col: str = "doc_id", mar
     """
     rows = marks.select(F.col(id_col).alias("id"), F.col(mark_col).alias("mark"))
     classes = materialize(rows.where("mark is not null").groupBy("mark").agg(F.min("id").alias("head")), "simhash-classes")
-    digits, n = BITS // 4, radius + 2
-    cuts = [round(digits * i / n) for i in range(n + 1)]
-    tables = F.array(*[F.xxhash64(F.lit(i), *[F.substring("mark", cuts[x] + 1, cuts[x + 1] - cuts[x]) for x in two]) for i, two in enumerate(combinations(range(n), 2))])
-    entries = classes.select("head", "mark", F.explode(tables).alias("block"))
+    entries = classes.select("head", "mark", F.explode(_tables("mark", radius)).alias("block"))
     other = entries.select(F.col("head").alias("head_"), F.col("mark").alias("mark_"), "block")
     far = _differing("mark", "mark_")
     pairs = entries.join(other, "block").where((F.col("head") < F.col("head_")) & (far <= radius)).select(F.col("head").alias("a"), F.col("head_").alias("b"), far.alias("distance")).distinct()

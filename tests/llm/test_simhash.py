@@ -1,7 +1,8 @@
 import hashlib
 import random
 
-from cytomix.llm.simhash import edited_fingerprints, fingerprint, likeness, within_radius
+from cytomix.llm import simhash
+from cytomix.llm.simhash import edited_fingerprints, fingerprint, likeness, near_counts, within_radius
 
 
 def test_against_brute_force(spark):
@@ -31,7 +32,7 @@ def test_small_tables(spark):
     assert edited_fingerprints(spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c")], "doc_id long, text string")).count() == 3
 
 
-def test_radius_search_finds_all(spark):
+def test_radius_search_finds_all(spark, monkeypatch):
     rnd = random.Random(1)
     marks = []
     for i in range(40):
@@ -48,3 +49,9 @@ def test_radius_search_finds_all(spark):
     want = {(a, b) for x, a in heads.items() for y, b in heads.items() if a < b and (int(x, 16) ^ int(y, 16)).bit_count() <= 6}
     assert {(r.a, r.b) for r in pairs.collect()} == want and want
     assert dict(map(tuple, members.collect()))[9000] == marks[0][0]
+    bits = [int(m, 16) for _, m in marks if m]
+    want = {m: sum((int(m, 16) ^ x).bit_count() <= 6 for x in bits) - 1 for _, m in marks if m}
+    for part in (1000, 3):
+        monkeypatch.setattr(simhash, "PART", part)
+        assert dict(map(tuple, near_counts(spark.createDataFrame(marks, "doc_id long, fingerprint string"), 6).collect())) == want
+    assert near_counts(spark.createDataFrame([], "doc_id long, fingerprint string")).count() == 0
