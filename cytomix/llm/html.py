@@ -19,15 +19,15 @@ from cytomix.llm.common import materialize
 TRAIN_PAGES = 600
 
 # How elements behave in HTML.
-RAW = "script style noscript template iframe svg textarea select title head object math canvas".split()
+RAW = "script style template iframe textarea select title".split()
 VOID = "area base br col embed hr img input link meta source track wbr".split()
-INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()
+INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math mi mn mo mrow mfrac msqrt msub msup mtext object canvas svg noscript picture audio video".split()
 CLOSES = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "option": ["option"]}
 # Words in tags, classes and ids that speak for or against main text.
 FOR = "article main content post entry story body text page headline".split()
 AGAINST = "nav navigation menu header footer sidebar side aside ad ads advert advertisement banner promo sponsor sponsored cookie consent notice alert popup modal form search login comment comments reply discussion respond share social related recommended subscribe newsletter breadcrumb breadcrumbs widget tags pagination pager toolbar copyright legal skip".split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][\w:-]*)")
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _RAW, _VOID, _INLINE, _FOR, _AGAINST = map(frozenset, (RAW, VOID, INLINE, FOR, AGAINST))
@@ -36,6 +36,39 @@ _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 FEATURES = ("for", "against", "for_above", "against_above", "depth", "siblings", "place", "same_siblings", "own_chars", "own_words", "link_share", "subtree_share", "subtree_density", "subtree_links", "paragraphs_below", "is_paragraph", "is_heading", "is_list", "below_share")
 
 
+#: Open elements among which a list item, cell or row looks for the one of its kind that it closes.
+NEAR = 32
+
+
+class _Marks:
+    """Places of strings in a text, found by going forward: each string's next place is remembered, so that many questions cost one pass."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+
+    def next(self, what: str, at: int, more: int = 0) -> int:
+        """The next place of what from at on, plus more; the text's length where there is none."""
+        place = self.known.get(what, -1)
+        if place < at:
+            place = self.text.find(what, at)
+            self.known[what] = place = len(self.text) if place < 0 else place
+        return min(len(self.text), place + more)
+
+
+def _tag_end(html: str, at: int, marks: _Marks) -> int:
+    """The place past the tag whose attributes start at at. Quotes shield >, unless the quote never closes, or a tag begins before it does; then the first > ends the tag."""
+    first = marks.next(">", at, 1)
+    while True:
+        close = marks.next(">", at)
+        quote = min(marks.next('"', at), marks.next("'", at))
+        if quote >= close:
+            return min(len(html), close + 1)
+        after = marks.next(html[quote], quote + 1)
+        if after >= len(html) or html.count("<", first, after) and _NAME.match(html, html.find("<", first, after) + 1):
+            return first
+        at = after + 1
+
+
 class Page:
     """A page as a list of block elements. Text and links inside inline elements count for the block around them.
 
@@ -46,30 +79,46 @@ class Page:
         self.tag, self.parent, self.attrs = ["html"], [-1], [""]
         self.own, self.words, self.linked, self.tags_in = [0], [0], [0], [1]
         self.pieces: list[tuple[int, str | None]] = []
-        html, stack, links, at, end = html or "", [0], 0, 0, len(html or "")
-        while at < end:
-            m = _TOKEN.match(html, at)
-            if m is None:
-                break
-            at = m.end()
-            text, name = m[4], m[2]
-            if text is not None:
-                node = stack[-1]
-                text = unescape(text) if "&" in text else text
-                self.pieces.append((node, text))
-                n = len(text)
-                self.own[node] += n
-                self.words[node] += text.count(" ") + 1
-                if links:
-                    self.linked[node] += n
-            elif name:
-                at, links = self._tag(m[1], name.lower(), m[3], html, at, stack, links)
+        html, stack, links, at = html or "", [0], 0, 0
+        self._open: dict[str, int] = {}
+        self._unclosed: set[str] = set()
+        marks = _Marks(html)
+        while at < len(html):
+            mark = marks.next("<", at)
+            if mark > at or not self._markup(html, mark):
+                stop = mark if mark > at else marks.next("<", at + 1)
+                self._text(html[at:stop], stack[-1], links)
+                at = stop
+            elif html.startswith("<!--", at):
+                at = marks.next("-->", at + 4, 3)
+            elif html[at + 1] in "!?":
+                at = marks.next(">", at, 1)
+            else:
+                m = _NAME.match(html, at + 1)
+                stop = _tag_end(html, m.end(), marks)
+                at, links = self._tag(m[1], m[2].lower(), html[m.end() : stop - 1], html, stop, stack, links)
+
+    @staticmethod
+    def _markup(html: str, at: int) -> bool:
+        """Whether a tag, comment or declaration begins at at; another < is text."""
+        return html.startswith(("<!", "<?"), at) or _NAME.match(html, at + 1) is not None
+
+    def _text(self, text: str, node: int, links: int) -> None:
+        text = unescape(text) if "&" in text else text
+        self.pieces.append((node, text))
+        n = len(text)
+        self.own[node] += n
+        self.words[node] += text.count(" ") + 1
+        if links:
+            self.linked[node] += n
 
     def _tag(self, slash: str, name: str, attrs: str, html: str, at: int, stack: list[int], links: int) -> tuple[int, int]:
         self.tags_in[stack[-1]] += 1
         if name in _RAW:
-            if not slash and not attrs.endswith("/") and name != "head":
+            if not slash and not attrs.endswith("/") and name not in self._unclosed:
                 found = _ENDS[name].search(html, at)
+                if found is None:
+                    self._unclosed.add(name)  # it hides the rest
                 return (found.end() if found else len(html)), links
             return at, links
         if name == "a":
@@ -81,22 +130,22 @@ class Page:
                 self.pieces.append((stack[-1], None))
             return at, links
         if slash:
-            for i in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[i]] == name:
-                    del stack[i:]
-                    break
-                if self.tag[stack[i]] in ("article", "main", "body") and name == "p":
-                    break
-        elif name not in ("html", "body"):
+            if self._open.get(name, 0) and not (name == "p" and self.tag[stack[-1]] in ("article", "main", "body")):
+                while self._pop(stack) != name:
+                    pass
+        elif name not in ("html", "head", "body"):
             if name not in CLOSES and self.tag[stack[-1]] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                stack.pop()
-            for i in range(len(stack) - 1, 0, -1):
-                t = self.tag[stack[i]]
-                if t in CLOSES.get(name, ()):
-                    del stack[i:]
-                    break
-                if t in ("ul", "ol", "dl", "table") or name not in CLOSES:
-                    break
+                self._pop(stack)
+            ends = CLOSES.get(name, ())
+            if any(self._open.get(t, 0) for t in ends):
+                for i in range(len(stack) - 1, max(0, len(stack) - NEAR), -1):
+                    t = self.tag[stack[i]]
+                    if t in ends:
+                        while len(stack) > i:
+                            self._pop(stack)
+                        break
+                    if t in ("ul", "ol", "dl", "table"):
+                        break
             self.tag.append(name)
             self.parent.append(stack[-1])
             self.attrs.append(attrs)
@@ -104,10 +153,16 @@ class Page:
                 x.append(0)
             self.tags_in.append(1)
             stack.append(len(self.tag) - 1)
+            self._open[name] = self._open.get(name, 0) + 1
             links = 0
         self.pieces.append((stack[-1], None))
         return at, links
 
+    def _pop(self, stack: list[int]) -> str:
+        name = self.tag[stack.pop()]
+        self._open[name] -= 1
+        return name
+
     def features(self) -> np.ndarray:
         n = len(self.tag)
         good, bad = [0] * n, [0] * n
@@ -193,8 +248,10 @@ def sample_page(seed: int) -> tuple[str, list[bool]]:
         if tag not in ("p", "li") or rnd.random() < 0.8:
             out.append(f"</{tag}>")
 
+    telling = rnd.random() < 0.7  # other pages name their parts by words that say nothing
+
     def named(*names: str) -> str:
-        return f' {rnd.choice(("class", "id"))}="{rnd.choice(names)}"'
+        return f' {rnd.choice(("class", "id"))}="{rnd.choice(names if telling else stock)}"'
 
     def link_list(n: int) -> None:
         block("ul", False, lambda: [block("li", False, f'<a href="/{i}">{words(1, 3)}</a>') for i in range(n)])
@@ -299,8 +356,8 @@ def main_text(html: list[str | None], forest: trees.Trees) -> list[str]:
 def extract(pages: DataFrame, forest: trees.Trees, html_col: str = "html") -> DataFrame:
     """pages with columns text (main text, empty if none) and n_chars (its code points) in place of html_col.
 
-    Null and empty html give empty text. Markup that never closes runs to the page's end; a script or style that never closes hides the
-    rest. One pass, no shuffle; repeated rows each get a row; other columns stay, but for own columns named text and n_chars, which are replaced.
+    Null and empty html give empty text. A tag or comment that never closes runs to the page's end; a script or style that never closes hides the
+    rest. A quote that never closes, or not before another tag, quotes nothing. Formulas and the text inside embedded objects count as text of the block around them. Time is linear in the page's length. One pass, no shuffle; repeated rows each get a row; other columns stay, but for own columns named text and n_chars, which are replaced.
     """
     shared = pages.sparkSession.sparkContext.broadcast(forest)
 

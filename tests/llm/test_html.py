@@ -1,6 +1,8 @@
 import re
+import time
 from html import unescape
 
+import numpy as np
 import pytest
 
 from cytomix.llm import html as H
@@ -52,3 +54,29 @@ def test_edges(spark, forest):
     got = {r.page_id: r.text for r in H.extract(pages, forest).collect()}
     assert got[1] == got[2] == "" and got[5] == "A <b> &copy; A Bcd e" and got[6] == ("long words here " * 20000).strip()
     assert H.extract(pages.limit(0), forest).count() == 0
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("Let <math><mi>x</mi></math> be", "Let x be"), ("<object>in place of it</object>", "in place of it"), ('<p class="x>broken', "broken"), ('<p class="x>broken</p><p class="y">fine</p>', "broken fine"),
+    ('<a title="a > b">q</a> 1 < 2', "q 1 < 2"), ("a <!-- b --> c <!-- d", "a c"), ("<p>it's <b>that's</b></p>", "it's that's"), ("<title>t</title><p>a</p></html>b", "a b"),
+])
+def test_markup(html, text):
+    page = H.Page(html)
+    assert page.text(np.ones(len(page.tag), bool)) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<p>", '<a "', "<p a='b\" ", "<div><li>", "<table><div><td>x", "<!-- ", "<script>", "<", "&", '<a b="c>" d>', '<p a="x>'])
+def test_a_long_broken_page_takes_linear_time(part):
+    began = time.perf_counter()
+    page = H.Page(part * (1_000_000 // len(part)) + ("</section>" * 20_000 if part == "<div>" else ""))
+    page.decode(np.full(len(page.tag), 0.5))
+    assert time.perf_counter() - began < 10
+
+
+def test_pages_with_other_names(forest):
+    body = "<h1>How rivers move</h1><p>Water finds the lowest way and takes sand along with it, grain by grain, for as long as it flows.</p><p>After a flood the bed has often moved by more than a field's width, as old maps show.</p>"
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">Topic {i}</a></li>' for i in range(8)) + "</ul>"
+    for wrap in ('<div class="txt">{}</div>', '<section id="lead"><div>{}</div></section>', '<td class="mainbox">{}</td>', "<main>{}</main>"):
+        html = f'<html><body><div class="topline">{menu}</div>{wrap.format(body)}<div class="bottomline"><a href="/a">About</a> <a href="/b">Contact</a></div></body></html>'
+        (text,) = H.main_text([html], forest)
+        assert plain(body[body.index("<p>") :]) in text and "Topic" not in text and "Contact" not in text, wrap
