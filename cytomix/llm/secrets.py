@@ -24,6 +24,8 @@ SAMPLE_DOCS, SAMPLE_STRINGS = 400, 3000
 LEAST_TOTAL, LEAST_MEAN = 15.0, 0.6
 
 BACKOFF = 10.0
+#: Spans of a text that are gathered in one run.
+RUN = 256
 
 _MARK, _OTHER = "\u0001", "\u0002"
 
@@ -36,9 +38,13 @@ def _pieces(text: Column, pattern: str) -> Column:
 def _spans(pieces: str, kind: int, keep: str) -> Column:
     """(start, kind, end) in code points of the matches p in an array made by _pieces for which keep holds."""
     nothing = "cast(array() as array<struct<start:long,kind:int,end:long>>)"
-    fold = f"""aggregate({pieces}, named_struct('at', 0L, 'inside', false, 'found', {nothing}),
-        (s, p) -> named_struct('at', s.at + length(p), 'inside', not s.inside, 'found', if(s.inside and {keep},
-            concat(s.found, array(named_struct('start', s.at, 'kind', {kind}, 'end', s.at + length(p)))), s.found)), s -> s.found)"""
+    span = f"array(named_struct('start', s.at, 'kind', {kind}, 'end', s.at + length(p)))"
+    # spans gather in runs, so that a match copies no more than RUN of those before it
+    fold = f"""aggregate({pieces}, named_struct('at', 0L, 'inside', false, 'run', {nothing}, 'runs', array({nothing})),
+        (s, p) -> if(s.inside and {keep},
+            named_struct('at', s.at + length(p), 'inside', false, 'run', if(size(s.run) < {RUN}, concat(s.run, {span}), {span}), 'runs', if(size(s.run) < {RUN}, s.runs, concat(s.runs, array(s.run)))),
+            named_struct('at', s.at + length(p), 'inside', not s.inside, 'run', s.run, 'runs', s.runs)),
+        s -> concat(flatten(s.runs), s.run))"""
     return F.expr(f"if(size({pieces}) > 1, {fold}, {nothing})")
 
 

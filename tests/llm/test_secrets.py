@@ -27,6 +27,15 @@ def test_scan_matches_brute_force_and_finds_random_tokens(spark):
     assert (row.spans, row.base_sha256) == ("random:6:30", hashlib.sha256(b"").hexdigest())
 
 
+def test_many_matches_in_one_text(spark):
+    h = hashlib.sha1(b"y").hexdigest()
+    text = " ".join([h] * 3000)
+    docs = spark.createDataFrame([(1, text), (1, text), (2, f"{h} x")], "doc_id long, text string")
+    got = S.scan(docs, S.fit(docs.limit(0).selectExpr("text as token", "0 as label"))).collect()
+    assert [len(r.base) for r in sorted(got, key=lambda r: -len(r.base))] == [3000, 3000, 1]
+    assert all([tuple(s) for s in r.base] == brute(text if len(r.base) > 1 else f"{h} x") for r in got)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.scan(docs, S.fit(S.samples(docs))).count() == 0
