@@ -36,3 +36,16 @@ def test_stages_against_brute_force(spark):
     library = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
     last = steps[5].collect()
     assert sorted((r.doc_id, r.ids) for r in last) == sorted((i, library.encode(t)) for i, t in rows[4]) and all(r.round_trip for r in last)
+
+
+def test_stages_on_nulls_repeats_and_an_empty_table(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "a quiet line of plain words about the weather in the hills"
+    rows = [(1, None, None, None, None), (2, "", "en", "web", 0), (3, text, "en", "web", len(text)), (3, text, "en", "web", len(text)), (9, text, "en", "web", len(text))]
+    for rows, ids in ((rows, {1, 2, 3}), ([], set())):
+        docs = spark.createDataFrame(rows, kind)
+        for name, stage in C.STAGES[:-1]:
+            docs = materialize(stage(spark, docs, SF), f"test-{name}")
+            assert docs.columns == kind.replace(" long", "").replace(" string", "").split(", ")
+        assert {r.doc_id for r in docs.collect()} == ids
+        assert {r.doc_id: r.ids for r in C.STAGES[-1][1](spark, docs, SF).collect()}.keys() == ids
