@@ -96,7 +96,7 @@ def test_model_recovers_planted_fractions(spark):
     bulk, signature, f = planted(spark)
     start = {(r.sample, r.celltype): r.fraction for r in V.regression_start(bulk, signature).collect()}
     assert np.corrcoef([start[s, c] for s in range(12) for c in range(3)], f.ravel())[0, 1] > 0.95
-    fit = V.fit_model(bulk, signature, sy=0.05, reps=2, iterations=3)
+    fit = V.fit_model(bulk, signature, sy=0.05, reps=2, iterations=1)
     beta = {(r.sample, r.celltype): r.beta for r in fit["beta"].collect()}
     est = np.array([[beta[s, c] for c in range(3)] for s in range(12)])
     est /= est.sum(1, keepdims=True)
@@ -104,7 +104,7 @@ def test_model_recovers_planted_fractions(spark):
     assert fit["nu"].count() == 40 * 12 * 3 and fit["omega"].count() == 40 * 3
     rows = fit["objective"].collect()
     assert len(rows) == 2 and max(rows, key=lambda r: r.value).best
-    again = {(r.sample, r.celltype): r.beta for r in V.fit_model(bulk.repartition(5), signature, sy=0.05, reps=2, iterations=3)["beta"].collect()}
+    again = {(r.sample, r.celltype): r.beta for r in V.fit_model(bulk.repartition(5), signature, sy=0.05, reps=2, iterations=1)["beta"].collect()}
     assert all(abs(again[k] - v) < 1e-3 * max(1, v) for k, v in beta.items())
 
 
