@@ -31,4 +31,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a hint to broadcast it if it has most rows at most. Counting reads it once more, so use it on tables that sums have made small."""
-    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
