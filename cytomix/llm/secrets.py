@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,7 +130,12 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def _is(kind: int) -> Callable[[Column], Column]:
+    """Whether a span is of this kind. One parameter only: Spark hands a second one the element's place."""
+    return lambda span: span["kind"] == kind
+
+
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The digest columns of scan()'s rows: counts by kind, a hash of the base spans, and all spans."""
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    count = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select(id_col, *count, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_random"))
