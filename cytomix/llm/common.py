@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +50,18 @@ def join_stored(df: DataFrame, stored: DataFrame, on: list[str], how: str = "inn
     size = stored.agg(F.count(F.lit(1)).alias("rows"), counted.alias("items")).head()
     few = size["rows"] <= BROADCAST_ROWS and (size["items"] or 0) <= BROADCAST_ITEMS
     return df.join(F.broadcast(stored) if few else stored, on, how)
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def runs(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """text cut before white space into runs of about size bytes, so that the words of a long text need not be held at once."""
+    at = 0
+    while len(text) - at > size:
+        cut = _BLANK.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]

@@ -14,11 +14,11 @@ def test_matches_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     want = con.execute(registry.oracle_sql()[name]).df()
     got = registry.queries()[name](spark, sf).toPandas()[list(want.columns)]
-    key = want.columns[0]
-    assert got.sort_values(key, ignore_index=True).equals(want.sort_values(key, ignore_index=True).astype(got.dtypes.to_dict()))
+    key = list(want.columns)
+    assert len(got) == len(want) > 0 and got.sort_values(key, ignore_index=True).equals(want.sort_values(key, ignore_index=True).astype(got.dtypes.to_dict()))
 
 
-@pytest.mark.parametrize(("name", "table"), [("op3_pieces", "documents"), ("op4_html", "pages"), ("op5_mixing", "documents"), ("op6_simhash", "documents"), ("op8_toxicity", "documents"), ("op9_lines", "documents"), ("op10_secrets", "documents")])
+@pytest.mark.parametrize(("name", "table"), [("op3_pieces", "documents"), ("op4_html", "pages"), ("op5_mixing", "documents"), ("op6_simhash", "documents"), ("op8_toxicity", "documents"), ("op9_lines", "documents"), ("op10_secrets", "documents"), ("op12_quality", "documents")])
 def test_a_row_for_each_row(spark, name, table):
     sf = "/root/testdata/sf0.001"
     got = registry.queries()[name](spark, sf).toPandas()
