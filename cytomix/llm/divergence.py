@@ -47,7 +47,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
         held: dict[str, Counter] = defaultdict(Counter)
 
         def out() -> Iterator[pd.DataFrame]:
-            for lang, seen in held.items():
+            for lang, seen in ((k, v) for k, v in held.items() if v):
                 yield pd.DataFrame({"lang": lang, "term": [t.decode() for t in seen], "docs": list(seen.values())})
             held.clear()
 
@@ -180,7 +180,7 @@ def group_counts(docs: DataFrame, shards: DataFrame, index_bytes: int = INDEX_BY
             waiting.clear()
 
         def out() -> Iterator[pd.DataFrame]:
-            for (lang, source), slots in dense.items():
+            for (lang, source), slots in ((k, v) for k, v in dense.items() if v.any()):
                 at = np.flatnonzero(slots)
                 shard = np.searchsorted(lookups[lang].starts + lookups[lang].n, at, side="right")
                 yield pd.DataFrame({"lang": lang, "source": source, "shard": shard, "slot": at - lookups[lang].starts[shard], "n": slots[at]})
@@ -206,7 +206,7 @@ def _joined_counts(docs: DataFrame, shards: DataFrame) -> DataFrame:
         held: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
         def out() -> Iterator[pd.DataFrame]:
-            for (lang, source), seen in held.items():
+            for (lang, source), seen in ((k, v) for k, v in held.items() if v):
                 yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode() for t in seen], "n": list(seen.values())})
             held.clear()
 
@@ -263,7 +263,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
         between: dict[str, tuple[list[str], np.ndarray]] = {}
 
         def out() -> Iterator[pd.DataFrame]:
-            for lang, (names, value) in between.items():
+            for lang, (names, value) in ((k, v) for k, v in between.items() if len(v[0]) > 1):
                 i, j = np.nonzero(~np.eye(len(names), dtype=bool))
                 yield pd.DataFrame({"lang": lang, "source": np.take(names, i), "part": "pair", "item": np.take(names, j), "value": value[i, j]})
             between.clear()

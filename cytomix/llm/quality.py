@@ -68,10 +68,11 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, seen, rows, held, size = np.zeros(ROWS * (WIDTH + 1), np.int64), False, Rows(), [], 0
+        sums, seen, rows, held, size = np.zeros(ROWS * (WIDTH + 1), np.int64), False, Rows(), [np.array([-1])], 0
         sides = [_index_vectors(1), _index_vectors(2)]
 
-        def add() -> None:
+        def add() -> np.ndarray:
+            """Counts what is held; the first token was counted before and is only a neighbour, as the last one, returned, will be."""
             ids = np.concatenate(held)
             left, right = ids[:-1], ids[1:]
             inside = (left >= 0) & (right >= 0)
@@ -79,20 +80,18 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for own, other, (places, signs) in ((right, left, sides[0]), (left, right, sides[1])):
                 for k in range(SET):
                     sums[: ROWS * WIDTH] += np.bincount(own * WIDTH + places[other, k], weights=signs[other, k], minlength=ROWS * WIDTH).astype(np.int64)
-            sums[ROWS * WIDTH :] += np.bincount(ids[ids >= 0], minlength=ROWS)
+            sums[ROWS * WIDTH :] += np.bincount(ids[1:][ids[1:] >= 0], minlength=ROWS)
+            return ids[-1:]
 
         for batch in batches:
             for text in batch["text"]:
                 for ids in token_rows(text, rows):
                     held.append(ids)
-                    size += len(ids)
+                    size, seen = size + len(ids), True
                     if size > TOKENS:
-                        add()
-                        held, size, seen = [ids[-1:]], 0, True
+                        held, size = [add()], 0
                 held.append(np.array([-1]))
-        if held:
-            add()
-            seen = True
+        add()
         if seen:
             table = np.concatenate((sums[: ROWS * WIDTH].reshape(ROWS, WIDTH), sums[ROWS * WIDTH :, None]), axis=1)
             for i in range(0, ROWS, BLOCK):

@@ -8,8 +8,8 @@ from cytomix.llm import filters as T
 
 def brute(docs, labels):
     fails, parts = [], {}
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     for i, part, text in docs:
         text = text or ""
         words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
