@@ -73,8 +73,12 @@ def log_std(bulk: DataFrame, scale: float = 1.0) -> DataFrame:
 
 def bland_altman(bulk: DataFrame, cells: DataFrame, cutoff: float = 1.96) -> DataFrame:
     """(gene, sc_mean, bulk_mean, diff, outlier): outlier where the difference of means lies beyond cutoff population deviations of its own mean."""
-    sc = cells.groupBy("gene").agg(F.avg("x").alias("sc_mean"))
-    both = sc.join(bulk.groupBy("gene").agg(F.avg("expr").alias("bulk_mean")), "gene").withColumn("diff", F.col("sc_mean") - F.col("bulk_mean"))
+    return bland_altman_of(bulk, cells.groupBy("gene").agg(F.avg("x").alias("sc_mean")), cutoff)
+
+
+def bland_altman_of(bulk: DataFrame, means: DataFrame, cutoff: float = 1.96) -> DataFrame:
+    """bland_altman() from the single cells' means (gene, sc_mean)."""
+    both = means.join(bulk.groupBy("gene").agg(F.avg("expr").alias("bulk_mean")), "gene").withColumn("diff", F.col("sc_mean") - F.col("bulk_mean"))
     limits = both.agg(F.avg("diff").alias("m"), F.stddev_pop("diff").alias("s"))
     return both.join(limits).withColumn("outlier", F.abs(F.col("diff") - F.col("m")) > cutoff * F.col("s")).drop("m", "s")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cytomix.operators.bulk import bland_altman, without
+from cytomix.operators.bulk import bland_altman_of, without
 
 
 def summary(cells: DataFrame) -> DataFrame:
@@ -23,14 +23,39 @@ def moments(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("celltype").isNotNull()).groupBy("gene", "celltype").agg(F.count("*").alias("n"), F.avg("x").alias("mu"), (F.stddev_pop("x") + 0.01).alias("std"), (F.var_pop("x") + 0.01).alias("var"))
 
 
-def sparse_moments(cells: DataFrame, expr: DataFrame) -> DataFrame:
-    """As moments, from cells (cell_id, celltype) and non-zero triplets (cell_id, gene, x): absent entries are zeros."""
-    sizes = cells.where(F.col("celltype").isNotNull()).groupBy("celltype").agg(F.count("*").alias("n"))
-    sums = expr.join(cells, "cell_id").groupBy("gene", "celltype").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    grid = sums.select("gene").distinct().crossJoin(F.broadcast(sizes))  # types are few
-    out = grid.join(sums, ["gene", "celltype"], "left").withColumn("mu", F.coalesce("s", F.lit(0.0)) / F.col("n"))
-    var = F.greatest(F.coalesce("q", F.lit(0.0)) / F.col("n") - F.col("mu") * F.col("mu"), F.lit(0.0))
-    return out.select("gene", "celltype", "n", "mu", (F.sqrt(var) + 0.01).alias("std"), (var + 0.01).alias("var"))
+def _with_zeros(stored: DataFrame, cells: Column, keys: list[str]) -> DataFrame:
+    """keys with n (cells), m and v: mean and population variance of all cells, from n_s, m_s and v_s of the stored values; the other cells hold zeros. Variances are combined, not differences of squares."""
+    n_s, m_s, v_s = (F.coalesce(c, F.lit(0)).cast("double") for c in ("n_s", "m_s", "v_s"))
+    zeros = cells - n_s
+    return stored.select(*keys, cells.alias("n"), (n_s * m_s / cells).alias("m"), ((n_s * v_s + n_s * zeros / cells * m_s * m_s) / cells).alias("v"))
+
+
+def _stored(expr: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    return expr.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_s"), F.avg(value).alias("m_s"), F.var_pop(value).alias("v_s"))
+
+
+def _typed(cells: DataFrame) -> DataFrame:
+    return cells.where(F.col("celltype").isNotNull()).select("cell_id", "celltype")
+
+
+def sparse_moments(cells: DataFrame, expr: DataFrame, genes: DataFrame | None = None) -> DataFrame:
+    """As moments, from cells (cell_id, celltype) and triplets (cell_id, gene, x), one at most for each cell and gene: absent entries are zeros. genes (gene) may name genes without any triplet."""
+    cells = _typed(cells)
+    sizes = cells.groupBy("celltype").agg(F.count(F.lit(1)).alias("cells"))
+    stored = _stored(expr.join(cells, "cell_id"), ["gene", "celltype"], F.col("x"))
+    names = stored.select("gene").distinct() if genes is None else genes.select("gene").distinct()
+    grid = names.crossJoin(F.broadcast(sizes)).join(stored, ["gene", "celltype"], "left")  # types are few
+    out = _with_zeros(grid, F.col("cells"), ["gene", "celltype"])
+    return out.select("gene", "celltype", "n", F.col("m").alias("mu"), (F.sqrt("v") + 0.01).alias("std"), (F.col("v") + 0.01).alias("var"))
+
+
+def sparse_gene_moments(cells: DataFrame, expr: DataFrame, genes: DataFrame | None = None, linear: bool = False) -> DataFrame:
+    """(gene, n, m, v): mean and population variance of each gene over all cells that have a type, of the values or, if linear, of exp(x) - 1; absent entries are zeros in both."""
+    cells = _typed(cells)
+    stored = _stored(expr.join(cells.select("cell_id"), "cell_id", "left_semi"), ["gene"], F.expm1("x") if linear else F.col("x"))
+    if genes is not None:
+        stored = genes.select("gene").distinct().join(stored, "gene", "left")
+    return _with_zeros(stored.crossJoin(F.broadcast(cells.agg(F.count(F.lit(1)).alias("cells")))), F.col("cells"), ["gene"])  # one row
 
 
 def with_variance_floor(signature: DataFrame) -> DataFrame:
@@ -48,7 +73,11 @@ def dispersion(cells: DataFrame, n_bins: int = 20) -> DataFrame:
 
     Bins are closed on the right and the lowest edge reaches 0.1% further. A bin's single gene has its own dispersion as spread and a mean of zero.
     """
-    stats = cells.groupBy("gene").agg(F.avg(F.expm1("x")).alias("m"), F.var_pop(F.expm1("x")).alias("v"))
+    return dispersion_of(cells.groupBy("gene").agg(F.avg(F.expm1("x")).alias("m"), F.var_pop(F.expm1("x")).alias("v")), n_bins)
+
+
+def dispersion_of(stats: DataFrame, n_bins: int = 20) -> DataFrame:
+    """dispersion() from (gene, m, v), mean and variance of linear expression."""
     stats = stats.withColumn("m", F.when(F.col("m") == 0, 1e-12).otherwise(F.col("m"))).withColumn("d", F.nullif(F.col("v") / F.col("m"), F.lit(0.0)))
     stats = stats.select("gene", F.log1p("m").alias("mean"), F.log("d").alias("disp"))
     ends = stats.agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
@@ -95,18 +124,23 @@ def marker_ranks(signature: DataFrame, per_type: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= per_type)
 
 
-def checked_cells(cells: DataFrame) -> DataFrame:
-    """cells (cell_id, celltype, gene, x) if they can be log-scaled expression, else ValueError: a column is missing, there are no values, some are negative, or they look like counts."""
-    missing = {"celltype", "gene", "x"} - set(cells.columns)
+def checked_cells(cells: DataFrame, expr: DataFrame | None = None) -> DataFrame:
+    """cells (cell_id, celltype, gene, x) if they can be log-scaled expression, else ValueError: a column is missing, there are no values, some are negative, they look like counts, or the grid of cells
+    and genes has holes. With expr, the triplets (cell_id, gene, x) of cells (cell_id, celltype), stored values are judged and holes are zeros."""
+    missing = {"celltype", "gene", "x"} - set(cells.columns) if expr is None else ({"cell_id", "celltype"} - set(cells.columns)) | ({"cell_id", "gene", "x"} - set(expr.columns))
     if missing:
         raise ValueError(f"single cells lack the columns {sorted(missing)}")
-    row = summary(cells).head()
+    row = summary(cells if expr is None else expr).head()
     if row["min_x"] is None:
         raise ValueError("single cells hold no expression")
     if row["any_negative"]:
         raise ValueError("single-cell expression has negative values")
     if row["not_logged"]:
         raise ValueError("single-cell expression looks like counts, not log values")
+    if expr is None and "cell_id" in cells.columns:
+        sizes = cells.groupBy("gene").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most")).head()
+        if sizes["least"] < sizes["most"]:
+            raise ValueError("some cells lack genes: give triplets as expr beside the cells, so that what is absent counts as zero")
     return cells
 
 
@@ -164,7 +198,7 @@ def _local_lines(x: np.ndarray, y: np.ndarray, share: float, robust: int = 3) ->
         if turn < robust:
             miss = np.abs(y - fit)
             scale = 6 * np.median(miss)
-            if scale <= 0:
+            if scale <= max(1e-7 * miss.mean(), 1e-12 * np.ptp(y)):  # most points are met but for rounding, which must not weigh
                 break
             trust = np.clip(1 - (miss / scale) ** 2, 0, None) ** 2
     return fit
@@ -257,20 +291,23 @@ def marker_search(centroids: DataFrame, n_genes: int | None = None, islands: int
     return sets.agg(F.max_by("genes", F.struct("score", -F.col("island"))).alias("genes")).select(F.explode("genes").alias("gene"))
 
 
-def create_signature(cells: DataFrame, *, correct_variance: bool = True, n_variable: int = 2000, n_markers: int | None = None, markers: DataFrame | None = None, bulk: DataFrame | None = None, drop_outliers: bool = False) -> DataFrame:
-    """(gene, celltype, mu, std, var, is_marker) from cells (cell_id, celltype, gene, x), x being log expression.
+def create_signature(cells: DataFrame, *, expr: DataFrame | None = None, genes: DataFrame | None = None, correct_variance: bool = True, n_variable: int = 2000, n_markers: int | None = None, markers: DataFrame | None = None, bulk: DataFrame | None = None, drop_outliers: bool = False) -> DataFrame:
+    """(gene, celltype, mu, std, var, is_marker) from cells (cell_id, celltype, gene, x), x being log expression, which hold every gene of every cell; or from cells (cell_id, celltype) and the triplets
+    expr (cell_id, gene, x), where absent entries are zeros in every sum, and genes (gene) may name genes without any triplet.
 
-    var is the variance by its trend along the mean, or, without correct_variance, the spread std itself. Markers are the genes given, or those of a search on the centroids of the n_variable most variable
-    genes. With bulk (gene, sample, expr) and drop_outliers, genes whose means disagree too much between the two are dropped.
+    var is what a model takes as the spread of its prior: the variance by its trend along the mean, or, without correct_variance, the deviation std itself. Markers are the genes given, or those of a search
+    on the centroids of the n_variable most variable genes. With bulk (gene, sample, expr) and drop_outliers, genes whose means disagree too much between the two are dropped.
     """
-    cells = checked_cells(cells)
-    out = moments(cells)
+    cells = checked_cells(cells, expr)
+    out = moments(cells) if expr is None else sparse_moments(cells, expr, genes)
     if markers is None:
-        markers = marker_search(out.join(top_variable(dispersion(cells.where(F.col("celltype").isNotNull())), n_variable).select("gene"), "gene", "left_semi").select("gene", "celltype", "mu"), n_markers)
+        disp = dispersion(cells.where(F.col("celltype").isNotNull())) if expr is None else dispersion_of(sparse_gene_moments(cells, expr, genes, linear=True))
+        markers = marker_search(out.join(top_variable(disp, n_variable).select("gene"), "gene", "left_semi").select("gene", "celltype", "mu"), n_markers)
     if correct_variance:
         out = out.drop("var").join(variance_trend(out), ["gene", "celltype"])
     else:
         out = out.withColumn("var", F.col("std"))
     if bulk is not None and drop_outliers:
-        out = without(out, bland_altman(bulk, cells).where("outlier"))
+        means = cells.where(F.col("celltype").isNotNull()).groupBy("gene").agg(F.avg("x").alias("sc_mean")) if expr is None else sparse_gene_moments(cells, expr, genes).select("gene", F.col("m").alias("sc_mean"))
+        out = without(out, bland_altman_of(bulk, means).where("outlier"))
     return flagged(out.select("gene", "celltype", "mu", "std", "var"), markers)

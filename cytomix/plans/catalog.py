@@ -70,20 +70,13 @@ def _r(name: str, digits: int = 6, of: Column | None = None) -> Column:
     return F.round(F.col(name) if of is None else of, digits).alias(name)
 
 
-def _digamma(x: str) -> str:
-    """SQL for digamma, as the slope of lgamma by differences of the fourth order."""
-    h = f"(0.01 * ({x}))"
-    return f"((8 * (lgamma({x} + {h}) - lgamma({x} - {h})) - lgamma({x} + 2 * {h}) + lgamma({x} - 2 * {h})) / (12 * {h}))"
+def _digamma_gap(power: int = 1) -> str:
+    """SQL for digamma(beta) - digamma(total), or with power 2 trigamma(total) - trigamma(beta): both are whole numbers here, so the gap is a finite sum."""
+    return f"(-list_sum(list_transform(generate_series(CAST(beta AS BIGINT), CAST(total AS BIGINT) - 1), lambda k: 1.0::DOUBLE / {'k' if power == 1 else '(k * k)'})))"
 
 
-def _trigamma(x: str) -> str:
-    """SQL for trigamma, as the curvature of lgamma by differences of the fourth order."""
-    h = f"(0.02 * ({x}))"
-    return f"((16 * (lgamma({x} + {h}) + lgamma({x} - {h})) - lgamma({x} + 2 * {h}) - lgamma({x} - 2 * {h}) - 30 * lgamma({x})) / (12 * {h} * {h}))"
-
-
-_DIRICHLET = f"""(SELECT sum(p) AS pf, sum(q) AS qf FROM (SELECT sample, lgamma(sum(alpha)) - sum(lgamma(alpha)) + sum((alpha - 1) * ({_digamma("beta")} - {_digamma("total")})) AS p,
-lgamma(sum(beta)) - sum(lgamma(beta)) + sum((beta - 1) * ({_digamma("beta")} - {_digamma("total")})) AS q FROM alphas GROUP BY sample) AS s)"""
+_DIRICHLET = f"""(SELECT sum(p) AS pf, sum(q) AS qf FROM (SELECT sample, lgamma(sum(alpha)) - sum(lgamma(alpha)) + sum((alpha - 1) * {_digamma_gap()}) AS p,
+lgamma(sum(beta)) - sum(lgamma(beta)) + sum((beta - 1) * {_digamma_gap()}) AS q FROM alphas GROUP BY sample) AS s)"""
 
 
 def _centres(i: Inputs) -> DataFrame:
@@ -204,6 +197,28 @@ QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], str | None]] = {
         """SELECT gene, celltype, count(*) AS n, round(avg(CASE WHEN x > 0.5 THEN x ELSE 0 END), 6) AS mu, round(var_pop(CASE WHEN x > 0.5 THEN x ELSE 0
         END) + 0.01, 6) AS var FROM cells GROUP BY 1, 2""",
     ),
+    "create_signature_sparse": (
+        lambda i: (
+            signature.create_signature(
+                i.cells().select("cell_id", "celltype").distinct(), expr=i.cells().where("x > 0.5").select("cell_id", "gene", "x"), markers=i.markers(), correct_variance=False, bulk=i.scaled(), drop_outliers=True
+            ).select("gene", "celltype", _r("mu"), _r("std"), _r("var"), "is_marker")
+        ),
+        """, holes AS (SELECT cell_id, celltype, gene, CASE WHEN x > 0.5 THEN x ELSE 0 END AS x FROM cells), diffs AS (SELECT s.gene, s.m - b.m AS diff FROM (SELECT gene, avg(x) AS m FROM holes
+        GROUP BY gene) AS s JOIN (SELECT gene, avg(expr) AS m FROM scaled GROUP BY gene) AS b ON s.gene = b.gene), odd AS (SELECT gene, abs(diff - avg(diff) OVER ()) > 1.96 *
+        stddev_pop(diff) OVER () AS outlier FROM diffs) SELECT gene, celltype, round(avg(x), 6) AS mu, round(stddev_pop(x) + 0.01, 6) AS std, round(stddev_pop(x) + 0.01, 6) AS var, gene % 3
+        = 0 AS is_marker FROM holes WHERE gene NOT IN (SELECT gene FROM odd WHERE outlier) GROUP BY 1, 2""",
+    ),
+    "sparse_dispersion": (
+        lambda i: (
+            signature.dispersion_of(signature.sparse_gene_moments(i.cells().select("cell_id", "celltype").distinct(), i.cells().where("x > 0.5").select("cell_id", "gene", "x"), linear=True))
+            .select("gene", _r("mean"), _r("disp"), "bin", _r("disp_norm", 5))
+        ),
+        """, h0 AS (SELECT gene, avg(CASE WHEN x > 0.5 THEN exp(x) - 1 ELSE 0 END) AS m, var_pop(CASE WHEN x > 0.5 THEN exp(x) - 1 ELSE 0 END) AS v FROM cells GROUP BY gene), h1 AS (SELECT gene, ln(1 +
+        m) AS mean, ln(nullif(v / m, 0)) AS disp FROM h0), h2 AS (SELECT gene, mean, disp, least(greatest(coalesce(ceil((mean - min(mean) OVER ()) / nullif((max(mean) OVER () - min(mean)
+        OVER ()) / 20, 0)), 1), 1), 20) AS bin FROM h1), h3 AS (SELECT bin, avg(disp) AS a, stddev_samp(disp) AS s FROM h2 GROUP BY bin) SELECT gene, round(mean, 6) AS mean, round(disp,
+        6) AS disp, CAST(h2.bin AS INTEGER) AS bin, round((disp - CASE WHEN s IS NULL THEN 0 ELSE a END) / nullif(CASE WHEN s IS NULL THEN a ELSE s END, 0), 5) AS disp_norm FROM h2 JOIN h3
+        ON h2.bin = h3.bin""",
+    ),
     "signature_var_floor": (
         lambda i: (
             signature.with_variance_floor(i.sig().withColumn("var", F.when(F.col("gene") == 3, 0.0).otherwise(F.col("var"))))
@@ -327,7 +342,7 @@ QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], str | None]] = {
             model.fractions(i.beta())
             .select("sample", "celltype", _r("mean", 6, special.digamma("beta") - special.digamma("total")), _r("var", 6, special.trigamma("beta") - special.trigamma("total")))
         ),
-        f"SELECT sample, celltype, round({_digamma('beta')} - {_digamma('total')}, 6) AS mean, round({_trigamma('beta')} - {_trigamma('total')}, 6) AS var FROM frac",
+        f"SELECT sample, celltype, round({_digamma_gap()}, 6) AS mean, round(-{_digamma_gap(2)}, 6) AS var FROM frac",
     ),
     "elbo": (
         lambda i: (

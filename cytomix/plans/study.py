@@ -19,7 +19,7 @@ LAYOUT = 1
 
 @dataclass(frozen=True)
 class Study:
-    """Checked inputs that share their genes: bulk (gene, sample, expr), and signature (gene, celltype, mu, std, var, is_marker)."""
+    """Checked inputs that share their genes: bulk (gene, sample, expr), and signature (gene, celltype, mu, std, var, is_marker). Models take var as the spread of their prior, whatever made it."""
 
     bulk: DataFrame
     signature: DataFrame
@@ -33,7 +33,7 @@ class Study:
         used = self.signature.where("is_marker") if genes is None else self.signature.join(genes.select("gene").distinct(), "gene", "left_semi")
         if expected is not None:
             expected, members = model.checked_prior(expected, self.signature.select("celltype").distinct(), members)
-        fit = variational.fit_model(self.bulk, used.select("gene", "celltype", "mu", F.sqrt("var").alias("std")), expected=expected, members=members, **model_args)
+        fit = variational.fit_model(self.bulk, used.select("gene", "celltype", "mu", F.col("var").alias("std")), expected=expected, members=members, **model_args)
         fit = {name: stored(df, f"study-{name}") for name, df in fit.items()}
         return Fractions(self, fit, model.fractions(fit["beta"]).select("sample", "celltype", "fraction"))
 
@@ -48,7 +48,7 @@ class Fractions:
 
     def refine(self, *, weight: float = 100.0, genes: DataFrame | None = None, **model_args) -> Expression:
         """Expression by sample and cell type of all common genes, or those of genes (gene), with the fractions held. model_args go to variational.refine_genes."""
-        spread = self.study.signature.select("gene", "celltype", "mu", F.sqrt("var").alias("std"))
+        spread = self.study.signature.select("gene", "celltype", "mu", F.col("var").alias("std"))
         rows = stored(variational.refine_genes(self.study.bulk, spread, self.fit["beta"], omega=self.fit["omega"], genes=genes, weight=weight, **model_args), "study-refined")
         return Expression(self, rows.select("celltype", "sample", "gene", "nu"), rows.select("celltype", "gene", "omega").distinct())
 
@@ -164,7 +164,7 @@ def begin(bulk: DataFrame, *, signature_table: DataFrame | None = None, cells: D
     if markers is not None:
         table = signature.flagged(table, markers)
     if "std" not in table.columns:
-        table = table.withColumn("std", F.sqrt("var"))
+        table = table.withColumn("std", F.col("var"))
     table = stored(table, "study-signature")
     common = bulks.common_genes(bulk, table)
     kept, used = stored(bulk.join(common, "gene", "left_semi"), "study-bulk"), stored(table.join(common, "gene", "left_semi"), "study-matched")

@@ -22,6 +22,10 @@ def rows(frame):
     return sorted((tuple(round(float(v), 4) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) and v == v else str(v) for v in r) for r in frame.astype(object).itertuples(index=False)), key=lambda r: [(isinstance(v, str), v) for v in r])
 
 
+#: Queries whose rounded values must be the same to the last digit.
+ROUNDED = ("log_fractions", "create_signature_sparse", "sparse_dispersion", "elbo_dirichlet")
+
+
 @pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_matches_sql(spark, duck, name):
     got = catalog.queries()[name](spark, SF).toPandas()
@@ -29,6 +33,8 @@ def test_matches_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want) > 0
     a, b = rows(got), rows(want)
+    if name in ROUNDED:
+        assert sorted(map(str, got[sorted(got.columns)].itertuples(index=False))) == sorted(map(str, want[sorted(want.columns)].itertuples(index=False)))
     for x, y in zip(a, b, strict=True):
         assert all((abs(p - q) <= 2e-4 * max(1, abs(p))) if isinstance(p, float) and isinstance(q, float) else str(p) == str(q) for p, q in zip(x, y, strict=True)), (x, y)
 
