@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cytomix.operators import factors, linkage
 from cytomix.sources.stored import small, stored
 
 
@@ -31,10 +32,6 @@ def cluster_matrix(gex: DataFrame, omega: DataFrame, fraction: DataFrame, weighi
     return rows.join(fraction, ["sample", "celltype"]).select("celltype", "sample", "gene", (F.col("c") * F.col("omega") * F.col("fraction")).alias("x"))
 
 
-#: Most samples of a cell type: matrices of samples by samples are held by one task.
-SAMPLES_MOST = 6000
-
-
 def gram(matrix: DataFrame) -> DataFrame:
     """(celltype, s1, s2, k), s1 <= s2: inner products of samples over genes; pairs of samples without a common gene are left out.
 
@@ -201,16 +198,17 @@ def _factorised(k: np.ndarray, states: int, seeds: list[int], rounds: int = 1000
     return h, g, err
 
 
-def factorise(gram_rows: DataFrame, runs: DataFrame) -> DataFrame:
+def factorise(gram_rows: DataFrame, runs: DataFrame, block: int = factors.BLOCK) -> DataFrame:
     """(celltype, states, run, sample, state, h, g, err): convex factorisations of each cell type's Gram matrix (celltype, s1, s2, k), for runs (states, run), or (celltype, states, run).
 
-    Genes have been summed away: a task gets one cell type's matrix of samples by samples, of SAMPLES_MOST samples at most, and the restarts of one number of states, ten at a time. run is also the seed.
+    Genes have been summed away. A cell type whose samples fit into one block goes to tasks whole, with the restarts of one number of states, ten at a time; one of more samples is cut into blocks, and its
+    iterations are products of these with the factors. Both take the same steps from the same starts. run is also the seed.
     """
     kind = {f.name: f.dataType.simpleString() for f in gram_rows.schema.fields}
-    widest = gram_rows.groupBy("celltype").agg(F.count(F.when(F.col("s1") == F.col("s2"), 1)).alias("n")).agg(F.max("n")).head()[0]
-    if widest and widest > SAMPLES_MOST:
-        raise ValueError(f"{widest} samples of a cell type are more than a task can factorise ({SAMPLES_MOST})")
-    packed = gram_rows.groupBy("celltype").agg(F.collect_list(F.struct("s1", "s2", "k")).alias("v")).select("celltype", F.col("v.s1").alias("s1"), F.col("v.s2").alias("s2"), F.col("v.k").alias("k"))
+    counts = gram_rows.where("s1 = s2").groupBy("celltype").agg(F.count(F.lit(1)).alias("n"))
+    wide = [r["celltype"] for r in counts.where(F.col("n") > block).collect()]  # cell types are few
+    few = gram_rows.where(~F.col("celltype").isin(wide)) if wide else gram_rows
+    packed = few.groupBy("celltype").agg(F.collect_list(F.struct("s1", "s2", "k")).alias("v")).select("celltype", F.col("v.s1").alias("s1"), F.col("v.s2").alias("s2"), F.col("v.k").alias("k"))
     batches = runs.withColumn("batch", F.floor(F.col("run") / 10)).groupBy(*[c for c in runs.columns if c != "run"], "batch").agg(F.sort_array(F.collect_list("run")).alias("runs"))
     rows = packed.join(batches, "celltype") if "celltype" in runs.columns else packed.crossJoin(small(batches))  # batches of restarts are few, and each needs the matrix
     parts = max(gram_rows.sparkSession.sparkContext.defaultParallelism, int(gram_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -228,7 +226,14 @@ def factorise(gram_rows: DataFrame, runs: DataFrame) -> DataFrame:
                     s, t = np.indices(g[r].shape)
                     yield pd.DataFrame({"celltype": row.celltype, "states": int(row.states), "run": int(run), "sample": samples[s.ravel()], "state": t.ravel(), "h": h[r].T.ravel(), "g": g[r].ravel(), "err": err[r]})
 
-    return rows.mapInPandas(fit, f"celltype {kind['celltype']}, states int, run int, sample {kind['s1']}, state int, h double, g double, err double")
+    out = rows.mapInPandas(fit, f"celltype {kind['celltype']}, states int, run int, sample {kind['s1']}, state int, h double, g double, err double")
+    for celltype in wide:
+        own = runs.where(F.col("celltype") == F.lit(celltype)) if "celltype" in runs.columns else runs
+        plan = [(int(r["states"]), int(r["run"])) for r in own.select("states", "run").collect()]
+        if plan:
+            found = factors.factorise(gram_rows.where(F.col("celltype") == F.lit(celltype)).select("s1", "s2", "k"), plan, block=block)
+            out = out.unionByName(found.withColumn("celltype", F.lit(celltype).cast(kind["celltype"])))
+    return out
 
 
 def best_run(factors: DataFrame) -> DataFrame:
@@ -242,39 +247,69 @@ def loadings(matrix: DataFrame, factors: DataFrame) -> DataFrame:
     return matrix.join(factors.select("celltype", "sample", "state", "g"), ["celltype", "sample"]).groupBy("celltype", "gene", "state").agg(F.sum(F.col("x") * F.col("g")).alias("loading"))
 
 
-def _cophenetic(c: np.ndarray) -> float:
-    """Correlation of the distances between rows of c with the heights at which average linkage joins them."""
-    n = len(c)
-    square = (c * c).sum(1)
-    d = np.sqrt(np.maximum(square[:, None] + square - 2 * c @ c.T, 0))
-    start, height, size = d.copy(), np.zeros((n, n)), np.ones(n)
-    groups, work = [[i] for i in range(n)], d + np.diag(np.full(n, np.inf))
-    for _ in range(n - 1):
-        a, b = sorted(np.unravel_index(work.argmin(), work.shape))
-        for i in groups[a]:
-            height[i, groups[b]] = height[groups[b], i] = work[a, b]
-        joined = (work[a] * size[a] + work[b] * size[b]) / (size[a] + size[b])
-        work[a], work[:, a] = joined, joined
-        work[a, a] = np.inf
-        work[b], work[:, b] = np.inf, np.inf
-        groups[a] += groups[b]
-        size[a] += size[b]
-    i, j = np.triu_indices(n, 1)
-    x, y = start[i, j], height[i, j]
-    return 1.0 if x.std() == 0 or y.std() == 0 else float(np.corrcoef(x, y)[0, 1])
-
-
-def cophenetic(factors: DataFrame) -> DataFrame:
-    """(celltype, states, c): how well the restarts agree. A group is one consensus matrix, sample by sample."""
-    assigned = factors.groupBy("celltype", "states", "run", "sample").agg(F.max(F.struct("h", (-F.col("state")).alias("m"))).alias("t"))
+def consensus_points(factors: DataFrame, chunk: int = 2048) -> DataFrame:
+    """(celltype, states, id, n, point): points whose distances are those of the rows of the restarts' consensus matrix; id numbers the ways in which samples were assigned, n counts the samples of each.
+
+    With z the indicator of a sample's cluster in every restart, the consensus of two samples is z z' over the number of restarts, and the product of two of its rows is z (Z'Z) z' over the square of that. So the root
+    of Z'Z, clusters by clusters, places samples with the right distances, and no matrix of samples by samples is made. Samples that all restarts assign alike are one point.
+    """
     kind = factors.schema["celltype"].dataType.simpleString()
+    assigned = factors.groupBy("celltype", "states", "run", "sample").agg(F.max(F.struct("h", (-F.col("state")).alias("m"))).alias("t")).select("celltype", "states", "run", "sample", (-F.col("t.m")).alias("state"))
+    ways = assigned.groupBy("celltype", "states", "sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("run", "state"))), lambda t: t["state"]).alias("way"))
+    ways = ways.groupBy("celltype", "states", "way").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    ways = stored(ways.withColumn("id", F.row_number().over(Window.partitionBy("celltype", "states").orderBy("way")) - 1), "states-ways")
+    packs = ways.groupBy("celltype", "states", F.floor(F.col("id") / chunk).alias("chunk")).agg(F.collect_list(F.struct("id", "n", "way")).alias("v"))
+    packs = stored(packs.select("celltype", "states", F.col("v.id").alias("id"), F.col("v.n").alias("n"), F.col("v.way").alias("way")), "states-packs")
+
+    def indicators(way: np.ndarray, states: int) -> np.ndarray:
+        z = np.zeros((len(way), way.shape[1] * states))
+        z[np.arange(len(way))[:, None], way + states * np.arange(way.shape[1])] = 1.0
+        return z
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                z = indicators(np.stack(row.way), int(row.states))
+                yield pd.DataFrame({"celltype": [row.celltype], "states": int(row.states), "data": [(z.T @ (z * np.asarray(row.n)[:, None])).tobytes()]})
+
+    def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, total = None, None
 
-    def agree(group: pd.DataFrame) -> pd.DataFrame:
-        table = group.pivot(index="sample", columns="run", values="m").to_numpy()
-        c = np.mean([table[:, [r]] == table[:, r][None] for r in range(table.shape[1])], axis=0)
-        return pd.DataFrame({"celltype": [group["celltype"].iloc[0]], "states": [int(group["states"].iloc[0])], "c": [_cophenetic(c)]})
+        def out() -> pd.DataFrame:
+            values, vectors = np.linalg.eigh(total.reshape(int(np.sqrt(len(total))), -1))
+            root = vectors * np.sqrt(np.maximum(values, 0))
+            return pd.DataFrame({"celltype": [held[0]], "states": held[1], "root": [root.tobytes()]})
 
-    return assigned.select("celltype", "states", "run", "sample", F.col("t.m").alias("m")).groupBy("celltype", "states").applyInPandas(agree, f"celltype {kind}, states int, c double")
+        for batch in batches:
+            for celltype, states, data in zip(batch["celltype"], batch["states"], batch["data"], strict=True):
+                if held is not None and held != (celltype, states):
+                    yield out()
+                    total = None
+                held = (celltype, states)
+                total = np.frombuffer(data) if total is None else total + np.frombuffer(data)
+        if held is not None:
+            yield out()
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                way = np.stack(row.way)
+                root = np.frombuffer(row.root).reshape(way.shape[1] * int(row.states), -1)
+                point = indicators(way, int(row.states)) @ root / way.shape[1]
+                yield pd.DataFrame({"celltype": row.celltype, "states": int(row.states), "id": row.id, "n": row.n, "point": list(point)})
+
+    parts = packs.mapInPandas(products, f"celltype {kind}, states int, data binary").repartition("celltype", "states").sortWithinPartitions("celltype", "states")
+    roots_ = stored(parts.mapInPandas(roots, f"celltype {kind}, states int, root binary"), "states-roots")
+    return packs.join(roots_, ["celltype", "states"]).mapInPandas(place, f"celltype {kind}, states int, id int, n double, point array<double>")
+
+
+def cophenetic(factors: DataFrame, **linkage_args) -> DataFrame:
+    """(celltype, states, c): how well the restarts agree: the correlation of the distances between the consensus matrix' rows with the heights at which average linkage joins them."""
+    points = consensus_points(factors).withColumn("group", F.struct("celltype", "states"))
+    keys = stored(points.select("group").distinct().withColumn("key", F.row_number().over(Window.orderBy("group"))), "states-groups")  # cell types and numbers of states are few
+    points = stored(points.join(small(keys), "group").select("key", "id", "n", "point"), "states-points")
+    found = linkage.cophenetic_correlation(points, linkage.linkage(points, "key", **linkage_args), "key")
+    return found.join(keys, "key").select("group.celltype", "group.states", "c")
 
 
 def retrieve(matrix: DataFrame, known: DataFrame, rounds: int = 300) -> DataFrame:
