@@ -28,7 +28,7 @@ SHARD, BUCKET = 256, 3
 #: Bytes of stored keys up to which the hashes are broadcast; beyond, counts travel to the shards instead.
 INDEX_BYTES = 64_000_000
 #: Terms, or slots, that a task holds before it hands its counts on.
-HELD_TERMS, HELD_SLOTS = 300_000, 8_000_000
+HELD_TERMS, HELD_SLOTS = 150_000, 6_000_000
 
 #: Bytes of terms as they are, A to Z lower-cased; all other bytes become spaces.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -272,7 +272,8 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
             for row in batch.itertuples():
                 names, totals = list(row.sources), np.asarray(row.totals, np.int64)
                 grid = np.zeros((len(names), len(row.terms)), np.int64)
-                np.add.at(grid, (np.searchsorted(names, row.source), row.slot), row.n)
+                place = {name: i for i, name in enumerate(names)}
+                grid[np.fromiter(map(place.__getitem__, row.source), np.int64, len(row.source)), row.slot] = row.n
                 p = rates(grid, totals, int(row.kept))
                 q = rates(grid.sum(0, keepdims=True), totals.sum(keepdims=True), int(row.kept))
                 _, value = between.setdefault(row.lang, (names, np.zeros((len(names), len(names)), np.int64)))
@@ -282,11 +283,13 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
                     value[i + 1 :, i] += far
                 own, words = gaps(p, q), [t.encode() for t in row.terms]
                 order = np.array(sorted(range(len(words)), key=words.__getitem__))
-                for i, name in enumerate(names):
+                best = []
+                for i in range(len(names)):
                     more = order[(grid[i, order] > 0) & (p[i, order] > q[0, order])]
-                    best = more[np.argsort(-own[i, more], kind="stable")[:top]]
-                    if len(best):
-                        yield pd.DataFrame({"lang": row.lang, "source": name, "part": "term", "item": np.take(row.terms, best), "value": own[i, best]})
+                    best += [(i, w) for w in more[np.argsort(-own[i, more], kind="stable")[:top]]]
+                if best:
+                    i, w = np.array(best).T
+                    yield pd.DataFrame({"lang": row.lang, "source": np.take(names, i), "part": "term", "item": np.take(row.terms, w), "value": own[i, w]})
                 if sum(v.size for _, v in between.values()) > HELD_SLOTS:
                     yield from out()
         yield from out()
