@@ -157,14 +157,19 @@ def regression_start(bulk: DataFrame, signature: DataFrame, nus: tuple[float, ..
 
 def fit_model(
     bulk: DataFrame, signature: DataFrame, *, alpha: float = 1.0, alpha0: float = 1000.0, kappa0: float = 1.0, sy: float = 1.0, reps: int = 10, trust: float = 10.0, update_sigma: bool = False,
-    expected: DataFrame | None = None, members: DataFrame | None = None, iterations: int = 100, tolerance: float = 1e-3, inner: int = 40, seed: int = 0,
+    expected: DataFrame | None = None, members: DataFrame | None = None, iterations: int = 100, tolerance: float = 1e-3, inner: int = 40, seed: int = 0, method: str = "blocks", fixed: tuple[str, ...] = (),
 ) -> dict[str, DataFrame]:
     """beta (sample, celltype, beta), alpha, nu (sample, gene, celltype, nu), omega (gene, celltype, omega) and objective (rep, value) of the best of reps restarts.
 
     bulk is (gene, sample, expr), signature (gene, celltype, mu, std), expected and members a prior by groups as alpha_with_prior takes it. A restart begins with regression fractions times
-    trust plus unit gamma noise; then each iteration fits every sample, every gene, if wanted sigma, and the prior alpha. It ends when no restart's objective moves by tolerance, or after
-    iterations. Between iterations tables are stored, so that lost executors cost one step. Genes that lack a sample or a cell type take no part.
+    trust plus unit gamma noise; then each iteration fits every sample, every gene, the prior alpha, and if wanted sigma. Its objective is that under the updated alpha and sigma. It ends when no restart's
+    objective moves by tolerance, or after iterations. Between iterations tables are stored, so that lost executors cost one step. Genes that lack a sample or a cell type take no part.
+
+    method blocks raises the objective by samples and by genes in turn, with inner steps in each; joint takes inner steps of all variables together (joint.Ascent), where fixed may name those of nu, omega and
+    beta that stay as they begin. A joint fit holds the fractions of all restarts in the driver, and raises an error beyond joint.FRACTIONS_MOST numbers.
     """
+    if method not in ("blocks", "joint") or (fixed and method == "blocks"):
+        raise ValueError("method is blocks, or joint, which alone can fix variables")
     types = cell_types(signature)
     n_types, n_samples = len(types), bulk.select("sample").distinct().count()
     spark = bulk.sparkSession
@@ -192,6 +197,8 @@ def fit_model(
 
     beta = stored(start.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).mapInPandas(begin, f"rep int, sample {kind['sample']}, beta array<double>"), "model-beta")
     beta = beta.withColumn("alpha", F.transform("beta", lambda b: F.lit(float(alpha))))
+    if method == "joint":
+        return _fit_jointly(work, prior, beta, types, kind, balance, alpha0=alpha0, kappa0=kappa0, update_sigma=update_sigma, expected=expected, members=members, iterations=iterations, tolerance=tolerance, inner=inner, fixed=fixed)
 
     def genes(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("sample", ignore_index=True)
@@ -200,13 +207,18 @@ def fit_model(
         nu, omega, value = fit_gene(y, sigma, nu, np.array(group["omega"].iloc[0]), now, np.array(group["mu"].iloc[0]), np.array(group["beta0"].iloc[0]), alpha0, kappa0, 1.0, inner)
         if update_sigma:
             sigma = np.full(len(y), np.sqrt(np.maximum(moment_terms(y, sigma, nu, np.broadcast_to(omega, nu.shape), now)[4], 1e-12)).mean())
+            value = float(moment_terms(y, sigma, nu, np.broadcast_to(omega, nu.shape), now)[0].sum()) + expression_terms(nu, omega, np.array(group["mu"].iloc[0]), np.array(group["beta0"].iloc[0]), alpha0, kappa0)[0]
         return pd.DataFrame({"rep": group["rep"], "gene": group["gene"], "sample": group["sample"], "y": y, "sigma": sigma, "nu": list(nu), "omega": [omega] * len(y), "value": value / len(y)})
 
     def samples(group: pd.DataFrame) -> pd.DataFrame:
         y, sigma, nu, omega = group["y"].to_numpy(), group["sigma"].to_numpy(), np.stack(group["nu"].to_list()), np.stack(group["omega"].to_list())
         alpha = np.array(group["alpha"].iloc[0])
         found, _ = fit_sample(y, sigma, nu, omega, np.array(group["beta"].iloc[0]), alpha, balance, inner)
-        return pd.DataFrame({"rep": group["rep"].iloc[:1], "sample": group["sample"].iloc[:1], "beta": [found], "gain": balance * fraction_terms(found, alpha)[0]})
+        return pd.DataFrame({"rep": group["rep"].iloc[:1], "sample": group["sample"].iloc[:1], "beta": [found]})
+
+    def gains(batches):
+        for batch in batches:
+            yield pd.DataFrame({"rep": batch["rep"], "v": [balance * fraction_terms(np.asarray(b), np.asarray(a))[0] for b, a in zip(batch["beta"], batch["alpha"], strict=True)]})
 
     def long(b: DataFrame) -> DataFrame:
         entries = F.explode(F.arrays_zip(F.array(*[F.lit(t).cast(kind["celltype"]) for t in types]).alias("celltype"), F.col("beta").alias("beta")))
@@ -216,15 +228,15 @@ def fit_model(
     last = None
     for _ in range(max(1, iterations)):
         ready = work.select("rep", "gene", "sample", "y", "sigma", "nu", "omega").join(beta, ["rep", "sample"])
-        fitted = stored(ready.groupBy("rep", "sample").applyInPandas(samples, f"rep int, sample {kind['sample']}, beta array<double>, gain double"), "model-beta")
+        fitted = stored(ready.groupBy("rep", "sample").applyInPandas(samples, f"rep int, sample {kind['sample']}, beta array<double>"), "model-beta")
         ready = work.select("rep", "gene", "sample", "y", "sigma", "nu", "omega").join(fitted.select("rep", "sample", "beta"), ["rep", "sample"]).join(prior.select("gene", "mu", "beta0"), "gene")
         work = stored(ready.groupBy("rep", "gene").applyInPandas(genes, row), "model-work")
-        parts = work.groupBy("rep").agg(F.sum("value").alias("v")).unionByName(fitted.groupBy("rep").agg(F.sum("gain").alias("v")))
-        objective = stored(parts.groupBy("rep").agg(F.sum("v").alias("value")), "model-objective")
-        values = {r["rep"]: r["value"] for r in objective.collect()}
         alphas = _alphas(long(fitted), expected, members)
         alphas = alphas.groupBy("rep", "sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("celltype", "alpha"))), lambda t: t["alpha"]).alias("alpha"))
         beta = stored(fitted.select("rep", "sample", "beta").join(alphas, ["rep", "sample"]), "model-beta")
+        parts = work.groupBy("rep").agg(F.sum("value").alias("v")).unionByName(beta.mapInPandas(gains, "rep int, v double").groupBy("rep").agg(F.sum("v").alias("v")))
+        objective = stored(parts.groupBy("rep").agg(F.sum("v").alias("value")), "model-objective")
+        values = {r["rep"]: r["value"] for r in objective.collect()}
         if last is not None and all(abs(values[r] - last[r]) < tolerance for r in values):
             break
         last = values
@@ -241,6 +253,57 @@ def fit_model(
     }
 
 
+def _fit_jointly(work: DataFrame, prior: DataFrame, beta: DataFrame, types: list, kind: dict[str, str], balance: float, *, alpha0: float, kappa0: float, update_sigma: bool, expected: DataFrame | None, members: DataFrame | None, iterations: int, tolerance: float, inner: int, fixed: tuple[str, ...]) -> dict[str, DataFrame]:
+    """fit_model() by joint ascent: rows of whole genes, fractions in the driver."""
+    from cytomix.operators import joint
+
+    spark, n_types = work.sparkSession, len(types)
+    if beta.count() * n_types > joint.FRACTIONS_MOST:
+        raise ValueError("too many samples for fractions that are broadcast: use method blocks")
+    known = beta.toPandas().sort_values(["rep", "sample"])
+    samples = list(known["sample"][known["rep"] == known["rep"].min()])
+    stacked = lambda column: {int(r): np.stack(rows[column].to_list()) for r, rows in known.groupby("rep")}
+    begin, alpha = stacked("beta"), stacked("alpha")
+    rows = work.groupBy("rep", "gene").agg(F.sort_array(F.collect_list(F.struct("sample", "y", "sigma", "nu"))).alias("v"), F.first("omega").alias("omega"))
+    rows = rows.select("rep", "gene", F.col("v.y").alias("y"), F.col("v.sigma").alias("sigma"), F.flatten("v.nu").alias("nu"), "omega").join(prior.select("gene", F.col("mu").alias("mu0"), "beta0"), "gene")
+    ascent = joint.Ascent(rows, begin, balance, alpha0=alpha0, kappa0=kappa0, fixed=fixed)
+
+    def long(values: dict[int, np.ndarray], name: str) -> DataFrame:
+        parts = [pd.DataFrame({"rep": rep, "sample": np.repeat(np.array(samples, object), n_types), "celltype": np.tile(np.array(types, object), len(samples)), name: v.ravel()}) for rep, v in values.items()]
+        return spark.createDataFrame(pd.concat(parts), f"rep int, sample {kind['sample']}, celltype {kind['celltype']}, {name} double")
+
+    def updated(now: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        if expected is None or members is None:
+            return {rep: np.tile(b.mean(0), (len(b), 1)) for rep, b in now.items()}
+        found = _alphas(long(now, "beta"), expected, members).toPandas().sort_values(["rep", "sample", "celltype"])
+        return {int(rep): part["alpha"].to_numpy().reshape(len(samples), n_types) for rep, part in found.groupby("rep")}
+
+    ascent.begin(alpha)
+    last = ascent.objective()
+    for _ in range(max(1, iterations)):
+        ascent.ascend(alpha, inner)
+        alpha = updated({rep: f.part.x.reshape(-1, n_types) for rep, f in ascent.restarts.items()})
+        if update_sigma:
+            ascent.update_sigma()
+        ascent.begin(alpha)
+        values = ascent.objective()
+        moved, last = any(abs(values[r] - last[r]) >= tolerance for r in values), values
+        if not moved:
+            break
+    best = max((r for r in last if np.isfinite(last[r])), key=lambda r: (last[r], -r))
+    fitted = stored(ascent.fitted().where(F.col("rep") == best), "model-fitted")
+    names = [F.array(*[F.lit(x).cast(kind[k]) for x in of]) for k, of in (("sample", samples), ("celltype", types))]
+    by_sample = fitted.select("gene", F.explode(F.arrays_zip(names[0].alias("sample"), F.col("nu").alias("nu"), F.col("sigma").alias("sigma"))).alias("t")).select("gene", "t.*")
+    return {
+        "beta": long({best: ascent.restarts[best].part.x}, "beta").drop("rep"),
+        "alpha": long({best: alpha[best]}, "alpha").drop("rep"),
+        "nu": by_sample.select("sample", "gene", F.explode(F.arrays_zip(names[1].alias("celltype"), F.col("nu").alias("nu"))).alias("t")).select("sample", "gene", "t.*"),
+        "omega": fitted.select("gene", F.explode(F.arrays_zip(names[1].alias("celltype"), F.col("omega").alias("omega"))).alias("t")).select("gene", "t.*"),
+        "sigma": by_sample.select("gene", "sample", "sigma"),
+        "objective": spark.createDataFrame([(r, float(v), r == best) for r, v in sorted(last.items())], "rep int, value double, best boolean"),
+    }
+
+
 def _alphas(beta: DataFrame, expected: DataFrame | None, members: DataFrame | None) -> DataFrame:
     """alpha (rep, sample, celltype, alpha) from beta with a column rep: each restart's own."""
     if expected is None or members is None:
