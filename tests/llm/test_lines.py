@@ -1,37 +1,81 @@
 import re
 
-from cytomix.llm.lines import DEPTH, SIMILAR, drop_recurring
+from cytomix.llm.lines import DEPTH, NEAR, PASSAGE, SIMILAR, WORDS, drop_recurring
 
 
-def brute(rows, least):
-    """The same rules over plain dictionaries."""
+def brute(rows, least, groups=None):
+    """The same rules over plain dictionaries: templates, attachment to those that recur, leaders among the rest, passages, and copies that groups (id to group) names. Ties go to the lesser wording."""
+
     def masked(line):
         return [("<*>" if re.search(r"[0-9@]", w) or re.match(r"[A-Za-z]{1,10}://", w) else w) for w in line.split()]
 
-    docs = {(i, t): [masked(x) for x in t.split("\n")] for i, t in rows if t is not None}
-    forms = {}
+    def form(line):
+        t = masked(line)
+        words = len(t) - t.count("<*>")
+        told = words >= WORDS * len(t)
+        return ((len(t), tuple(t[:DEPTH])) if told else (line,), tuple(t if told else line.split()), words > PASSAGE)
+
+    def shared(a, b):
+        return len(set(a) & set(b))
+
+    def led(rows, share):
+        """rows (docs, id, size, f) to their leaders."""
+        leads, to = [], {}
+        for _, name, size, f in sorted(rows, key=lambda r: (-r[0], r[1])):
+            lead = next((x for x in leads if shared(f, x[1]) >= share * size), None)
+            if lead is None:
+                leads.append((name, f))
+        for _, name, size, f in rows:
+            to[name] = next(x[0] for x in leads if x[0] == name or shared(f, x[1]) >= share * size)
+        return to
+
+    docs = {(i, t): [form(x) if x.split() else None for x in t.split("\n")] for i, t in rows if t is not None}
+    forms, passages = {}, set()
     for d, ls in docs.items():
-        for t in ls:
-            if t:
-                forms.setdefault(((len(t), tuple(t[:DEPTH])), tuple(t)), set()).add(d)
-    leaves, fixed = {}, {}
-    for (leaf, t), ds in forms.items():
-        leaves[leaf] = leaves.get(leaf, 0) + len(ds)
-        for i, w in enumerate(t):
-            fixed[leaf, i, w] = fixed.get((leaf, i, w), 0) + len(ds)
-    groups = {}
-    for (leaf, t), ds in forms.items():
-        f = tuple((i, w) for i, w in enumerate(t) if fixed[leaf, i, w] >= least)
-        if leaves[leaf] >= least and f and len(f) >= SIMILAR * len(t):
-            groups.setdefault((leaf, f), []).append((t, ds))
+        for leaf, t, passage in filter(None, ls):
+            forms.setdefault(leaf, {}).setdefault(t, set()).add(d)
+            passages |= {(leaf, t)} if passage else set()
     first = {}
-    for (leaf, _), members in groups.items():
-        if len(set().union(*(ds for _, ds in members))) >= least:
-            for t, _ in members:
-                first[leaf, t] = min(d[0] for _, ds in members for d in ds)
-    out = {}
+    for leaf, own in forms.items():
+        fixed = {}
+        for t, ds in own.items():
+            for i, w in enumerate(t):
+                fixed[i, w] = fixed.get((i, w), 0) + len(ds)
+        templates = {}
+        for t in own:
+            f = tuple((i, w) for i, w in enumerate(t) if fixed[i, w] >= least)
+            if f and len(f) >= SIMILAR * len(t):
+                templates.setdefault(f, []).append(t)
+        count = {f: len(set().union(*(own[t] for t in ts))) for f, ts in templates.items()}
+        size = {f: len(ts[0]) for f, ts in templates.items()}
+        to, loose = {f: f for f in templates if count[f] >= least}, []
+        for f in (f for f in templates if count[f] < least):
+            near = [(shared(f, g), count[g], g) for g in to if count[g] >= least and shared(f, g) >= SIMILAR * size[f]]
+            if near:
+                to[f] = max(near)[2]
+            else:
+                loose.append((count[f], f, size[f], f))
+        if sum(x[0] for x in loose) >= least:
+            to |= led(loose, SIMILAR)
+        often = {}
+        for f, g in to.items():
+            for t in templates[f]:
+                often.setdefault(g, []).append(t)
+        for ts in often.values():
+            ds = set().union(*(own[t] for t in ts))
+            if len(ds) >= least:
+                first |= {(leaf, t): (min(ds)[0], True) for t in ts}
+        rest = [(len(own[t]), t, len(t), tuple(enumerate(t))) for t in own if (leaf, t) in passages and (leaf, t) not in first]
+        heads = {}
+        for t, g in led(rest, NEAR).items():
+            heads.setdefault(g, []).append(t)
+        for ts in heads.values():
+            if sum(len(own[t]) for t in ts) >= 2:
+                first |= {(leaf, t): (min(d[0] for t in ts for d in own[t]), False) for t in ts}
+    out, of = {}, lambda i: (groups or {}).get(i, i)
     for (i, t), ls in docs.items():
-        keep = [x for x, m in zip(t.split("\n"), ls, strict=True) if not m or first.get(((len(m), tuple(m[:DEPTH])), tuple(m)), i) == i]
+        gone = lambda m: m and (at := first.get(m[:2])) and at[0] != i and (at[1] or of(i) != of(at[0]))  # noqa: B023, E731
+        keep = [x for x, m in zip(t.split("\n"), ls, strict=True) if not gone(m)]
         out[i] = ("\n".join(keep), len(ls), len(ls) - len(keep))
     return out
 

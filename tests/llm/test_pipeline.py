@@ -1,10 +1,11 @@
 import sentencepiece
 
 import corpus_pipeline as C
-from cytomix.llm import lines, mixing
+from cytomix.llm import lines
 from cytomix.llm.common import materialize
 from test_lines import brute as brute_lines
 from test_minhash import brute as brute_minhash
+from test_mixing import weights as plain_weights
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +23,8 @@ def test_stages_against_brute_force(spark):
 
     kept = {i for i, _ in rows[1]}
     assert len((labelled - toxic) & kept) >= 0.95 * len(labelled - toxic) and len(toxic & kept) <= 0.4 * len(toxic)
-    want = brute_lines(rows[1], lines.MIN_DOCS)
+    copies = {i: w[1] for i, w in brute_minhash(rows[1], 5, 80).items()}
+    want = brute_lines(rows[1], lines.MIN_DOCS, copies)
     assert {i: t for i, t in rows[2]} == {i: w[0] for i, w in want.items()} and len(rows[2]) == len(rows[1])
     near = brute_minhash(rows[2], 5, 80)
     assert {i for i, _ in rows[3]} == {i for i, w in near.items() if w[2]} and len(rows[3]) == len({i for i, _ in rows[3]})
@@ -30,7 +32,7 @@ def test_stages_against_brute_force(spark):
     for out, at in ((tokens, 3), (used, 4)):
         for r in steps[at].collect():
             out[r.source] = out.get(r.source, 0) + len(r.text.split())
-    weights = mixing.weights(tokens)
+    weights = plain_weights(tokens)
     total = sum(tokens.values())
     assert all(abs(used.get(s, 0) - weights[s] * total) <= 20_000 for s in tokens)
     library = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
