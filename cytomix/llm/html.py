@@ -198,7 +198,7 @@ class Page:
         )).astype(float)
 
     def decode(self, chance: np.ndarray) -> np.ndarray:
-        """The likeliest set of main nodes in which every path from the root is outside, then main, then outside for good.
+        """The likeliest set of main nodes in which every path from the root is outside, then main, then outside for good. Where that is no node, all odds are raised together, if some node with text of its own has a chance of LIKELY.
 
         Bottom up, the best sum of log chances below a node that is not yet main, main, or past it; then top down the choices.
         """
@@ -223,6 +223,10 @@ class Page:
                 state[i] = 1 if within[i] >= past[i] else 2
             else:
                 state[i] = 2
+        best = max((c for c, own in zip(p.tolist(), self.own, strict=True) if own), default=0.0)
+        if 1 not in state and LIKELY <= best < 0.75:  # nothing is likelier than not: raise all odds until the likeliest node's are three to one
+            odds = p / (1 - p) * 3 * (1 - best) / best
+            return self.decode(odds / (1 + odds))
         return np.array(state) == 1
 
     def text(self, main: np.ndarray) -> str:
@@ -231,6 +235,10 @@ class Page:
         return " ".join("".join(" " if t is None else t if keep[i] else " " for i, t in self.pieces).split())
 
 
+#: Least chance of the node that stands in where no node is likelier main than not.
+LIKELY = 0.03
+
+
 def sample_page(seed: int) -> tuple[str, list[bool]]:
     """A made-up page and, for each of its block elements in page order (the first is html), whether its text is main text."""
     rnd = random.Random(seed)
@@ -315,9 +323,33 @@ def sample_page(seed: int) -> tuple[str, list[bool]]:
         if rnd.random() < 0.12 and not plain:
             comments()
 
-    out.append("<!DOCTYPE html><html><head><title>x</title></head>")
+    bare, loose = rnd.random() < 0.25, rnd.random()  # bare pages have no wrapper, and may have no body, or text straight in it
+    if not bare or loose < 0.5:
+        out.append("<!DOCTYPE html><html><head><title>x</title></head>")
+
+    def around(parts: tuple, most: int) -> None:
+        for part in rnd.sample(parts, rnd.randint(0, most)):
+            part()
+
+    def bare_body() -> None:
+        around((menu, plain_nav, header, advert, notice, sidebar), 2)
+        if loose < 0.25:
+            labels[0] = True
+            out.append(words(2, 120))
+            if rnd.random() < 0.5:
+                article()
+        elif loose < 0.6:
+            article()
+        else:
+            if rnd.random() < 0.4:
+                block(rnd.choice(("h1", "h2")), True, words(1, 9))
+            for _ in range(rnd.choice((1, 1, 2, 3, 7))):
+                block("p", True, words(2, 12) if rnd.random() < 0.2 else words(12, 150))
+        around((comments, footer, advert, sidebar, form, notice, menu), 2)
 
     def body() -> None:
+        if bare:
+            return bare_body()
         for part in rnd.sample((menu, plain_nav, header, advert, notice, sidebar), rnd.randint(0, 4)):
             part()
         wrap = rnd.random()
@@ -326,7 +358,7 @@ def sample_page(seed: int) -> tuple[str, list[bool]]:
         for part in rnd.sample((comments, footer, advert, sidebar, form, notice, menu), rnd.randint(0, 5)):
             part()
 
-    block("body", False, body)
+    block("body", False, body) if not bare or loose < 0.8 else body()
     return "".join(out), labels
 
 

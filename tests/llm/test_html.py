@@ -80,3 +80,28 @@ def test_pages_with_other_names(forest):
         html = f'<html><body><div class="topline">{menu}</div>{wrap.format(body)}<div class="bottomline"><a href="/a">About</a> <a href="/b">Contact</a></div></body></html>'
         (text,) = H.main_text([html], forest)
         assert plain(body[body.index("<p>") :]) in text and "Topic" not in text and "Contact" not in text, wrap
+
+
+W = "the quick brown fox jumps over the lazy dog near a quiet river bank while the sun sets slowly behind old hills and trees"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<p>{W}</p><p>{W} again.</p>", f"{W} {W} again."),
+        (f"{W} and {W}", f"{W} and {W}"),
+        (f"<html><body><p>{W}</p></body></html>", W),
+        (f"<body>{W}<p>{W}</p></body>", f"{W} {W}"),
+        (f"<div class=c2><h1>Bridge news</h1><p>{W}</p></div>", f"Bridge news {W}"),
+        (f"<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>About</a></li></ul></nav><p>{W}</p><p>{W}</p><footer>&copy; 2020 Someone</footer>", f"{W} {W}"),
+        (f"<h1>Title here</h1><p>{W}</p>", f"Title here {W}"),
+        ("<p>Short one.</p>", "Short one."),
+        ("<nav><ul><li><a href=/a>Home</a></li></ul></nav>", ""),
+        (f"<body><h1>Bridge news</h1>{W}<br>{W}<div id=comments><p>nice post</p></div></body>", f"Bridge news {W} {W}"),
+        (f"<table><tr><td>{W}</td></tr></table>", W),
+        (f"<div><div><div>{W}</div></div></div>", W),
+        (f"<header>My site</header><h2>News of the day</h2><p>{W}</p><aside><h3>Related</h3><p>more links here</p></aside>", f"News of the day {W}"),
+    ],
+)
+def test_pages_without_wrapper(forest, page, text):
+    assert H.main_text([page], forest) == [text]
