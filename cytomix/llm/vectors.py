@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,9 @@ BEAM = 48
 #: Least vectors that a ball stands for.
 BALL = 16
 #: Vectors compared with all others at first to measure recall, those with a partner that the measure needs, and the recall wanted.
-AUDIT, PARTNERED, RECALL = 200, 50, 0.98
+AUDIT, PARTNERED, RECALL = 200, 200, 0.99
+#: Vectors compared with all others at most, before the draw turns to those that have a found partner.
+AUDIT_MOST = 3200
 #: Radians by which bounds on angles are widened, over rounding.
 SLACK = 1e-6
 
@@ -405,17 +408,18 @@ def _counts(found: DataFrame, settled: DataFrame, vectors: DataFrame, items: Dat
 
 def audit(vectors: DataFrame, counts: DataFrame, least: float) -> float:
     """Recall of the links in counts (node, links), averaged over vectors (node, vec, size) that have a partner: about AUDIT vectors chosen by hash are sent to every task and compared with
-    all, then four times as many, until PARTNERED of them have a partner or all are compared."""
-    n, drawn = vectors.count(), AUDIT
-    while True:
-        part = min(1.0, drawn / max(1, n))
-        queries = vectors.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1_000_000)) < max(1, int(1_000_000 * part))).collect()
+    all, then four times as many, until PARTNERED of them have a partner, all are compared, or AUDIT_MOST were drawn. Where partners are so rare, AUDIT more are drawn among the vectors that the search gave a
+    partner, so that at least what it missed of their partners is seen. So what is collected and compared is bounded, whatever the table.
+    """
+    n, drawn, total = vectors.count(), AUDIT, [0, 0.0]
+
+    def judged(queries: list) -> tuple[int, float]:
         by: dict[int, list] = {}
         for q in queries:
             by.setdefault(len(q["vec"]), []).append(q)
         shared = vectors.sparkSession.sparkContext.broadcast({d: ([q["node"] for q in qs], _unit([q["vec"] for q in qs])) for d, qs in by.items()})
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = {d: np.zeros(len(ids)) for d, (ids, _) in shared.value.items()}
             for batch in batches:
                 for d, rows in batch.groupby(batch["vec"].map(len)):
@@ -425,10 +429,22 @@ def audit(vectors: DataFrame, counts: DataFrame, least: float) -> float:
                 yield pd.DataFrame({"node": shared.value[d][0], "true": t}).astype("int64")
 
         true = vectors.mapInPandas(run, "node long, true long").groupBy("node").agg((F.sum("true") - 1).alias("true")).where(F.col("true") > 0)  # less the row itself
-        row = true.join(counts, "node").agg(F.count(F.lit(1)).alias("n"), F.avg(F.least(F.lit(1.0), F.col("links") / F.col("true"))).alias("recall")).head()
-        if row["n"] >= PARTNERED or part >= 1.0:
-            return row["recall"] if row["n"] else 1.0
+        row = true.join(counts, "node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(F.lit(1.0), F.col("links") / F.col("true"))).alias("recall")).head()
+        return row["n"], row["recall"] or 0.0
+
+    at = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1_000_000_000))
+    while True:
+        part = min(1.0, drawn / max(1, n))
+        total = judged(vectors.where(at < math.ceil(1_000_000_000 * part)).collect())
+        if total[0] >= PARTNERED or part >= 1.0:
+            break
+        if drawn >= AUDIT_MOST:
+            linked = vectors.join(counts.where("links > 0").select("node"), "node", "left_semi").where(at >= math.ceil(1_000_000_000 * part))
+            more = judged(linked.orderBy(at, "node").limit(AUDIT).collect())
+            total = (total[0] + more[0], total[1] + more[1])
+            break
         drawn *= 4
+    return total[1] / total[0] if total[0] else 1.0
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -110,3 +110,15 @@ def test_exact_comparison_makes_up_for_a_poor_search(spark, monkeypatch):
     empty = spark.createDataFrame([], "kind string, a long, b long")
     monkeypatch.setattr(V, "search", lambda items, least, overlap: empty)
     assert list(found(spark, rows).values()) == brute(rows, 0.95) or found(spark, rows) == dict(zip([i for i, _ in rows], brute(rows, 0.95), strict=True))
+
+
+def test_audit_collects_few_vectors_where_none_has_a_partner(spark, monkeypatch):
+    rnd = np.random.default_rng(12)
+    rows = rnd.normal(size=(20_000, 48))
+    rows[7], rows[8] = rows[9] + 0.01, rows[9]
+    vectors = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(rows)], "node long, vec array<double>, size long")
+    counts = spark.createDataFrame([(7, 2), (8, 1), (9, 2)], "node long, links long")
+    seen, plain = [], type(vectors).collect
+    monkeypatch.setattr(type(vectors), "collect", lambda self: seen.append(plain(self)) or seen[-1])
+    assert abs(V.audit(vectors, counts, 0.95) - (1 + 0.5 + 1) / 3) < 1e-9
+    assert 0 < max(map(len, seen)) < 5000
