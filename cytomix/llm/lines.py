@@ -65,6 +65,18 @@ def led(rows: DataFrame, share: float) -> DataFrame:
     return lists.select("leaf", F.explode(moves).alias("t")).select("leaf", "t.*")
 
 
+def close(rows: DataFrame, share: float) -> DataFrame:
+    """The rows (leaf, id, docs, of, f) that may have another of their leaf alike: f has a hash for each of the of places, and rows with at least this share of them in common differ in few places, so that of one
+    more segments than these at least one is the same in both. All others are alike to none, and need no comparison."""
+    cuts = (F.col("of") - F.ceil(share * F.col("of") - 1e-9) + 1).cast("int")
+    start = lambda i: F.floor(i * F.col("of") / F.col("cuts")).cast("int")
+    segments = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: F.xxhash64(i, F.slice("f", start(i) + 1, start(i + 1) - start(i))))
+    segments = materialize(rows.withColumn("cuts", cuts).select("leaf", "id", F.explode(segments).alias("segment")), "lines-segments")
+    shared = materialize(segments.groupBy("leaf", "segment").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf", "segment"), "lines-shared")
+    ids = materialize(join_stored(segments, shared, ["leaf", "segment"], "left_semi").select("leaf", "id").distinct(), "lines-close")
+    return join_stored(rows, ids, ["leaf", "id"], "left_semi")
+
+
 def recurring(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
     """(leaf, whole, first, often): the masked lines that recur, and the smallest key that has their template.
 
@@ -107,7 +119,8 @@ def recurring(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
     often = materialize(shaped.select("leaf", "whole", "id").join(moved, ["leaf", "id"]).join(often, ["leaf", "to"]).select("leaf", "whole", "first", F.lit(True).alias("often")), "lines-recurring")
     rest = opened.where("passage").join(often, ["leaf", "whole"], "left_anti").withColumnRenamed("whole", "id")
     rest = materialize(rest.select("leaf", "id", "docs", "first", F.size("t").alias("of"), F.transform("t", lambda x, i: F.xxhash64(i, x)).alias("f")), "lines-passages")
-    moved = materialize(rest.join(led(rest, NEAR), ["leaf", "id"]).select("leaf", "id", "to", "docs", "first"), "lines-moved")
+    near = materialize(led(close(rest, NEAR), NEAR), "lines-led")
+    moved = materialize(join_stored(rest, near, ["leaf", "id"], "left").select("leaf", "id", F.coalesce("to", "id").alias("to"), "docs", "first"), "lines-moved")
     heads = moved.groupBy("leaf", "to").agg(F.sum("docs").alias("all"), F.min("first").alias("first")).where("all >= 2")
     twice = moved.select("leaf", "to", F.col("id").alias("whole")).join(heads, ["leaf", "to"]).select("leaf", "whole", "first", F.lit(False).alias("often"))
     return materialize(often.unionByName(twice), "lines-known")

@@ -1,6 +1,7 @@
 import re
 
-from cytomix.llm.lines import DEPTH, NEAR, PASSAGE, SIMILAR, WORDS, drop_recurring
+import numpy as np
+from cytomix.llm.lines import DEPTH, NEAR, PASSAGE, SIMILAR, WORDS, close, drop_recurring
 
 
 def brute(rows, least, groups=None):
@@ -147,3 +148,28 @@ def test_many_lines_take_linear_time(spark):
     docs = spark.createDataFrame([(i, text if i < 2 else "one and the same line of words") for i in range(6)], "doc_id long, text string")
     got = {r.doc_id: (r.n_lines, r.n_dropped) for r in drop_recurring(docs, 5).collect()}
     assert got[1] == (80_000, 40_000) and got[5] == (1, 1)
+
+
+def test_passages_of_one_leaf_that_share_no_segment_are_not_compared(spark):
+    words = lambda i, n: " ".join(f"{chr(97 + (i * 7 + k) % 26)}{chr(97 + (i * 11 + k * k) % 26)}x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for k in range(n))
+    rows = [(i, f"one and the same beginning of {words(i, 60)}") for i in range(3000)]
+    near = [(5000 + i, " ".join([*rows[i][1].split()[:-1], "changed"])) for i in range(5)]
+    docs = spark.createDataFrame(rows + near, "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in drop_recurring(docs, 5).collect()}
+    assert {i for i, n in got.items() if n} == {i for i, _ in near}
+    f = spark.createDataFrame([(1, i, 1, 66, t.split()) for i, t in rows + near], "leaf long, id long, docs long, of int, f array<string>")
+    assert {r.id for r in close(f, NEAR).collect()} == {i for i, _ in near} | set(range(5))
+
+
+def test_no_alike_rows_are_left_apart(spark):
+    rnd = np.random.default_rng(3)
+    rows = []
+    for n in (51, 57, 60, 64):
+        base = rnd.integers(0, 10**6, n)
+        for i in range(25):
+            t = base.copy()
+            t[rnd.choice(n, rnd.integers(0, 9), replace=False)] = rnd.integers(10**6, 2 * 10**6)
+            rows.append((n, 1000 * n + i, 1, n, [f"{k}:{v}" for k, v in enumerate(t)]))
+    got = {r.id for r in close(spark.createDataFrame(rows, "leaf long, id long, docs long, of int, f array<string>"), NEAR).collect()}
+    want = {a[1] for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and len(set(a[4]) & set(b[4])) >= NEAR * a[3]}
+    assert want and want <= got
