@@ -335,7 +335,7 @@ def sample_page(seed: int) -> tuple[str, list[bool]]:
         around((menu, plain_nav, header, advert, notice, sidebar), 2)
         if loose < 0.25:
             labels[0] = True
-            out.append(words(2, 120))
+            out.append(words(8, 120))
             if rnd.random() < 0.5:
                 article()
         elif loose < 0.6:
