@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cytomix.functions.minimise import minimise
 from cytomix.functions.special import gamma_terms
+from cytomix.functions.support import support_regression
 from cytomix.operators.model import alpha_with_prior, mean_alpha
 from cytomix.sources.stored import stored
 
@@ -104,28 +105,6 @@ def fit_sample(y: np.ndarray, sigma: np.ndarray, nu: np.ndarray, omega: np.ndarr
     return x, -value
 
 
-def support_regression(x: np.ndarray, y: np.ndarray, nu: float, cost: float = 1.0) -> tuple[np.ndarray, float]:
-    """Coefficients of a linear support vector regression in which a share nu of the rows may lie outside the tube, and the mean squared error on the rows.
-
-    Minimises half the squared coefficients plus cost * (n nu e + sum of what residuals exceed the tube's half width e), with the corner rounded off.
-    """
-    n, c = x.shape
-    round_off = 1e-3 * (y.std() + 1e-12)
-
-    def loss(z: np.ndarray) -> tuple[float, np.ndarray]:
-        w, b, e = z[:c], z[c], z[c + 1]
-        miss = y - x @ w - b
-        over = np.abs(miss) - e
-        pull = np.clip(over / round_off, 0.0, 1.0)
-        penalty = np.where(over > round_off, over - round_off / 2, np.maximum(over, 0.0) ** 2 / (2 * round_off))
-        push = cost * pull * np.sign(miss)
-        return w @ w / 2 + cost * (n * nu * e + penalty.sum()), np.concatenate((w - x.T @ push, [-push.sum(), cost * (n * nu - pull.sum())]))
-
-    start = np.concatenate((np.zeros(c), [y.mean(), y.std()]))
-    z, _ = minimise(loss, start, np.concatenate((np.full(c + 1, -np.inf), [0.0])), np.inf, 500)
-    return z[:c], float(((y - x @ z[:c] - z[c]) ** 2).mean())
-
-
 def _arrays(signature: DataFrame, types: list) -> DataFrame:
     """(gene, mu, std), arrays over types, for the genes that have all types."""
     rows = signature.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("celltype", "mu", "std"))).alias("s")).where(F.size("s") == len(types))
@@ -137,27 +116,40 @@ def cell_types(signature: DataFrame) -> list:
     return [r["celltype"] for r in signature.select("celltype").distinct().orderBy("celltype").collect()]
 
 
-def regression_start(bulk: DataFrame, signature: DataFrame, nus: tuple[float, ...] = NUS) -> DataFrame:
-    """(sample, celltype, fraction): linear expression of each sample regressed on the signature's, by the regression of the least error; coefficients are cut off
-    at zero and scaled to one. A sample without a positive one gets even fractions."""
+def regressions(bulk: DataFrame, signature: DataFrame, nus: tuple[float, ...] = NUS) -> DataFrame:
+    """(sample, fraction, support, nu, residual): linear expression of each sample regressed on the signature's, by the share nu of least error. fraction holds the coefficients over the cell types in their order, cut
+    off at zero and scaled to one, even where none is positive; support the genes that carry the regression; residual the largest violation of its optimality conditions."""
     types = cell_types(signature)
     rows = bulk.join(_arrays(signature, types), "gene").select("sample", "gene", "expr", F.transform("mu", F.expm1).alias("x"))
-    kind = {f.name: f.dataType.simpleString() for f in [*bulk.schema.fields, *signature.schema.fields]}
+    kind = {f.name: f.dataType.simpleString() for f in bulk.schema.fields}
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("gene")
+        group = group.sort_values("gene", ignore_index=True)
         x, y = np.stack(group["x"].to_list()), group["expr"].to_numpy(float)
-        best, _ = min((support_regression(x, y, nu) for nu in nus), key=lambda found: found[1])
-        share = np.maximum(best, 0.0)
+        nu, best = min(((nu, support_regression(x, y, nu)) for nu in nus), key=lambda found: found[1].error(x, y))
+        share = np.maximum(best.coef, 0.0)
         share = share / share.sum() if share.sum() > 0 else np.full(len(types), 1 / len(types))
-        return pd.DataFrame({"sample": group["sample"].iloc[0], "celltype": types, "fraction": share})
+        return pd.DataFrame({"sample": group["sample"].iloc[:1], "fraction": [share], "support": [group["gene"].to_numpy()[best.support()]], "nu": nu, "residual": best.residual})
 
-    return rows.groupBy("sample").applyInPandas(fit, f"sample {kind['sample']}, celltype {kind['celltype']}, fraction double")
+    return rows.groupBy("sample").applyInPandas(fit, f"sample {kind['sample']}, fraction array<double>, support array<{kind['gene']}>, nu double, residual double")
+
+
+def regression_start(bulk: DataFrame, signature: DataFrame, nus: tuple[float, ...] = NUS) -> DataFrame:
+    """(sample, celltype, fraction): the fractions of regressions()."""
+    kind = signature.schema["celltype"].dataType.simpleString()
+    types = F.array(*[F.lit(t).cast(kind) for t in cell_types(signature)])
+    return regressions(bulk, signature, nus).select("sample", F.explode(F.arrays_zip(types.alias("celltype"), F.col("fraction").alias("fraction"))).alias("t")).select("sample", "t.*")
+
+
+def supported_genes(found: DataFrame, share: float) -> DataFrame:
+    """(gene, n): genes that carry the regressions() found of more than this share of the samples, and of how many."""
+    samples = found.agg((F.count(F.lit(1)) * share).alias("least"))
+    return found.select(F.explode("support").alias("gene")).groupBy("gene").agg(F.count(F.lit(1)).alias("n")).join(samples).where("n > least").select("gene", "n")
 
 
 def fit_model(
     bulk: DataFrame, signature: DataFrame, *, alpha: float = 1.0, alpha0: float = 1000.0, kappa0: float = 1.0, sy: float = 1.0, reps: int = 10, trust: float = 10.0, update_sigma: bool = False,
-    expected: DataFrame | None = None, members: DataFrame | None = None, iterations: int = 100, tolerance: float = 1e-3, inner: int = 40, seed: int = 0, method: str = "blocks", fixed: tuple[str, ...] = (),
+    expected: DataFrame | None = None, members: DataFrame | None = None, iterations: int = 100, tolerance: float = 1e-3, inner: int = 40, seed: int = 0, method: str = "blocks", fixed: tuple[str, ...] = (), share: float = 0.0,
 ) -> dict[str, DataFrame]:
     """beta (sample, celltype, beta), alpha, nu (sample, gene, celltype, nu), omega (gene, celltype, omega) and objective (rep, value) of the best of reps restarts.
 
@@ -165,6 +157,8 @@ def fit_model(
     trust plus unit gamma noise; then each iteration fits every sample, every gene, the prior alpha, and if wanted sigma. Its objective is that under the updated alpha and sigma. It ends when no restart's
     objective moves by tolerance, or after iterations. Between iterations tables are stored, so that lost executors cost one step. Genes that lack a sample or a cell type take no part.
 
+    With share over 0 only the genes take part that carry the regressions of more than this share of the samples.
+
     method blocks raises the objective by samples and by genes in turn, with inner steps in each; joint takes inner steps of all variables together (joint.Ascent), where fixed may name those of nu, omega and
     beta that stay as they begin. A joint fit holds the fractions of all restarts in the driver, and raises an error beyond joint.FRACTIONS_MOST numbers.
     """
@@ -174,6 +168,9 @@ def fit_model(
     n_types, n_samples = len(types), bulk.select("sample").distinct().count()
     spark = bulk.sparkSession
     kind = {f.name: f.dataType.simpleString() for f in [*bulk.schema.fields, *signature.schema.fields]}
+    start = stored(regressions(bulk, signature), "model-start")
+    if share > 0:
+        bulk = bulk.join(supported_genes(start, share).select("gene"), "gene", "left_semi")
     whole = bulk.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), (F.stddev_pop(F.log1p("expr")) * sy + 0.1).alias("sigma")).where(F.col("n") == n_samples).select("gene", "sigma")
     prior = _arrays(signature, types).join(whole, "gene").withColumn("beta0", F.transform("std", lambda s: alpha0 * s * s))
     prior = stored(prior, "model-prior")
@@ -185,8 +182,6 @@ def fit_model(
     work = bulk.join(prior, "gene").select("gene", "sample", F.log1p("expr").alias("y"), "sigma", F.col("mu").alias("nu"), F.col("std").alias("omega"))
     work = stored(work.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))), "model-work")
 
-    start = regression_start(bulk, signature).groupBy("sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("celltype", "fraction"))), lambda t: t["fraction"]).alias("fraction"))
-
     def begin(batches):
         for batch in batches:
             beta = []
@@ -195,7 +190,7 @@ def fit_model(
                 beta.append(np.clip(noise + trust * np.asarray(share), LEAST, MOST))
             yield pd.DataFrame({"rep": batch["rep"], "sample": batch["sample"], "beta": beta})
 
-    beta = stored(start.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).mapInPandas(begin, f"rep int, sample {kind['sample']}, beta array<double>"), "model-beta")
+    beta = stored(start.select("sample", "fraction").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).mapInPandas(begin, f"rep int, sample {kind['sample']}, beta array<double>"), "model-beta")
     beta = beta.withColumn("alpha", F.transform("beta", lambda b: F.lit(float(alpha))))
     if method == "joint":
         return _fit_jointly(work, prior, beta, types, kind, balance, alpha0=alpha0, kappa0=kappa0, update_sigma=update_sigma, expected=expected, members=members, iterations=iterations, tolerance=tolerance, inner=inner, fixed=fixed)

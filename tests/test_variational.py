@@ -5,6 +5,7 @@ import pytest
 
 from cytomix.functions.minimise import minimise
 from cytomix.functions.special import gamma_terms
+from cytomix.functions.support import support_regression
 from cytomix.operators import variational as V
 
 
@@ -79,8 +80,44 @@ def test_support_regression_leaves_out_wild_rows():
     x = rnd.uniform(0, 5, (80, 3))
     y = x @ [0.2, 0.5, 0.3] + rnd.normal(0, 0.02, 80)
     y[:8] += 40
-    w, _ = V.support_regression(x, y, 0.5)
-    assert np.allclose(w, [0.2, 0.5, 0.3], atol=0.05)
+    found = support_regression(x, y, 0.5)
+    assert np.allclose(found.coef, [0.2, 0.5, 0.3], atol=0.05)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_support_regression_meets_its_conditions(seed):
+    rnd = np.random.default_rng(seed)
+    n, c, nu = int(rnd.choice([6, 30, 90])), int(rnd.choice([2, 5])), float(rnd.choice([0.25, 0.5, 0.75]))
+    x = np.expm1(rnd.gamma(2, 0.7, (n, c)))
+    y = x @ rnd.dirichlet(np.ones(c)) * np.exp(rnd.normal(0, 0.3, n))
+    found = support_regression(x, y, nu)
+    assert found.residual < 1e-6 and nu * n - 1e-6 <= np.abs(found.dual).sum() + 1e-9 <= nu * n + 1e-6 and len(found.support()) >= nu * n - 1e-6
+    loss = lambda w, b, e: w @ w / 2 + n * nu * e + np.maximum(np.abs(y - x @ w - b) - e, 0).sum()
+    best = loss(found.coef, found.intercept, found.width)
+    assert all(loss(found.coef + d[:c], found.intercept + d[c], abs(found.width + d[c + 1])) >= best - 1e-9 * abs(best) for d in rnd.normal(0, 0.01, (200, c + 2)))
+
+
+def test_support_regression_edges():
+    ones = np.ones((6, 2))
+    assert not support_regression(ones, np.zeros(6), 0.5).coef.any()
+    assert support_regression(np.repeat(ones, 3, 0), np.arange(18.0) // 3, 0.5).residual < 1e-9
+    assert support_regression(np.ones((1, 3)), np.ones(1), 0.5).residual < 1e-6
+
+
+def test_genes_that_carry_no_regression_are_left_out(spark):
+    bulk, signature, f = planted(spark, 60, 10, 3)
+    noise = bulk.where("gene >= 45").selectExpr("gene", "sample", "expr * (1 + 4 * (hash(gene, sample) % 2)) as expr")
+    found = V.regressions(bulk.where("gene < 45").unionByName(noise), signature)
+    rows = found.collect()
+    assert max(r.residual for r in rows) < 1e-6 and all(abs(sum(r.fraction) - 1) < 1e-9 for r in rows)
+    counts = {}
+    for r in rows:
+        for g in r.support:
+            counts[g] = counts.get(g, 0) + 1
+    assert {r.gene: r.n for r in V.supported_genes(found, 0.5).collect()} == {g: n for g, n in counts.items() if n > 5}
+    assert np.mean([counts.get(g, 0) for g in range(45, 60)]) > np.mean([counts.get(g, 0) for g in range(45)])
+    fit = V.fit_model(bulk, signature, reps=1, iterations=1, inner=3, share=0.6)
+    assert {r.gene for r in fit["omega"].select("gene").distinct().collect()} == {r.gene for r in V.supported_genes(V.regressions(bulk, signature), 0.6).collect()}
 
 
 def planted(spark, genes=40, samples=12, types=3, seed=1):
