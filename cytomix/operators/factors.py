@@ -151,3 +151,29 @@ def factorise(gram_rows: DataFrame, runs: list[tuple[int, int]], *, rounds: int
         found = part if found is None else found.unionByName(part)
         at = to
     return found
+
+
+def eigenpairs(gram_rows: DataFrame, count: int, *, least: float = 1e-8, rounds: int = 200, extra: int = 8, seed: int = 0, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(samples, values, vectors): the count largest eigenvalues of one cell type's Gram rows (s1, s2, k), falling, and their vectors as columns; those under least times the largest are dropped.
+
+    Subspace iteration: products of the blocks with a thin matrix, made orthogonal each time, until the values stand still. The sign of a vector makes its largest entry positive.
+    """
+    products = Products(gram_rows, block)
+    n = len(products.samples)
+    x = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, min(n, count + extra))))[0]
+    last = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        up, down = products(x)
+        y = up - down
+        values, turn = np.linalg.eigh(x.T @ y)
+        values, x = values[::-1], np.linalg.qr(y @ turn[:, ::-1])[0]
+        if np.abs(values - last)[: min(count, n)].max(initial=0.0) <= 1e-14 * max(abs(values[0]), 1e-300):
+            break
+        last = values
+    up, down = products(x)
+    values, turn = np.linalg.eigh(x.T @ (up - down))
+    values, vectors = values[::-1][:count], (x @ turn[:, ::-1])[:, :count]
+    kept = values > max(least * max(values.max(initial=0.0), 0.0), 1e-300)
+    values, vectors = values[kept], vectors[:, kept]
+    sign = np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(values))]) if len(values) else 1.0
+    return products.samples, values, vectors * sign

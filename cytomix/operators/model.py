@@ -167,3 +167,22 @@ def alpha_with_prior(beta: DataFrame, expected: DataFrame, members: DataFrame, b
     share = F.when(free, F.try_divide("f", "free_f") * (1 - F.col("mass"))).otherwise(F.try_divide("f", "in_group") * F.col("prior"))
     scale = F.coalesce(F.try_divide(F.nullif("free_m", F.lit(0.0)), 1 - F.col("mass")), F.sum("m").over(w))
     return rows.select(*by, "sample", "celltype", (share * scale).alias("alpha"))
+
+
+def sample_alpha(beta: DataFrame, expected: DataFrame | None = None, members: DataFrame | None = None, temperature: float | None = None, by: list[str] | None = None) -> DataFrame:
+    """alpha by each sample's own fractions instead of their mean: in proportion to its beta, except that groups of cell types with an expected mass (null: none) get that mass, and the other types share what is left.
+
+    A sample's alpha sums to temperature, or without one to the sum of its beta, so that alpha is beta itself where nothing is expected. Each group of the columns by is on its own.
+    """
+    keys = [*(by or []), "sample"]
+    w = Window.partitionBy(*keys)
+    rows = beta.withColumn("total", F.sum("beta").over(w)).select(*keys, "celltype", "total", F.try_divide("beta", F.col("total")).alias("f"))
+    share = F.col("f")
+    if expected is not None and members is not None:
+        rows = rows.join(members, "celltype", "left").join(expected.where("prior is not null"), ["sample", "group"], "left")
+        pinned = F.col("prior").isNotNull()
+        rows = rows.withColumn("in_group", F.sum("f").over(Window.partitionBy(*keys, "group")))
+        rows = rows.withColumn("pinned", F.when(pinned, F.try_divide("f", "in_group") * F.col("prior"))).withColumn("mass", F.coalesce(F.sum("pinned").over(w), F.lit(0.0)))
+        rows = rows.withColumn("free_f", F.sum(F.when(pinned, 0.0).otherwise(F.col("f"))).over(w))
+        share = F.when(pinned, F.col("pinned")).otherwise(F.try_divide("f", "free_f") * (1 - F.col("mass")))
+    return rows.select(*keys, "celltype", (share * (F.col("total") if temperature is None else F.lit(float(temperature)))).alias("alpha"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cytomix.operators.bulk import bland_altman_of, without
+from cytomix.sources.stored import stored
 
 
 def summary(cells: DataFrame) -> DataFrame:
@@ -236,25 +237,51 @@ def variance_trend(signature: DataFrame, min_mean: float = 0.1, share: float = 0
 SEARCH_GENES = 5000
 
 
-def _separation(x: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """For each set of genes (row of masks) how well the cell types' centroids (types by genes) differ on it: mean distance between types, scaled, less mean absolute correlation."""
-    out = np.empty(len(masks))
+def _objectives(x: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """For each set of genes (row of masks) two numbers to raise: the mean distance between the cell types' centroids (types by genes), as a share of that on all genes, and the negated mean absolute correlation."""
+    out = np.empty((len(masks), 2))
     pair = np.triu_indices(len(x), 1)
     whole = np.linalg.norm(x[pair[0]] - x[pair[1]], axis=1).mean() + 1e-12
     for i, mask in enumerate(masks):
         part = x[:, mask]
-        far = np.linalg.norm(part[pair[0]] - part[pair[1]], axis=1).mean() / whole
         centred = part - part.mean(1, keepdims=True)
         size = np.linalg.norm(centred, axis=1)
-        out[i] = far - np.abs((centred @ centred.T)[pair] / np.maximum(size[pair[0]] * size[pair[1]], 1e-12)).mean()
+        out[i] = np.linalg.norm(part[pair[0]] - part[pair[1]], axis=1).mean() / whole, -np.abs((centred @ centred.T)[pair] / np.maximum(size[pair[0]] * size[pair[1]], 1e-12)).mean()
     return out
 
 
-def marker_search(centroids: DataFrame, n_genes: int | None = None, islands: int = 8, generations: int = 300, offspring: int = 40, seed: int = 0) -> DataFrame:
-    """(gene): a set of genes on which the cell types' centroids (gene, celltype, mu) lie far apart and correlate little, found by seeded evolution on islands, one task each.
+def fronts(values: np.ndarray) -> np.ndarray:
+    """The front of each row of values, all to be raised: 0 for rows that no other dominates, 1 for those that only these dominate, and so on."""
+    better = (values[:, None] >= values[None]).all(2) & (values[:, None] > values[None]).any(2)
+    rank, left, front = np.zeros(len(values), int), np.ones(len(values), bool), 0
+    while left.any():
+        top = left & ~(better & left[:, None]).any(0)
+        rank[top], front = front, front + 1
+        left &= ~top
+    return rank
+
+
+def crowding(values: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """How far a row's neighbours on its own front lie apart, summed over the columns of values; infinite at the ends."""
+    out = np.zeros(len(values))
+    for front in np.unique(rank):
+        own = np.flatnonzero(rank == front)
+        for column in values.T:
+            order = own[np.argsort(column[own], kind="stable")]
+            out[order[[0, -1]]] = np.inf
+            spread = column[order[-1]] - column[order[0]]
+            if len(order) > 2 and spread > 0:
+                out[order[1:-1]] += (column[order[2:]] - column[order[:-2]]) / spread
+    return out
+
 
-    An island breeds sets from its two best by swapping genes and changing a few, and keeps the better ones; the best island wins. n_genes fixes the size of the set, else the search
-    chooses it. Centroids are those of at most SEARCH_GENES variable genes, which the caller selects. Sets found depend on the seed only.
+def marker_front(centroids: DataFrame, n_genes: int | None = None, islands: int = 8, generations: int = 300, offspring: int = 40, seed: int = 0) -> DataFrame:
+    """(solution, distance, correlation, genes): sets of genes of which none is worse than another in both the cell types' mean distance (a share of that on all genes) and their mean absolute correlation, by
+    falling distance. centroids is (gene, celltype, mu).
+
+    Islands, one task each, evolve sets from a seed: of a set and its offspring those stay that fewer fronts dominate, and of one front those that lie less crowded. Parents meet in tournaments by the same
+    order, swap genes and change a few. The fronts of all islands are then compared as one. n_genes fixes the size of the sets, else it is part of the search. Centroids are those of at most SEARCH_GENES
+    variable genes, which the caller selects. What is found depends on the seed only.
     """
     kind = centroids.schema["gene"].dataType.simpleString()
     rows = centroids.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("celltype", "mu"))).alias("s")).select("gene", F.col("s.mu").alias("mu"))
@@ -276,19 +303,39 @@ def marker_search(centroids: DataFrame, n_genes: int | None = None, islands: int
                     m[rnd.choice(np.flatnonzero(~m if short > 0 else m), abs(short), replace=False)] = short > 0
             return masks
 
-        pool = fixed(rnd.random((offspring, n)) < (want or n / 2) / n)
-        score = _separation(x, pool)
+        def order(values: np.ndarray) -> np.ndarray:
+            rank = fronts(values)
+            return np.lexsort((-crowding(values, rank), rank))
+
+        # islands begin with sets of different sizes
+        pool = fixed(rnd.random((offspring, n)) < (want or n * (island + 1) / (islands + 1)) / n)
+        values = _objectives(x, pool)
+        first = order(values)
+        pool, values = pool[first], values[first]
         for _ in range(generations):
-            parents = pool[rnd.integers(0, min(len(pool), 10), (offspring, 2))]
-            young = np.where(rnd.random((offspring, n)) < 0.5, parents[:, 0], parents[:, 1]) ^ (rnd.random((offspring, n)) < 1.5 / n)
-            pool, score = np.concatenate((pool, fixed(young))), np.concatenate((score, _separation(x, young)))
-            keep = np.argsort(-score, kind="stable")[:offspring]
-            pool, score = pool[keep], score[keep]
-        return pd.DataFrame({"gene": group["gene"][pool[0]], "island": island, "score": score[0]})
-
-    found = spread.groupBy("island").applyInPandas(evolve, f"gene {kind}, island int, score double")
-    sets = found.groupBy("island", "score").agg(F.sort_array(F.collect_list("gene")).alias("genes"))
-    return sets.agg(F.max_by("genes", F.struct("score", -F.col("island"))).alias("genes")).select(F.explode("genes").alias("gene"))
+            met = rnd.integers(0, len(pool), (offspring, 2, 2)).min(2)  # the better of two, twice
+            young = np.where(rnd.random((offspring, n)) < 0.5, pool[met[:, 0]], pool[met[:, 1]]) ^ (rnd.random((offspring, n)) < 1.5 / n)
+            pool = np.concatenate((pool, fixed(young)))
+            pool, at = np.unique(pool, axis=0, return_index=True)
+            values = np.concatenate((values, _objectives(x, young)))[at]
+            keep = order(values)[:offspring]
+            pool, values = pool[keep], values[keep]
+        best = fronts(values) == 0
+        return pd.DataFrame({"distance": values[best, 0], "correlation": -values[best, 1], "genes": [group["gene"].to_numpy()[m] for m in pool[best]]})
+
+    found = spread.groupBy("island").applyInPandas(evolve, f"distance double, correlation double, genes array<{kind}>").groupBy("genes").agg(F.first("distance").alias("distance"), F.first("correlation").alias("correlation"))
+    found = stored(found, "markers-found")  # offspring of each island at most
+    other = found.select(F.col("distance").alias("d"), F.col("correlation").alias("c"))
+    worse = (F.col("d") >= F.col("distance")) & (F.col("c") <= F.col("correlation")) & ((F.col("d") > F.col("distance")) | (F.col("c") < F.col("correlation")))
+    front = found.join(F.broadcast(other), worse, "left_anti")
+    return front.select((F.row_number().over(Window.orderBy(F.desc("distance"), "correlation", "genes")) - 1).alias("solution"), "distance", "correlation", "genes")
+
+
+def marker_search(centroids: DataFrame, n_genes: int | None = None, solution: int | None = None, **search_args) -> DataFrame:
+    """(gene): the genes of one set of marker_front(): that of the given number, else the one whose distance less correlation is highest."""
+    front = marker_front(centroids, n_genes, **search_args)
+    chosen = front.where(F.col("solution") == solution) if solution is not None else front.orderBy(F.desc(F.col("distance") - F.col("correlation")), "solution").limit(1)
+    return chosen.select(F.explode("genes").alias("gene"))
 
 
 def create_signature(cells: DataFrame, *, expr: DataFrame | None = None, genes: DataFrame | None = None, correct_variance: bool = True, n_variable: int = 2000, n_markers: int | None = None, markers: DataFrame | None = None, bulk: DataFrame | None = None, drop_outliers: bool = False) -> DataFrame:

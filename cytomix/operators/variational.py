@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cytomix.functions.minimise import minimise
 from cytomix.functions.special import gamma_terms
 from cytomix.functions.support import support_regression
-from cytomix.operators.model import alpha_with_prior, mean_alpha
+from cytomix.operators.model import alpha_with_prior, mean_alpha, sample_alpha
 from cytomix.sources.stored import stored
 
 #: Bounds of omega and beta.
@@ -149,7 +149,7 @@ def supported_genes(found: DataFrame, share: float) -> DataFrame:
 
 def fit_model(
     bulk: DataFrame, signature: DataFrame, *, alpha: float = 1.0, alpha0: float = 1000.0, kappa0: float = 1.0, sy: float = 1.0, reps: int = 10, trust: float = 10.0, update_sigma: bool = False,
-    expected: DataFrame | None = None, members: DataFrame | None = None, iterations: int = 100, tolerance: float = 1e-3, inner: int = 40, seed: int = 0, method: str = "blocks", fixed: tuple[str, ...] = (), share: float = 0.0,
+    expected: DataFrame | None = None, members: DataFrame | None = None, iterations: int = 100, tolerance: float = 1e-3, inner: int = 40, seed: int = 0, method: str = "blocks", fixed: tuple[str, ...] = (), share: float = 0.0, temperature: tuple[float, float] | None = None,
 ) -> dict[str, DataFrame]:
     """beta (sample, celltype, beta), alpha, nu (sample, gene, celltype, nu), omega (gene, celltype, omega) and objective (rep, value) of the best of reps restarts.
 
@@ -157,6 +157,8 @@ def fit_model(
     trust plus unit gamma noise; then each iteration fits every sample, every gene, the prior alpha, and if wanted sigma. Its objective is that under the updated alpha and sigma. It ends when no restart's
     objective moves by tolerance, or after iterations. Between iterations tables are stored, so that lost executors cost one step. Genes that lack a sample or a cell type take no part.
 
+    With temperature (first, last) the prior alpha anneals: it follows each sample's own fractions, and sums to numbers that run from first to last over the iterations.
+
     With share over 0 only the genes take part that carry the regressions of more than this share of the samples.
 
     method blocks raises the objective by samples and by genes in turn, with inner steps in each; joint takes inner steps of all variables together (joint.Ascent), where fixed may name those of nu, omega and
@@ -193,7 +195,7 @@ def fit_model(
     beta = stored(start.select("sample", "fraction").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).mapInPandas(begin, f"rep int, sample {kind['sample']}, beta array<double>"), "model-beta")
     beta = beta.withColumn("alpha", F.transform("beta", lambda b: F.lit(float(alpha))))
     if method == "joint":
-        return _fit_jointly(work, prior, beta, types, kind, balance, alpha0=alpha0, kappa0=kappa0, update_sigma=update_sigma, expected=expected, members=members, iterations=iterations, tolerance=tolerance, inner=inner, fixed=fixed)
+        return _fit_jointly(work, prior, beta, types, kind, balance, alpha0=alpha0, kappa0=kappa0, update_sigma=update_sigma, expected=expected, members=members, iterations=iterations, tolerance=tolerance, inner=inner, fixed=fixed, temperature=temperature)
 
     def genes(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("sample", ignore_index=True)
@@ -221,12 +223,12 @@ def fit_model(
 
     row = f"rep int, gene {kind['gene']}, sample {kind['sample']}, y double, sigma double, nu array<double>, omega array<double>, value double"
     last = None
-    for _ in range(max(1, iterations)):
+    for turn in range(max(1, iterations)):
         ready = work.select("rep", "gene", "sample", "y", "sigma", "nu", "omega").join(beta, ["rep", "sample"])
         fitted = stored(ready.groupBy("rep", "sample").applyInPandas(samples, f"rep int, sample {kind['sample']}, beta array<double>"), "model-beta")
         ready = work.select("rep", "gene", "sample", "y", "sigma", "nu", "omega").join(fitted.select("rep", "sample", "beta"), ["rep", "sample"]).join(prior.select("gene", "mu", "beta0"), "gene")
         work = stored(ready.groupBy("rep", "gene").applyInPandas(genes, row), "model-work")
-        alphas = _alphas(long(fitted), expected, members)
+        alphas = _alphas(long(fitted), expected, members, _heat(temperature, turn, iterations))
         alphas = alphas.groupBy("rep", "sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("celltype", "alpha"))), lambda t: t["alpha"]).alias("alpha"))
         beta = stored(fitted.select("rep", "sample", "beta").join(alphas, ["rep", "sample"]), "model-beta")
         parts = work.groupBy("rep").agg(F.sum("value").alias("v")).unionByName(beta.mapInPandas(gains, "rep int, v double").groupBy("rep").agg(F.sum("v").alias("v")))
@@ -248,7 +250,7 @@ def fit_model(
     }
 
 
-def _fit_jointly(work: DataFrame, prior: DataFrame, beta: DataFrame, types: list, kind: dict[str, str], balance: float, *, alpha0: float, kappa0: float, update_sigma: bool, expected: DataFrame | None, members: DataFrame | None, iterations: int, tolerance: float, inner: int, fixed: tuple[str, ...]) -> dict[str, DataFrame]:
+def _fit_jointly(work: DataFrame, prior: DataFrame, beta: DataFrame, types: list, kind: dict[str, str], balance: float, *, alpha0: float, kappa0: float, update_sigma: bool, expected: DataFrame | None, members: DataFrame | None, iterations: int, tolerance: float, inner: int, fixed: tuple[str, ...], temperature: tuple[float, float] | None) -> dict[str, DataFrame]:
     """fit_model() by joint ascent: rows of whole genes, fractions in the driver."""
     from cytomix.operators import joint
 
@@ -267,17 +269,17 @@ def _fit_jointly(work: DataFrame, prior: DataFrame, beta: DataFrame, types: list
         parts = [pd.DataFrame({"rep": rep, "sample": np.repeat(np.array(samples, object), n_types), "celltype": np.tile(np.array(types, object), len(samples)), name: v.ravel()}) for rep, v in values.items()]
         return spark.createDataFrame(pd.concat(parts), f"rep int, sample {kind['sample']}, celltype {kind['celltype']}, {name} double")
 
-    def updated(now: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-        if expected is None or members is None:
+    def updated(now: dict[int, np.ndarray], heat: float | None) -> dict[int, np.ndarray]:
+        if heat is None and (expected is None or members is None):
             return {rep: np.tile(b.mean(0), (len(b), 1)) for rep, b in now.items()}
-        found = _alphas(long(now, "beta"), expected, members).toPandas().sort_values(["rep", "sample", "celltype"])
+        found = _alphas(long(now, "beta"), expected, members, heat).toPandas().sort_values(["rep", "sample", "celltype"])
         return {int(rep): part["alpha"].to_numpy().reshape(len(samples), n_types) for rep, part in found.groupby("rep")}
 
     ascent.begin(alpha)
     last = ascent.objective()
-    for _ in range(max(1, iterations)):
+    for turn in range(max(1, iterations)):
         ascent.ascend(alpha, inner)
-        alpha = updated({rep: f.part.x.reshape(-1, n_types) for rep, f in ascent.restarts.items()})
+        alpha = updated({rep: f.part.x.reshape(-1, n_types) for rep, f in ascent.restarts.items()}, _heat(temperature, turn, iterations))
         if update_sigma:
             ascent.update_sigma()
         ascent.begin(alpha)
@@ -299,8 +301,15 @@ def _fit_jointly(work: DataFrame, prior: DataFrame, beta: DataFrame, types: list
     }
 
 
-def _alphas(beta: DataFrame, expected: DataFrame | None, members: DataFrame | None) -> DataFrame:
+def _heat(temperature: tuple[float, float] | None, turn: int, iterations: int) -> float | None:
+    """What alpha sums to in one of the iterations."""
+    return None if temperature is None else temperature[0] + (temperature[1] - temperature[0]) * turn / max(1, iterations - 1)
+
+
+def _alphas(beta: DataFrame, expected: DataFrame | None, members: DataFrame | None, heat: float | None = None) -> DataFrame:
     """alpha (rep, sample, celltype, alpha) from beta with a column rep: each restart's own."""
+    if heat is not None:
+        return sample_alpha(beta, expected, members, heat, ["rep"])
     if expected is None or members is None:
         return mean_alpha(beta, ["rep"])
     return alpha_with_prior(beta, expected, members, ["rep"])

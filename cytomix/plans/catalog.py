@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cytomix.functions import special
-from cytomix.operators import bulk, model, signature, states, variational
+from cytomix.operators import bulk, layout, linkage, model, signature, states, variational
 from cytomix.plans.inputs import Inputs
 from cytomix.sources.stored import stored
 
@@ -113,6 +113,17 @@ def _w(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     return m.join(w.select("gene").distinct(), "gene", "left_semi"), w, h
 
 
+def _fraction_points(i: Inputs) -> DataFrame:
+    """Each nation's fractions, over the cell types in their order."""
+    return model.fractions(i.beta()).groupBy("sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("celltype", "fraction"))), lambda t: t["fraction"]).alias("point"))
+
+
+def _type_points(i: Inputs) -> DataFrame:
+    """Each cell type's fractions, over the nations in their order, as one group."""
+    rows = model.fractions(i.beta()).groupBy(F.col("celltype").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "fraction"))), lambda t: t["fraction"]).alias("point"))
+    return rows.withColumn("one", F.lit("fractions"))
+
+
 def _expected(i: Inputs) -> DataFrame:
     """Expected mass of three groups of cell types by nation, made from supplier counts; every third nation has none."""
     s = i.raw("supplier").groupBy(F.col("s_nationkey").alias("sample")).agg(F.count("*").alias("n"))
@@ -384,6 +395,35 @@ QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], str | None]] = {
         free_f, sum(CASE WHEN prior IS NULL THEN m END) AS free_m FROM pinned GROUP BY 1) SELECT p.sample, celltype, round((CASE WHEN prior IS NULL
         THEN f / free_f * rest ELSE f / in_group * prior END) * free_m / rest, 5) AS alpha FROM pinned p JOIN sums s ON p.sample = s.sample""",
     ),
+    "sample_alpha": (
+        lambda i: (
+            model.sample_alpha(i.beta(), *model.checked_prior(_expected(i), i.beta().select("celltype").distinct(), _members(i)), temperature=20.0)
+            .select("sample", "celltype", _r("alpha", 5))
+        ),
+        """, pinned AS (SELECT f.sample, f.celltype, f.fraction AS f, e.prior, sum(f.fraction) OVER (PARTITION BY f.sample, f.celltype % 4) AS in_group FROM frac f LEFT JOIN expected e ON
+        e.sample = f.sample AND e.grp = f.celltype % 4), sums AS (SELECT sample, 1 - sum(CASE WHEN prior IS NULL THEN 0 ELSE f / in_group * prior END) AS rest, sum(CASE WHEN prior IS NULL
+        THEN f END) AS free_f FROM pinned GROUP BY 1) SELECT p.sample, celltype, round(20 * CASE WHEN prior IS NULL THEN f / free_f * rest ELSE f / in_group * prior END, 5) AS alpha FROM
+        pinned p JOIN sums s ON p.sample = s.sample""",
+    ),
+    "fraction_neighbours": (
+        lambda i: (
+            layout.neighbours(stored(_fraction_points(i), "query-fractions").select(F.col("sample").cast("long").alias("at"), "point"), 5)
+            .select(F.col("at").alias("sample"), F.posexplode(F.arrays_zip("near", "dist")).alias("place", "t"))
+            .select("sample", "place", F.col("t.near").alias("near"), _r("dist", 6, F.col("t.dist")))
+        ),
+        """, gaps AS (SELECT a.sample, b.sample AS near, sqrt(sum((a.fraction - b.fraction) * (a.fraction - b.fraction))) AS dist FROM frac a JOIN frac b ON a.celltype = b.celltype AND a.sample <>
+        b.sample GROUP BY 1, 2), ranked AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY round(dist, 9), near) - 1 AS place FROM gaps) SELECT CAST(sample AS BIGINT) AS sample,
+        CAST(place AS INTEGER) AS place, CAST(near AS BIGINT) AS near, round(dist, 6) AS dist FROM ranked WHERE place < 5""",
+    ),
+    "fraction_leaves": (
+        lambda i: linkage.leaf_order(_type_points(i), "one").select(F.col("id").alias("celltype"), "place"),
+        """, gaps AS (SELECT a.celltype AS a, b.celltype AS b, sqrt(sum((a.fraction - b.fraction) * (a.fraction - b.fraction))) AS dist FROM frac a JOIN frac b ON a.sample = b.sample GROUP BY 1, 2),
+        trees AS (SELECT 0 AS step, (SELECT list({'num': celltype, 'leaves': [celltype]} ORDER BY celltype) FROM (SELECT DISTINCT CAST(celltype AS BIGINT) AS celltype FROM frac) AS t) AS cl
+        UNION ALL SELECT step + 1, (SELECT list_append(list_filter(m.cl, lambda c: c.num <> p.x AND c.num <> p.y), {'num': CAST(10 + m.step AS BIGINT), 'leaves': list_concat(p.xs, p.ys)}) FROM
+        (SELECT x.c.num AS x, y.c.num AS y, x.c.leaves AS xs, y.c.leaves AS ys FROM (SELECT unnest(m.cl) AS c) AS x, (SELECT unnest(m.cl) AS c) AS y, gaps g WHERE x.c.num < y.c.num AND
+        list_contains(x.c.leaves, g.a) AND list_contains(y.c.leaves, g.b) GROUP BY ALL ORDER BY round(avg(g.dist), 9), x, y LIMIT 1) AS p) FROM trees m WHERE len(m.cl) > 1)
+        SELECT CAST(unnest(cl[1].leaves) AS INTEGER) AS celltype, CAST(generate_subscripts(cl[1].leaves, 1) - 1 AS INTEGER) AS place FROM trees WHERE len(cl) = 1""",
+    ),
     "cluster_matrix_omega": (
         lambda i: i.matrix("Omega").select("celltype", "sample", "gene", _r("x")),
         "SELECT celltype, sample, gene, round(x, 6) AS x FROM matrix",
@@ -555,6 +595,13 @@ QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], str | None]] = {
         lambda i: states.layout(states.state_points(i.scores())).select("celltype", "sample", F.posexplode("at").alias("axis", "v")),
         None,
     ),
+    "neighbour_layout": (lambda i: layout.neighbour_layout(states.state_points(i.scores())), None),
+    "marker_front": (lambda i: signature.marker_front(i.sig().select("gene", "celltype", "mu")).drop("genes"), None),
+    "regression_support": (lambda i: variational.supported_genes(variational.regressions(i.scaled(), i.sig()), 0.0), None),
+    "deconvolve_joint": (
+        lambda i: model.fractions(variational.fit_model(i.scaled(), i.sig(), reps=1, iterations=1, inner=5, method="joint")["beta"]).select("sample", "celltype", "fraction"),
+        None,
+    ),
     "variance_trend": (lambda i: signature.variance_trend(i.sig()), None),
     "marker_search": (lambda i: signature.marker_search(i.sig().select("gene", "celltype", "mu")), None),
     "create_signature": (lambda i: signature.create_signature(i.cells(), bulk=i.scaled(), drop_outliers=True), None),
@@ -577,4 +624,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: CTE.strip() + ("" if sql.startswith(",") else "\n") + sql for name, (_, sql) in QUERIES.items() if sql}
+    start = lambda sql: CTE.strip().replace("WITH", "WITH RECURSIVE", 1) if "FROM trees" in sql else CTE.strip()
+    return {name: start(sql) + ("" if sql.startswith(",") else "\n") + sql for name, (_, sql) in QUERIES.items() if sql}

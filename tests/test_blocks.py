@@ -138,3 +138,14 @@ def test_stable_restarts_agree_fully(spark):
     found = spark.createDataFrame(rows, "celltype string, states int, run int, sample int, state int, h double")
     assert [(r.states, round(r.c, 9)) for r in states.cophenetic(found).collect()] == [(2, 1.0)]
     assert isinstance(states.consensus_points(found).toPandas(), pd.DataFrame)
+
+
+def test_eigenpairs_equal_those_of_the_matrix(spark, matrix):
+    gram = states.gram(matrix.where("celltype = 't0'")).select("s1", "s2", "k")
+    wide = matrix.where("celltype = 't0'").toPandas().pivot(index="gene", columns="sample", values="x").to_numpy()
+    want, of = np.linalg.eigh(wide.T @ wide)
+    samples, values, vectors = factors.eigenpairs(gram, 3, block=9)
+    assert list(samples) == sorted(samples) and np.allclose(values, want[::-1][:3], rtol=1e-9)
+    assert np.allclose(np.abs((vectors * of[:, ::-1][:, :3]).sum(0)), 1, atol=1e-4)
+    low = matrix.where("celltype = 't0'").selectExpr("celltype", "sample", "gene", "cast(substr(sample, 2) as double) * (gene % 2 + 1) as x")
+    assert len(factors.eigenpairs(states.gram(low).select("s1", "s2", "k"), 5)[1]) == 1

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytomix.functions import special
-from cytomix.operators import bulk, model, signature, states
+from cytomix.operators import bulk, model, signature, states, variational
 from cytomix.sources import tables
 
 
@@ -111,3 +111,37 @@ def test_tables_round_trip(spark, tmp_path):
         tables.fetch_signature(spark, str(tmp_path / "catalog"), "liver")
     tables.save_results({"x": sig}, str(tmp_path / "results"))
     assert tables.load_results(spark, str(tmp_path / "results"), ["x"])["x"].count() == 2
+
+
+def test_sample_alpha_against_plain_loops(spark):
+    rnd = np.random.default_rng(3)
+    beta = rnd.uniform(0.5, 9, (6, 5))
+    of = {0: [0, 1], 1: [2]}
+    prior = {(s, g): (None if rnd.random() < 0.3 else float(rnd.uniform(0.05, 0.4))) for s in range(6) for g in of}
+    frame = spark.createDataFrame([(s, c, float(beta[s, c])) for s in range(6) for c in range(5)], "sample int, celltype int, beta double")
+    expected = spark.createDataFrame([(s, g, p) for (s, g), p in prior.items()], "sample int, group int, prior double")
+    members = spark.createDataFrame([(g, c) for g, cs in of.items() for c in cs], "group int, celltype int")
+    for heat in (None, 1.0, 30.0):
+        want = np.zeros((6, 5))
+        for s in range(6):
+            f, pinned = beta[s] / beta[s].sum(), []
+            for g, cs in of.items():
+                if prior[s, g] is not None:
+                    f[cs] = f[cs] / f[cs].sum() * prior[s, g]
+                    pinned += cs
+            free = [c for c in range(5) if c not in pinned]
+            f[free] = f[free] / f[free].sum() * (1 - sum(prior[s, g] for g in of if prior[s, g] is not None))
+            want[s] = f * (beta[s].sum() if heat is None else heat)
+        got = {(r.sample, r.celltype): r.alpha for r in model.sample_alpha(frame, expected, members, heat).collect()}
+        assert np.allclose([[got[s, c] for c in range(5)] for s in range(6)], want)
+    plain = {(r.sample, r.celltype): r.alpha for r in model.sample_alpha(frame).collect()}
+    assert np.allclose([[plain[s, c] for c in range(5)] for s in range(6)], beta)
+
+
+def test_an_annealed_fit_ends_with_the_last_sum(spark):
+    from test_variational import planted
+
+    bulk, signature, _ = planted(spark, 10, 4, 2)
+    for method in ("blocks", "joint"):
+        alpha = variational.fit_model(bulk, signature, reps=1, iterations=2, inner=3, tolerance=0.0, temperature=(50.0, 8.0), method=method)["alpha"]
+        assert all(abs(r.total - 8.0) < 1e-6 for r in alpha.groupBy("sample").agg(F.sum("alpha").alias("total")).collect())
