@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,23 +183,49 @@ def save(stage: Study | Fractions | Expression | States, path: str) -> None:
     spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.text(f"{path}/about")
 
 
+#: Tables that a saved stage may have.
+SAVED = "bulk signature counts fit_beta fit_alpha fit_nu fit_omega fit_sigma fit_objective fraction gex omega matrix states_scores states_loadings states_cophenetic".split()
+
+
 def load(spark: SparkSession, path: str) -> Study | Fractions | Expression | States:
-    """The stage that save wrote, with all before it. Tables of a layout that is not known are an error."""
-    about = json.loads(spark.read.text(f"{path}/about").head()[0])
-    if about["layout"] != LAYOUT:
-        raise ValueError(f"saved with layout {about['layout']}, not {LAYOUT}")
-    found = tables.load_results(spark, path, about["tables"])
+    """The stage that save wrote, with all before it.
+
+    What another layout wrote is read as far as it goes: tables that are known by name, whatever else is there; counts and fractions are made again where they are lacking, a signature's std is its var, and a
+    cluster matrix weighs by omega. The stage is the last one whose own results are there. Without bulk and signature it is an error.
+    """
+    about = _about(spark, path)
+    names = about["tables"] if about and about.get("layout") == LAYOUT else SAVED
+    found = {}
+    for name in names:
+        try:
+            found[name] = spark.read.parquet(f"{path}/{name}")
+        except AnalysisException:
+            if names is not SAVED:
+                raise
+    if not {"bulk", "signature"} <= found.keys():
+        raise ValueError(f"{path} holds no study: bulk or signature is missing")
     part = lambda prefix: {k.removeprefix(prefix): v for k, v in found.items() if k.startswith(prefix)}
-    stage: Study | Fractions | Expression | States = Study(found["bulk"], found["signature"], found["counts"])
-    if "fraction" in found:
-        stage = Fractions(stage, part("fit_"), found["fraction"])
-    if "gex" in found:
-        stage = Expression(stage, found["gex"], found["omega"])
-    if "matrix" in found:
-        stage = States(stage, found["matrix"], part("states_"))
+    table = found["signature"]
+    table = table if "std" in table.columns else table.withColumn("std", F.col("var"))
+    stage: Study | Fractions | Expression | States = Study(found["bulk"], table, found["counts"] if "counts" in found else bulks.match_counts(found["bulk"], table))
+    if "fit_beta" in found:
+        stage = Fractions(stage, part("fit_"), found["fraction"] if "fraction" in found else model.fractions(found["fit_beta"]).select("sample", "celltype", "fraction"))
+        if {"gex", "omega"} <= found.keys():
+            stage = Expression(stage, found["gex"], found["omega"])
+            if {"states_scores", "states_loadings"} <= found.keys():
+                matrix = found["matrix"] if "matrix" in found else states.cluster_matrix(found["gex"], found["omega"], stage.fractions.fraction)
+                stage = States(stage, matrix, part("states_"))
     return stage
 
 
+def _about(spark: SparkSession, path: str) -> dict | None:
+    """What save wrote about the tables; None if it is not there or not to be read."""
+    try:
+        return json.loads(spark.read.text(f"{path}/about").head()[0])
+    except (AnalysisException, TypeError, ValueError):
+        return None
+
+
 def _first(stage) -> Study:
     while not isinstance(stage, Study):
         stage = stage.expression if isinstance(stage, States) else stage.fractions if isinstance(stage, Expression) else stage.study

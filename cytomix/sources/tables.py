@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +32,41 @@ def read_triplets(spark: SparkSession, cells: str, expr: str) -> tuple[DataFrame
     return kept, spark.read.parquet(expr).join(kept.select("cell_id"), "cell_id", "left_semi")
 
 
+#: Values of a sparse matrix that a task hands on at once.
+VALUES = 500_000
+
+
+def read_sparse_rows(spark: SparkSession, path: str, cells: DataFrame, genes: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Single-cell data from files of compressed sparse rows: cells (cell_id, celltype) without those that lack a type, and expression (cell_id, gene, x) of the rest.
+
+    path names .npz files with the arrays indptr, indices, data, shape and format (csr), as sparse matrices are commonly saved: a file holds the rows of some cells, so a cell matrix is as many files as it has chunks,
+    and each is read by the task that gets it. cells (file, row, cell_id, celltype) tells which cell a row of a file is, file being its name without folders; genes (at, gene) names the columns; only (gene) restricts them, inside
+    the tasks. Zeros that are stored are dropped, and values stored twice for one entry are added up. A file that is no such matrix is an error.
+    """
+    wanted = genes if only is None else genes.join(only.select("gene").distinct(), "gene", "left_semi")
+    kept = None if only is None else np.sort(wanted.select("at").toPandas()["at"].to_numpy())  # numbers of columns
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                    kind = held["format"].item() if "format" in held else None
+                    if (kind.decode() if isinstance(kind, bytes) else kind) != "csr":
+                        raise ValueError(f"{name} holds no compressed sparse rows")
+                    starts, at, x = held["indptr"].astype(np.int64), held["indices"], held["data"]
+                for begin in range(0, len(x), VALUES):
+                    own = np.arange(begin, min(begin + VALUES, len(x)))
+                    row = np.searchsorted(starts, own, side="right") - 1
+                    use = x[own] != 0 if kept is None else (x[own] != 0) & np.isin(at[own], kept)
+                    yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "row": row[use], "at": at[own][use].astype(np.int64), "x": x[own][use].astype(float)})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+    values = files.mapInPandas(read, "file string, row long, at long, x double")
+    typed = cells.where(F.col("celltype").isNotNull())
+    expr = values.join(typed.select("file", "row", "cell_id"), ["file", "row"]).join(wanted.select("at", "gene"), "at")
+    return typed.select("cell_id", "celltype"), expr.groupBy("cell_id", "gene").agg(F.sum("x").alias("x"))
+
+
 def signature_from_wide(wide: DataFrame, gene: str = "Gene", marker: str = "IsMarker", mean: str = "scExp_", var: str = "scVar_") -> DataFrame:
     """(gene, celltype, mu, var, is_marker) from columns named by prefix and cell type."""
     types = [c.removeprefix(mean) for c in wide.columns if c.startswith(mean)]
