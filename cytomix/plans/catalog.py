@@ -150,9 +150,9 @@ QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], str | None]] = {
     "bulk_format_flags": (
         lambda i: bulk.format_flags(i.bulk()),
         """SELECT max(g.n_genes) AS n_genes, count(*) AS n_samples, bool_and(s > 9999 AND s < 10001) AS all_cp10k, bool_or(s / g.n_genes > 10) AS
-        any_mean_over_10, bool_or(lo < 0) AS any_negative, false AS any_duplicate, CASE WHEN bool_and(s > 9999 AND s < 10001) THEN 'accept' WHEN
+        any_mean_over_10, bool_or(lo < 0) AS any_negative, bool_or(n > d) AS any_duplicate, CASE WHEN bool_or(n > d) THEN 'reject' WHEN bool_and(s > 9999 AND s < 10001) THEN 'accept' WHEN
         bool_or(s / g.n_genes > 10) THEN 'rescale' WHEN bool_or(lo < 0) THEN 'reject' ELSE 'keep' END AS action FROM (SELECT sample, sum(expr) AS s,
-        min(expr) AS lo FROM bulk GROUP BY 1) AS t, (SELECT count(DISTINCT gene) AS n_genes FROM bulk) AS g""",
+        min(expr) AS lo, count(*) AS n, count(DISTINCT gene) AS d FROM bulk GROUP BY 1) AS t, (SELECT count(DISTINCT gene) AS n_genes FROM bulk) AS g""",
     ),
     "bulk_checked": (
         lambda i: bulk.checked(i.bulk()).select("gene", "sample", _r("expr", 5)),
