@@ -236,6 +236,41 @@ def factorise(gram_rows: DataFrame, runs: DataFrame, block: int = factors.BLOCK)
     return out
 
 
+def eigenpairs(gram_rows: DataFrame, count: int, *, least: float = 1e-8, block: int = factors.BLOCK) -> DataFrame:
+    """(celltype, place, value, sample, entry): the count largest eigenvalues of each cell type's Gram matrix (celltype, s1, s2, k), place 0 being the largest, with the entries of their vectors, of which the largest is positive. Values under
+    least times the largest are dropped.
+
+    As in factorise, a cell type of one block is solved in a task, and a larger one by products of its blocks.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in gram_rows.schema.fields}
+    shape = f"celltype {kind['celltype']}, place int, value double, sample {kind['s1']}, entry double"
+    counts = gram_rows.where("s1 = s2").groupBy("celltype").agg(F.count(F.lit(1)).alias("n"))
+    wide = [r["celltype"] for r in counts.where(F.col("n") > block).collect()]  # cell types are few
+
+    def framed(celltype, samples: np.ndarray, values: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
+        n = len(samples)
+        return pd.DataFrame({"celltype": celltype, "place": np.repeat(np.arange(len(values)), n), "value": np.repeat(values, n), "sample": np.tile(samples, len(values)), "entry": vectors.T.ravel()})
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        samples = np.unique(np.concatenate((rows["s1"], rows["s2"])))
+        k = np.zeros((len(samples), len(samples)))
+        i, j = np.searchsorted(samples, rows["s1"]), np.searchsorted(samples, rows["s2"])
+        k[i, j] = k[j, i] = rows["k"]
+        values, vectors = np.linalg.eigh(k)
+        values, vectors = values[::-1][:count], vectors[:, ::-1][:, :count]
+        kept = values > max(least * max(values.max(initial=0.0), 0.0), 1e-300)
+        values, vectors = values[kept], vectors[:, kept]
+        sign = np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(values))]) if len(values) else 1.0
+        return framed(rows["celltype"].iloc[0], samples, values, vectors * sign)
+
+    few = gram_rows.where(~F.col("celltype").isin(wide)) if wide else gram_rows
+    out = few.groupBy("celltype").applyInPandas(solve, shape)
+    for celltype in wide:
+        found = factors.eigenpairs(gram_rows.where(F.col("celltype") == F.lit(celltype)).select("s1", "s2", "k"), count, least=least, block=block)
+        out = out.unionByName(gram_rows.sparkSession.createDataFrame(framed(celltype, *found), shape))
+    return out
+
+
 def best_run(factors: DataFrame) -> DataFrame:
     """The factors of the restart with the least error, the first on ties, for each cell type and number of states."""
     best = factors.groupBy("celltype", "states").agg(F.min(F.struct("err", "run")).alias("b")).select("celltype", "states", F.col("b.run").alias("run"))

@@ -445,6 +445,18 @@ QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], str | None]] = {
         """SELECT a.celltype, a.sample AS s1, b.sample AS s2, round(sum(a.x * b.x), 6) AS k FROM matrix a JOIN matrix b ON a.celltype = b.celltype AND
         a.gene = b.gene AND a.sample <= b.sample GROUP BY 1, 2, 3""",
     ),
+    "gram_eigenvalues": (
+        lambda i: (
+            states.eigenpairs(states.gram(i.matrix()), 25, least=0.0)
+            .select("celltype", "place", "value")
+            .distinct()
+            .groupBy("celltype")
+            .agg(F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("square"))
+            .select("celltype", _r("total", 5), _r("square", 5))
+        ),
+        """, gram AS (SELECT a.celltype, a.sample AS s1, b.sample AS s2, sum(a.x * b.x) AS k FROM matrix a JOIN matrix b ON a.celltype = b.celltype AND a.gene = b.gene GROUP BY 1, 2, 3)
+        SELECT celltype, round(sum(CASE WHEN s1 = s2 THEN k END), 5) AS total, round(sum(k * k), 5) AS square FROM gram GROUP BY 1""",
+    ),
     "connectivity": (
         lambda i: states.connectivity(i.assigned()),
         """SELECT a.run, a.sample AS s1, b.sample AS s2 FROM assigned a JOIN assigned b ON a.run = b.run AND a.cluster = b.cluster AND a.sample <=

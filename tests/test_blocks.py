@@ -149,3 +149,11 @@ def test_eigenpairs_equal_those_of_the_matrix(spark, matrix):
     assert np.allclose(np.abs((vectors * of[:, ::-1][:, :3]).sum(0)), 1, atol=1e-4)
     low = matrix.where("celltype = 't0'").selectExpr("celltype", "sample", "gene", "cast(substr(sample, 2) as double) * (gene % 2 + 1) as x")
     assert len(factors.eigenpairs(states.gram(low).select("s1", "s2", "k"), 5)[1]) == 1
+
+
+def test_eigenpairs_of_all_types_by_task_and_by_blocks(spark, matrix):
+    gram = states.gram(matrix)
+    keys = ["celltype", "place", "sample"]
+    whole, cut = (states.eigenpairs(gram, 4, **a).toPandas().sort_values(keys, ignore_index=True) for a in ({}, {"block": 10}))
+    assert whole[keys].equals(cut[keys]) and set(whole.celltype) == {"t0", "t1"} and whole.groupby("celltype").place.max().tolist() == [3, 3]
+    assert np.allclose(whole["value"], cut["value"], rtol=1e-9) and np.allclose(whole["entry"], cut["entry"], atol=1e-3)
