@@ -20,6 +20,8 @@ from cytomix.sources.stored import stored
 
 #: Bounds of omega and beta.
 LEAST, MOST = 1e-7, 100.0
+#: Numbers (samples by cell types by restarts) of the fractions that are broadcast to genes that stay in place; beyond, genes are gathered from rows by sample.
+PACKED_MOST = 2_000_000
 #: Shares of errors and support vectors that the regressions for the start are tried with.
 NUS = (0.25, 0.5, 0.75)
 
@@ -197,14 +199,18 @@ def fit_model(
     if method == "joint":
         return _fit_jointly(work, prior, beta, types, kind, balance, alpha0=alpha0, kappa0=kappa0, update_sigma=update_sigma, expected=expected, members=members, iterations=iterations, tolerance=tolerance, inner=inner, fixed=fixed, temperature=temperature)
 
-    def genes(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sample", ignore_index=True)
-        y, sigma = group["y"].to_numpy(), group["sigma"].to_numpy()
-        nu, now = np.stack(group["nu"].to_list()), np.stack(group["beta"].to_list())
-        nu, omega, value = fit_gene(y, sigma, nu, np.array(group["omega"].iloc[0]), now, np.array(group["mu"].iloc[0]), np.array(group["beta0"].iloc[0]), alpha0, kappa0, 1.0, inner)
+    def raised(y: np.ndarray, sigma: np.ndarray, nu: np.ndarray, omega: np.ndarray, mu: np.ndarray, beta0: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """One gene's sigma, nu and omega after its steps, and its part of the objective."""
+        nu, omega, value = fit_gene(y, sigma, nu, omega, now, mu, beta0, alpha0, kappa0, 1.0, inner)
         if update_sigma:
             sigma = np.full(len(y), np.sqrt(np.maximum(moment_terms(y, sigma, nu, np.broadcast_to(omega, nu.shape), now)[4], 1e-12)).mean())
-            value = float(moment_terms(y, sigma, nu, np.broadcast_to(omega, nu.shape), now)[0].sum()) + expression_terms(nu, omega, np.array(group["mu"].iloc[0]), np.array(group["beta0"].iloc[0]), alpha0, kappa0)[0]
+            value = float(moment_terms(y, sigma, nu, np.broadcast_to(omega, nu.shape), now)[0].sum()) + expression_terms(nu, omega, mu, beta0, alpha0, kappa0)[0]
+        return sigma, nu, omega, value
+
+    def genes(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("sample", ignore_index=True)
+        y = group["y"].to_numpy()
+        sigma, nu, omega, value = raised(y, group["sigma"].to_numpy(), *(np.stack(group["nu"].to_list()), *(np.array(group[c].iloc[0]) for c in ("omega", "mu", "beta0"))), np.stack(group["beta"].to_list()))
         return pd.DataFrame({"rep": group["rep"], "gene": group["gene"], "sample": group["sample"], "y": y, "sigma": sigma, "nu": list(nu), "omega": [omega] * len(y), "value": value / len(y)})
 
     def samples(group: pd.DataFrame) -> pd.DataFrame:
@@ -222,12 +228,42 @@ def fit_model(
         return b.select("rep", "sample", entries.alias("t")).select("rep", "sample", "t.celltype", "t.beta")
 
     row = f"rep int, gene {kind['gene']}, sample {kind['sample']}, y double, sigma double, nu array<double>, omega array<double>, value double"
+    whole_row = f"rep int, gene {kind['gene']}, sample array<{kind['sample']}>, y array<double>, sigma array<double>, nu array<array<double>>, omega array<double>, mu array<double>, beta0 array<double>, value double"
+    packed = n_samples * n_types * reps <= PACKED_MOST
+    if packed:
+        v = work.groupBy("rep", "gene").agg(F.sort_array(F.collect_list(F.struct("sample", "y", "sigma", "nu"))).alias("v"), F.first("omega").alias("omega")).join(prior.select("gene", "mu", "beta0"), "gene")
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+        v = v.select("rep", "gene", *[F.col(f"v.{c}").alias(c) for c in ("sample", "y", "sigma", "nu")], "omega", "mu", "beta0")
+        work = stored(v.repartition(parts, "rep", "gene"), "model-work")
+
+    def by_sample(work: DataFrame) -> DataFrame:
+        """(rep, gene, sample, y, sigma, nu, omega)."""
+        if packed:
+            work = work.select("rep", "gene", "omega", F.explode(F.arrays_zip("sample", "y", "sigma", "nu")).alias("t")).select("rep", "gene", "omega", "t.*")
+        return work.select("rep", "gene", "sample", "y", "sigma", "nu", "omega")
+
+    def in_place(work: DataFrame, fitted: DataFrame) -> DataFrame:
+        """Packed rows after their steps: a gene stays where it is, and the fractions come to it."""
+        known = fitted.toPandas().sort_values(["rep", "sample"])
+        shared = spark.sparkContext.broadcast({int(rep): np.stack(rows["beta"].to_list()) for rep, rows in known.groupby("rep")})
+
+        def run(batches):
+            for batch in batches:
+                out = batch.drop(columns=["sigma", "nu", "omega"])
+                found = [raised(*(np.array(v) for v in (r.y, r.sigma)), np.stack(r.nu), *(np.array(v) for v in (r.omega, r.mu, r.beta0)), shared.value[r.rep]) for r in batch.itertuples()]
+                yield out.assign(sigma=[f[0] for f in found], nu=[list(f[1]) for f in found], omega=[f[2] for f in found], value=[f[3] for f in found])
+
+        return work.select("rep", "gene", "sample", "y", "sigma", "nu", "omega", "mu", "beta0").mapInPandas(run, whole_row)
+
     last = None
     for turn in range(max(1, iterations)):
-        ready = work.select("rep", "gene", "sample", "y", "sigma", "nu", "omega").join(beta, ["rep", "sample"])
+        ready = by_sample(work).join(beta, ["rep", "sample"])
         fitted = stored(ready.groupBy("rep", "sample").applyInPandas(samples, f"rep int, sample {kind['sample']}, beta array<double>"), "model-beta")
-        ready = work.select("rep", "gene", "sample", "y", "sigma", "nu", "omega").join(fitted.select("rep", "sample", "beta"), ["rep", "sample"]).join(prior.select("gene", "mu", "beta0"), "gene")
-        work = stored(ready.groupBy("rep", "gene").applyInPandas(genes, row), "model-work")
+        if packed:
+            moved = in_place(work, fitted)
+        else:
+            moved = by_sample(work).join(fitted.select("rep", "sample", "beta"), ["rep", "sample"]).join(prior.select("gene", "mu", "beta0"), "gene").groupBy("rep", "gene").applyInPandas(genes, row)
+        work = stored(moved, "model-work")
         alphas = _alphas(long(fitted), expected, members, _heat(temperature, turn, iterations))
         alphas = alphas.groupBy("rep", "sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("celltype", "alpha"))), lambda t: t["alpha"]).alias("alpha"))
         beta = stored(fitted.select("rep", "sample", "beta").join(alphas, ["rep", "sample"]), "model-beta")
@@ -238,7 +274,7 @@ def fit_model(
             break
         last = values
     best = max((r for r in values if np.isfinite(values[r])), key=lambda r: (values[r], -r))
-    chosen, kept = beta.where(F.col("rep") == best), work.where(F.col("rep") == best)
+    chosen, kept = beta.where(F.col("rep") == best), by_sample(work.where(F.col("rep") == best))
     zipped = lambda name, column: F.explode(F.arrays_zip(F.array(*[F.lit(t).cast(kind["celltype"]) for t in types]).alias("celltype"), F.col(column).alias(name))).alias("t")
     return {
         "beta": chosen.select("sample", zipped("beta", "beta")).select("sample", "t.*"),

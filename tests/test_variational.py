@@ -154,3 +154,17 @@ def test_refinement_copes_with_holes(spark):
     assert got == {(g, c, s) for g in range(6) for c in range(2) for s in range(5) if (g, c) != (1, 0) and (g, s) != (2, 3)}
     assert all(np.isfinite(r.nu) and r.omega > 0 for r in rows)
     assert V.refine_genes(bulk, signature, beta, genes=spark.createDataFrame([(4,)], "gene int")).select("gene").distinct().collect()[0].gene == 4
+
+
+def test_genes_in_place_and_gathered_genes_fit_alike(spark, monkeypatch):
+    bulk, signature, _ = planted(spark, 10, 5, 2)
+    fits = []
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(V, "PACKED_MOST", most)
+        fit = V.fit_model(bulk, signature, reps=2, iterations=2, inner=6, update_sigma=True)
+        keys = {"beta": ["sample", "celltype"], "alpha": ["sample", "celltype"], "nu": ["sample", "gene", "celltype"], "omega": ["gene", "celltype"], "sigma": ["gene", "sample"], "objective": ["rep"]}
+        fits.append({name: frame.toPandas().sort_values(keys[name], ignore_index=True) for name, frame in fit.items()})
+    for name, frame in fits[0].items():
+        assert list(frame.columns) == list(fits[1][name].columns)
+        for c in frame.columns:
+            assert np.allclose(frame[c].to_numpy(float), fits[1][name][c].to_numpy(float), rtol=1e-6, atol=1e-8), (name, c)
