@@ -17,6 +17,8 @@ SIMILAR = 0.6
 PASSAGE, NEAR = 50, 0.9
 #: Least share of a line's tokens that are words, not variable fields; a line of fewer recurs only as it stands.
 WORDS = 0.5
+#: Words of a shingle, and shingles of a document's sketch, by which documents are told to be copies as wholes.
+WIDTH, SKETCH = 5, 128
 
 #: Fields that vary by their form: words with a digit or an at sign, and links. Possessive, so that long words take linear time.
 VARIABLE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+|(?<!\S)[A-Za-z]{1,10}+://\S*+"
@@ -126,14 +128,34 @@ def recurring(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
     return materialize(often.unionByName(twice), "lines-known")
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", copies: DataFrame | None = None) -> DataFrame:
+def sketched(texts: DataFrame) -> DataFrame:
+    """(key, s): the SKETCH smallest hashes of the distinct WIDTH-word shingles of each text, in order; one row for each key. A text of fewer words is one shingle."""
+    words = texts.select("key", F.explode(F.array(F.array_remove(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), ""))).alias("w"))
+    last = F.greatest(F.size("w") - WIDTH, F.lit(0))
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftright(F.xxhash64(*[F.get("w", i + k) for k in range(WIDTH)]), 32).cast("int"))
+    return words.select("key", F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH).alias("s")).groupBy("key").agg(F.first("s").alias("s"))
+
+
+def whole_copies(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """The pairs (key, first) of documents whose sets of shingles have at least this share of their union in common, as estimated on the smallest hashes of the union."""
+    pairs = materialize(pairs.distinct(), "lines-pairs")
+    keys = materialize(pairs.select("key").unionByName(pairs.select(F.col("first").alias("key"))).distinct(), "lines-keys")
+    sketches = materialize(sketched(join_stored(texts, keys, ["key"], "left_semi")), "lines-sketches")
+    both = pairs.join(sketches, "key").join(sketches.select(F.col("key").alias("first"), F.col("s").alias("of")), "first")
+    union = F.slice(F.sort_array(F.array_union("s", "of")), 1, SKETCH)
+    both = both.select("key", "first", "s", "of", F.explode(F.array(union)).alias("u"))
+    common = F.size(F.array_intersect(F.array_intersect("s", "of"), "u"))
+    return materialize(both.where(common >= share * F.size("u")).select("key", "first"), "lines-whole")
+
+
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", copies: DataFrame | None = None, copy_share: float | None = None) -> DataFrame:
     """docs without the lines whose template recurs, with columns n_lines and n_dropped (long) added.
 
     A recurring template stays in one document, the one with the smallest id, so that no wording is lost altogether. Lines that differ
     only in variable fields share a template, if at least
     WORDS of their tokens are words; else they must be equal. A passage, a line of over PASSAGE words, recurs from its second document on; copies (id, group) may name
     documents that are copies as wholes, and a passage in fewer than min_docs documents then stays in those of the same group as the one that keeps it, so that they can
-    still be found to be copies. Blank lines stay. A null text stays null with no lines; a text whose lines all go becomes
+    still be found to be copies; with copy_share it also stays in documents that have at least that share of shingles in common with the one that keeps it. Blank lines stay. A null text stays null with no lines; a text whose lines all go becomes
     empty, and its row stays. Rows with one id and text are one document and get the same answer. All other columns of docs stay;
     own columns named n_lines or n_dropped are replaced.
     """
@@ -151,6 +173,11 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc
         for c, group in zip(("key", "first"), of, strict=True):
             marks = join_stored(marks, group, [f"{c}_id"], "left")
         marks = marks.where(F.col("often") | (F.coalesce("key_group", "key_id") != F.coalesce("first_group", "first_id")))
+    if copy_share is not None:
+        marks = materialize(marks.select("key", "at", "first", "often"), "lines-marks")
+        few = marks.where("not often")
+        few = join_stored(few, whole_copies(few.select("key", "first"), texts, copy_share), ["key", "first"], "left_anti")
+        marks = marks.where("often").unionByName(few)
     gone = marks.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("gone"))
     # a byte for each line up to the last one dropped, so that every line is looked up at once
     before = lambda i: F.when(i > 0, F.get("gone", i - 1)).otherwise(-1)

@@ -1,11 +1,29 @@
 import re
 
 import numpy as np
-from cytomix.llm.lines import DEPTH, NEAR, PASSAGE, SIMILAR, WORDS, close, drop_recurring
+import xxhash
+from cytomix.llm.lines import DEPTH, NEAR, PASSAGE, SIMILAR, SKETCH, WIDTH, WORDS, close, drop_recurring
 
 
-def brute(rows, least, groups=None):
-    """The same rules over plain dictionaries: templates, attachment to those that recur, leaders among the rest, passages, and copies that groups (id to group) names. Ties go to the lesser wording."""
+def likeness(a, b):
+    """What two texts have in common, on the SKETCH smallest hashes of their shingles."""
+
+    def hashes(text):
+        words, out = text.lower().split(), set()
+        for i in range(max(len(words) - WIDTH, 0) + 1):
+            h = 42
+            for w in words[i : i + WIDTH]:
+                h = xxhash.xxh64_intdigest(w.encode(), h)
+            out.add((h + 2**63) % 2**64 - 2**63 >> 32)
+        return out
+
+    a, b = hashes(a), hashes(b)
+    union = set(sorted(a | b)[:SKETCH])
+    return len(a & b & union) / len(union)
+
+
+def brute(rows, least, groups=None, copy_share=2.0):
+    """The same rules over plain dictionaries: templates, attachment to those that recur, leaders among the rest, passages, and copies that groups (id to group) names or that are alike. Ties go to the lesser wording."""
 
     def masked(line):
         return [("<*>" if re.search(r"[0-9@]", w) or re.match(r"[A-Za-z]{1,10}://", w) else w) for w in line.split()]
@@ -73,9 +91,9 @@ def brute(rows, least, groups=None):
         for ts in heads.values():
             if sum(len(own[t]) for t in ts) >= 2:
                 first |= {(leaf, t): (min(d[0] for t in ts for d in own[t]), False) for t in ts}
-    out, of = {}, lambda i: (groups or {}).get(i, i)
+    out, of, texts = {}, lambda i: (groups or {}).get(i, i), dict(rows)
     for (i, t), ls in docs.items():
-        gone = lambda m: m and (at := first.get(m[:2])) and at[0] != i and (at[1] or of(i) != of(at[0]))  # noqa: B023, E731
+        gone = lambda m: m and (at := first.get(m[:2])) and at[0] != i and (at[1] or (of(i) != of(at[0]) and (copy_share > 1 or likeness(t, texts[at[0]]) < copy_share)))  # noqa: B023, E731
         keep = [x for x, m in zip(t.split("\n"), ls, strict=True) if not gone(m)]
         out[i] = ("\n".join(keep), len(ls), len(ls) - len(keep))
     return out
@@ -110,6 +128,22 @@ def test_passages_recur_from_two_documents(spark):
     assert got == dict(rows) | {3: "three"}
 
 
+def test_passages_stay_in_whole_copies(spark):
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i * 7919))
+    line = lambda k, n=60: " ".join(word(100 * k + j) for j in range(n))
+    changed = lambda k, at: " ".join(word(9000 + j) if j == at else w for j, w in enumerate(line(k).split()))
+    rows = [(i, "\n".join(line(10 * i + k) for k in range(4))) for i in range(3)]
+    rows += [(10, "\n".join([changed(0, 30), *(line(k) for k in (1, 2, 3))])), (11, "\n".join([line(0), line(50), line(51), line(52)])), (12, rows[1][1]), (12, rows[1][1])]
+    rows += [(13, "\n".join(line(k, 400) for k in (60, 61))), (14, "\n".join(line(k, 400) for k in (60, 61)) + "\nand more"), (15, None), (16, ""), (17, "\x00\ta\u00c9\u0130 \x0bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in drop_recurring(docs, 5, copy_share=0.5).collect()}
+    want = brute(rows, 5, copy_share=0.5)
+    assert got.pop(15) == (None, 0, 0) and got == want
+    assert [got[i][2] for i in (0, 10, 11, 12, 13, 14)] == [0, 0, 1, 0, 0, 0]
+    assert got[11][0] == rows[4][1].split("\n", 1)[1]
+    assert {r.doc_id: r.n_dropped for r in drop_recurring(docs, 5).collect()}[12] == 4
+
+
 def test_lines_are_attached_to_the_nearest_template(spark):
     # ids 7 and 8 change a word that others fix; in the second leaf, each value is common but no combination is
     rows = [(i, f"own{chr(97 + i)}\nread the terms of use on our site before you post") for i in range(6)]

@@ -23,8 +23,7 @@ def test_stages_against_brute_force(spark):
 
     kept = {i for i, _ in rows[1]}
     assert len((labelled - toxic) & kept) >= 0.95 * len(labelled - toxic) and len(toxic & kept) <= 0.4 * len(toxic)
-    copies = {i: w[1] for i, w in brute_minhash(rows[1], 5, 80).items()}
-    want = brute_lines(rows[1], lines.MIN_DOCS, copies)
+    want = brute_lines(rows[1], lines.MIN_DOCS, copy_share=C.COPY_SHARE)
     assert {i: t for i, t in rows[2]} == {i: w[0] for i, w in want.items()} and len(rows[2]) == len(rows[1])
     near = brute_minhash(rows[2], 5, 80)
     assert {i for i, _ in rows[3]} == {i for i, w in near.items() if w[2]} and len(rows[3]) == len({i for i, _ in rows[3]})
