@@ -16,6 +16,10 @@ from cytomix.llm import lines, minhash, mixing, pieces, toxicity
 from cytomix.llm.common import join_stored, materialize, table
 
 
+#: Shingles that two documents have in common at least if both are near copies of a third (0.6), less what a sketch may err.
+COPY_SHARE = 0.5
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5. The model is fitted on labelled documents of this stage's input."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -23,10 +27,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the lines whose template recurs; n_chars follows the text. Near copies keep what only they share: the next stage finds them by it."""
-    copies = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("id"), F.col("component_id").alias("group"))
-    copies = materialize(copies.distinct(), "pipeline-groups")
-    return lines.drop_recurring(docs, copies=copies).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, less the lines whose template recurs; n_chars follows the text. Passages that only copies share stay in them: the next stage finds the copies by these."""
+    return lines.drop_recurring(docs, copy_share=COPY_SHARE).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
