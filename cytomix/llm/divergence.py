@@ -7,12 +7,15 @@ its slot, and increments the dense slots of its group. What is left are sums by
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,8 +30,10 @@ PLUS, UNIT = 2, 1_000_000_000
 SHARD, BUCKET = 256, 3
 #: Bytes of stored keys up to which the hashes are broadcast; beyond, counts travel to the shards instead.
 INDEX_BYTES = 64_000_000
-#: Terms, or slots, that a task holds before it hands its counts on.
-HELD_TERMS, HELD_SLOTS = 150_000, 6_000_000
+#: Terms, of TERM_BYTES with what stands between them, that a task counts at once, and slots that it holds before it hands its counts on.
+HELD_TERMS, TERM_BYTES, HELD_SLOTS = 500_000, 8, 12_000_000
+#: Parts in which a task hands on a group's slots: so many whatever the number of terms, or its rows would grow with tasks times terms.
+SECTIONS = 64
 
 #: Bytes of terms as they are, A to Z lower-cased; all other bytes become spaces.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -40,25 +45,59 @@ def terms(text: bytes | None) -> Iterator[list[bytes]]:
         yield part.split()
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """(lang, term, docs): the rows of docs (lang, source, text as bytes) that hold a term, exactly. Tasks hand on partial counts before they grow large."""
+def _tally(keys: list[tuple[str, ...]], texts: list[bytes], once: bool) -> tuple[list[tuple[str, ...]], pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """As tallies, of folded texts. All terms are one Arrow array: the texts without what stands between terms, and the terms' lengths."""
+    names = list(dict.fromkeys(keys))
+    code = {name: i for i, name in enumerate(names)}
+    data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    inside = data != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    term, size = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+    last = np.cumsum([len(t) + 1 for t in texts])
+    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, last), prepend=0))
+    if once:
+        row, term = np.divmod(np.unique(row * size + term, return_counts=True)[0], size)  # with counts it sorts, which is faster here than its hashing
+    pairs, n = np.unique(np.array([code[k] for k in keys])[row] * size + term, return_counts=True)
+    return names, coded.dictionary, pairs // size, pairs % size, n
+
+
+def tallies(batches: Iterator[pa.RecordBatch], by: list[str], once: bool = False) -> Iterator[tuple[list[tuple[str, ...]], pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, words, key, word, n) for so many rows at a time as hold about HELD_TERMS terms: words[word[i]] stands n[i] times in rows with the values keys[key[i]] of the columns by or, with once, in n[i] of those rows.
+
+    A pair of key and word comes once, pairs of a key stand together. A long text is counted by runs; with once, it is cut down to its distinct terms first, so that no two of its runs share any.
+    """
+    keys, texts, held, most = [], [], 0, HELD_TERMS * TERM_BYTES
+    for batch in batches:
+        for *key, text in zip(*(batch.column(c).to_pylist() for c in by), batch.column("text"), strict=True):
+            text = text.as_py()
+            if once and len(text) > most:
+                text = b" ".join(set().union(*terms(text)))
+            for part in runs(text.translate(_FOLD), most):
+                keys.append(tuple(key))
+                texts.append(part)
+                held += len(part) + 1
+                if held > most:
+                    yield _tally(keys, texts, once)
+                    keys, texts, held = [], [], 0
+    if keys:
+        yield _tally(keys, texts, once)
+
+
+def _named(keys: list[tuple[str, ...]], key: np.ndarray) -> list[pa.Array]:
+    return [pa.array(names, pa.string()).take(pa.array(key)) for names in zip(*keys, strict=True)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Counter] = defaultdict(Counter)
 
-        def out() -> Iterator[pd.DataFrame]:
-            for lang, seen in ((k, v) for k, v in held.items() if v):
-                yield pd.DataFrame({"lang": lang, "term": [t.decode() for t in seen], "docs": list(seen.values())})
-            held.clear()
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(lang, term, docs): the rows of docs (lang, source, text as bytes) that hold a term, exactly. Tasks hand on partial counts of bounded runs of rows."""
 
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                held[lang].update(set().union(*terms(text)))
-                if sum(map(len, held.values())) > HELD_TERMS:
-                    yield from out()
-        yield from out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, words, key, word, n in tallies(batches, ["lang"], once=True):
+            yield pa.RecordBatch.from_arrays([*_named(keys, key), words.take(pa.array(word)), pa.array(n)], ["lang", "term", "docs"])
 
-    parts = docs.select("lang", "text").mapInPandas(run, "lang string, term string, docs long")
+    parts = docs.select("lang", "text").mapInArrow(run, "lang string, term string, docs long")
     return parts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
 
@@ -151,76 +190,97 @@ class Lookup:
         n = np.maximum(n, 1)
         bucket = np.where(known, self.places[shard] + _buckets(h[:, 0], n), 0)
         at = np.where(known, self.starts[shard] + _slots(h[:, 1], self.moves[bucket], n), 0)
-        same = np.fromiter((a == b for a, b in zip(self.keys[at], found, strict=True)), bool, len(found))
+        same = self.keys[at] == np.array([*found, None], object)[:-1]
         return np.where(known & same, at, -1)
 
 
-def group_counts(docs: DataFrame, shards: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """(lang, source, shard, slot, n): occurrences of the kept terms in each group of docs (lang, source, text as bytes), where there are any.
+#: Counts by group and section, or shard, of the slots.
+_LAYOUT = "lang string, source string, {} int, slots array<int>, n array<long>"
 
-    The index is broadcast if its stored keys take index_bytes at most. A larger one stays where it is, and each task's counts are joined to its terms.
-    """
-    size = shards.agg(F.coalesce(F.sum(F.aggregate("terms", F.lit(0).cast("long"), lambda t, x: t + F.octet_length(x) + 64)), F.lit(0))).head()[0]
-    if size > index_bytes:
-        return _joined_counts(docs, shards)
-    by_lang = defaultdict(list)
-    for r in shards.toLocalIterator():
-        by_lang[r["lang"], r["shards"]].append((r["shard"], r["moves"], r["terms"]))
-    shared = docs.sparkSession.sparkContext.broadcast({lang: Lookup(lang, n, rows) for (lang, n), rows in by_lang.items()})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookups, dense, waiting = shared.value, {}, defaultdict(Counter)
+def _sparse(names: list[tuple[str, str, int]], row: np.ndarray, slot: np.ndarray, n: np.ndarray, unit: str) -> pa.RecordBatch:
+    """A row (lang, source, unit, slots, n) for each of names; row, which rises, deals out slots and n."""
+    ends = pa.array(np.searchsorted(row, np.arange(len(names) + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (slot.astype(np.int32), n)]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(zip(*names, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)), *lists], ["lang", "source", unit, "slots", "n"])
 
-        def count() -> None:
-            for (lang, source), seen in waiting.items():
-                if lang in lookups and seen:
-                    at, n = lookups[lang](list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
-                    slots = dense.setdefault((lang, source), np.zeros(len(lookups[lang].keys), np.int64))
-                    slots[at[at >= 0]] += n[at >= 0]
-            waiting.clear()
 
-        def out() -> Iterator[pd.DataFrame]:
+def section_counts(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """(lang, source, section, slots, n): each task's counts of the kept terms by group, from its dense slots; shared holds the Lookup of each language, and slots are places in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookups, dense, held = shared.value, {}, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), slots in ((k, v) for k, v in dense.items() if v.any()):
                 at = np.flatnonzero(slots)
-                shard = np.searchsorted(lookups[lang].starts + lookups[lang].n, at, side="right")
-                yield pd.DataFrame({"lang": lang, "source": source, "shard": shard, "slot": at - lookups[lang].starts[shard], "n": slots[at]})
+                own, row = np.unique(at * SECTIONS // len(slots), return_inverse=True)
+                yield _sparse([(lang, source, int(x)) for x in own], row, at, slots[at], "section")
             dense.clear()
 
-        for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
-                for found in terms(text):
-                    waiting[lang, source].update(found)
-                if sum(map(len, waiting.values())) > HELD_TERMS:
-                    count()
-                if sum(map(len, dense.values())) > HELD_SLOTS:
-                    yield from out()
-        count()
+        for keys, words, key, word, n in tallies(batches, ["lang", "source"]):
+            ends = np.searchsorted(key, np.arange(len(keys) + 1))
+            of = defaultdict(list)
+            for k, (lang, _) in enumerate(keys):
+                of[lang].append(k)
+            for lang in of.keys() & lookups.keys():
+                own = np.unique(np.concatenate([word[ends[k] : ends[k + 1]] for k in of[lang]]), return_counts=True)[0]
+                place = np.full(len(words), -1)
+                place[own] = lookups[lang](words.take(pa.array(own)).cast(pa.binary()).to_pylist())
+                for k in of[lang]:
+                    at, more = place[word[ends[k] : ends[k + 1]]], n[ends[k] : ends[k + 1]]
+                    if keys[k] not in dense:
+                        dense[keys[k]] = np.zeros(len(lookups[lang].keys), np.int64)
+                        held += len(dense[keys[k]])
+                    dense[keys[k]][at[at >= 0]] += more[at >= 0]
+                    if held > HELD_SLOTS:
+                        yield from out()
+                        held = 0
         yield from out()
 
-    parts = docs.select("lang", "source", "text").mapInPandas(run, "lang string, source string, shard int, slot int, n long")
-    return parts.groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "source", "text").mapInArrow(run, _LAYOUT.format("section"))
 
 
-def _joined_counts(docs: DataFrame, shards: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
+def group_counts(docs: DataFrame, shards: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """(lang, source, shard, slots, n): occurrences of the kept terms in each group of docs (lang, source, text as bytes), where there are any. A group can have several rows a shard; what they count adds up.
 
-        def out() -> Iterator[pd.DataFrame]:
-            for (lang, source), seen in ((k, v) for k, v in held.items() if v):
-                yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode() for t in seen], "n": list(seen.values())})
-            held.clear()
+    The index is broadcast if its stored keys take index_bytes at most. A larger one stays where it is, and each task's counts are joined to its terms. Counts travel as one row a task, group and section of the slots.
+    """
+    size = shards.agg(F.coalesce(F.sum(F.aggregate("terms", F.lit(0).cast("long"), lambda t, x: t + F.octet_length(x) + 64)), F.lit(0))).head()[0]
+    if size > index_bytes:
+        return _joined_counts(docs, shards)
+    by_lang = defaultdict(list)
+    for r in shards.toLocalIterator():
+        by_lang[r["lang"], r["shards"]].append((r["shard"], r["moves"], r["terms"]))
+    lookup = {lang: Lookup(lang, n, rows) for (lang, n), rows in by_lang.items()}
+    shared, ends_of = docs.sparkSession.sparkContext.broadcast(lookup), {lang: x.starts + x.n for lang, x in lookup.items()}
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
-                for found in terms(text):
-                    held[lang, source].update(found)
-                if sum(map(len, held.values())) > HELD_TERMS:
-                    yield from out()
-        yield from out()
+            start = 0
+            for (lang, source, _), own in groupby(zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "section")), strict=True)):
+                size = len(list(own))
+                slots, n = (batch.column(c).slice(start, size).flatten().to_numpy() for c in ("slots", "n"))
+                start, low, ends = start + size, slots.min(), ends_of[lang]
+                sums = np.zeros(slots.max() - low + 1, np.int64)
+                np.add.at(sums, slots - low, n)
+                at = np.flatnonzero(sums)
+                shards, row = np.unique(np.searchsorted(ends, at + low, side="right"), return_inverse=True)
+                yield _sparse([(lang, source, int(x)) for x in shards], row, at + low - np.append(0, ends)[shards][row], sums[at], "shard")
+
+    parts = section_counts(docs, shared).repartition("lang", "source", "section").sortWithinPartitions("lang", "source", "section")
+    return parts.mapInArrow(add, _LAYOUT.format("shard"))
+
+
+def _joined_counts(docs: DataFrame, shards: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, words, key, word, n in tallies(batches, ["lang", "source"]):
+            yield pa.RecordBatch.from_arrays([*_named(keys, key), words.take(pa.array(word)), pa.array(n)], ["lang", "source", "term", "n"])
 
-    parts = docs.select("lang", "source", "text").mapInPandas(run, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    parts = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     keys = shards.select("lang", "shard", F.posexplode("terms").alias("slot", "term"))
-    return parts.join(keys, ["lang", "term"]).select("lang", "source", "shard", "slot", "n")
+    found = parts.join(keys, ["lang", "term"]).groupBy("lang", "source", "shard").agg(F.collect_list(F.struct("slot", "n")).alias("c"))
+    return found.select("lang", "source", "shard", F.col("c.slot").alias("slots"), F.col("c.n").alias("n"))
 
 
 def rates(counts: np.ndarray, totals: np.ndarray, kept: int) -> np.ndarray:
@@ -251,13 +311,14 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     kept = materialize(document_counts(rows).where(F.col("docs") >= min_docs).select("lang", "term"), "divergence-kept")
     shards = index(kept)
     counts = materialize(group_counts(rows, shards, index_bytes), "divergence-counts")
-    groups = materialize(rows.select("lang", "source").distinct().join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").fillna(0, ["total"]), "divergence-groups")
+    groups = materialize(rows.select("lang", "source").distinct().join(counts.groupBy("lang", "source").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda t, x: t + x)).alias("total")), ["lang", "source"], "left").fillna(0, ["total"]), "divergence-groups")
     sources = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("of"))
     sources = sources.join(shards.groupBy("lang").agg(F.sum(F.size("terms")).alias("kept")), "lang").select("lang", "kept", F.col("of.source").alias("sources"), F.col("of.total").alias("totals"))
     sources = materialize(sources, "divergence-sources")
-    packed = counts.groupBy("lang", "shard").agg(F.collect_list(F.struct("source", "slot", "n")).alias("c"))
+    packed = counts.groupBy("lang", "shard").agg(F.collect_list(F.struct("source", "slots", "n")).alias("c"))
     packed = packed.join(shards.select("lang", "shard", "terms"), ["lang", "shard"])
-    packed = join_stored(packed, sources, ["lang"], items=F.size("sources")).select("lang", "kept", "sources", "totals", "terms", F.col("c.source").alias("source"), F.col("c.slot").alias("slot"), F.col("c.n").alias("n"))
+    packed = join_stored(packed, sources, ["lang"], items=F.size("sources"))
+    packed = packed.select("lang", "kept", "sources", "totals", "terms", F.col("c.source").alias("source"), F.transform("c.n", F.size).alias("sizes"), F.flatten("c.slots").alias("slot"), F.flatten("c.n").alias("n"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         between: dict[str, tuple[list[str], np.ndarray]] = {}
@@ -273,7 +334,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
                 names, totals = list(row.sources), np.asarray(row.totals, np.int64)
                 grid = np.zeros((len(names), len(row.terms)), np.int64)
                 place = {name: i for i, name in enumerate(names)}
-                grid[np.fromiter(map(place.__getitem__, row.source), np.int64, len(row.source)), row.slot] = row.n
+                np.add.at(grid, (np.repeat([place[name] for name in row.source], row.sizes), row.slot), row.n)
                 p = rates(grid, totals, int(row.kept))
                 q = rates(grid.sum(0, keepdims=True), totals.sum(keepdims=True), int(row.kept))
                 _, value = between.setdefault(row.lang, (names, np.zeros((len(names), len(names)), np.int64)))

@@ -2,7 +2,9 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cytomix.llm import divergence as D
 from cytomix.llm.common import runs
@@ -92,3 +94,29 @@ def test_runs_keep_words_whole():
     text = b"ab cde\tf\ng " * 50 + b"x" * 100 + b" y"
     for size in (1, 7, 64, 10_000):
         assert b"".join(runs(text, size)) == text and [w for r in runs(text, size) for w in r.split()] == text.split()
+
+
+def test_tallies_count_each_pair_once_a_run(monkeypatch):
+    texts = [("x", "Ab ab_cd\x00É", 1), ("y", None, 2), ("x", "", 3), ("x", "ab 12 ab", 4), ("y", "日本 ab " * 40, 5)]
+    batch = pa.RecordBatch.from_pylist([{"lang": lang, "text": (text or "").encode()} for lang, text, _ in texts])
+    for held in (1, 4, 1000):
+        monkeypatch.setattr(D, "HELD_TERMS", held)
+        for once in (False, True):
+            got = Counter()
+            for keys, words, key, word, n in D.tallies(iter([batch]), ["lang"], once):
+                pairs = [(keys[k][0], words[w].as_py()) for k, w in zip(key, word, strict=True)]
+                assert len(pairs) == len(set(pairs)) and list(key) == sorted(key)
+                got.update(dict(zip(pairs, n.tolist(), strict=True)))
+            assert got == Counter((lang, w) for lang, text, _ in texts for w in (set(found(text)) if once else found(text)))
+
+
+def test_rows_handed_on_do_not_grow_with_tasks_times_terms(spark, monkeypatch):
+    monkeypatch.setattr(D, "SHARD", 4)
+    monkeypatch.setattr(D, "SECTIONS", 3)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    docs = spark.createDataFrame([("en", "ab"[i % 2], " ".join(words).encode()) for i in range(40)], "lang string, source string, text binary").repartition(4)
+    shards = D.index(spark.createDataFrame([("en", w) for w in words], "lang string, term string"))
+    index = D.Lookup("en", 100, [(r["shard"], r["moves"], r["terms"]) for r in shards.collect()])
+    assert D.section_counts(docs, spark.sparkContext.broadcast({"en": index})).count() <= 4 * 2 * 3
+    got = D.group_counts(docs, shards).select("source", "shard", F.explode(F.arrays_zip("slots", "n")).alias("c")).groupBy("source", "shard", "c.slots").agg(F.sum("c.n").alias("n")).collect()
+    assert len(got) == 2 * len(words) and {r["n"] for r in got} == {20}
