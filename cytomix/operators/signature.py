@@ -72,7 +72,8 @@ def range_flags(signature: DataFrame) -> DataFrame:
 def dispersion(cells: DataFrame, n_bins: int = 20) -> DataFrame:
     """(gene, mean, disp, bin, disp_norm): log dispersion of linear expression, standardised within equal-width bins of the log mean.
 
-    Bins are closed on the right and the lowest edge reaches 0.1% further. A bin's single gene has its own dispersion as spread and a mean of zero.
+    Bins are closed on the right and the lowest edge reaches 0.1% further. A bin's single gene has its own dispersion as spread and a mean of zero. A bin's two genes lie at the root of a half, above and below,
+    whatever their dispersions; that is written as such, so that the genes of several such bins tie exactly instead of by rounding.
     """
     return dispersion_of(cells.groupBy("gene").agg(F.avg(F.expm1("x")).alias("m"), F.var_pop(F.expm1("x")).alias("v")), n_bins)
 
@@ -84,11 +85,14 @@ def dispersion_of(stats: DataFrame, n_bins: int = 20) -> DataFrame:
     ends = stats.agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
     place = F.ceil((F.col("mean") - F.col("lo")) / F.nullif((F.col("hi") - F.col("lo")) / n_bins, F.lit(0.0)))
     binned = stats.join(ends).withColumn("bin", F.least(F.greatest(F.coalesce(place, F.lit(1)), F.lit(1)), F.lit(n_bins)).cast("int"))
-    in_bin = binned.groupBy("bin").agg(F.avg("disp").alias("a"), F.stddev_samp("disp").alias("s"))
+    in_bin = binned.groupBy("bin").agg(F.avg("disp").alias("a"), F.stddev_samp("disp").alias("s"), F.count("disp").alias("n"), F.min("disp").alias("low"), F.max("disp").alias("high"))
     out = binned.join(in_bin, "bin")
     single = F.col("s").isNull()
     norm = (F.col("disp") - F.when(single, 0.0).otherwise(F.col("a"))) / F.nullif(F.when(single, F.col("a")).otherwise(F.col("s")), F.lit(0.0))
-    return out.select("gene", "mean", "disp", "bin", norm.alias("disp_norm"))
+    gap = F.col("high") - F.col("low")
+    two = (F.col("n") == 2) & (gap > 0) & (gap < float("inf"))  # of different, finite dispersions
+    side = F.signum((F.col("disp") - F.col("low")) - (F.col("high") - F.col("disp")))
+    return out.select("gene", "mean", "disp", "bin", F.when(two, side * 0.5**0.5).otherwise(norm).alias("disp_norm"))
 
 
 def top_variable(disp: DataFrame, n: int) -> DataFrame:

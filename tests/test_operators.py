@@ -1,11 +1,14 @@
+import decimal
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cytomix.functions import special
 from cytomix.operators import bulk, model, signature, states, variational
+from cytomix.plans import catalog
 from cytomix.sources import tables
 
 
@@ -145,3 +148,41 @@ def test_an_annealed_fit_ends_with_the_last_sum(spark):
     for method in ("blocks", "joint"):
         alpha = variational.fit_model(bulk, signature, reps=1, iterations=2, inner=3, tolerance=0.0, temperature=(50.0, 8.0), method=method)["alpha"]
         assert all(abs(r.total - 8.0) < 1e-6 for r in alpha.groupBy("sample").agg(F.sum("alpha").alias("total")).collect())
+
+
+def test_genes_of_bins_of_two_tie_exactly(spark):
+    """Two genes of a bin are standardised to plus and minus the root of a half, and genes that tie across bins are taken by name; a bin's missing, equal and infinite dispersions stay as they were."""
+    rng = np.random.default_rng(5)
+    means = np.expm1(np.repeat(np.arange(20), 2) / 10 + np.tile((0.03, 0.06), 20) + 0.1)
+    means[0], means[-1] = np.expm1(0.1), np.expm1(2.1)  # so that a bin is 0.1 wide
+    genes = rng.permutation(40).tolist()
+    rows = [(g, float(m), float(m * np.exp(d))) for g, m, d in zip(genes, means, rng.normal(1, 1e-3, 40), strict=True)]
+    disp = signature.dispersion_of(spark.createDataFrame(rows, "gene int, m double, v double"))
+    got = disp.toPandas()
+    assert (got.groupby("bin").size() == 2).all() and set(got.disp_norm) == {-math.sqrt(0.5), math.sqrt(0.5)}
+    assert (got.loc[got.groupby("bin").disp.idxmax()].disp_norm > 0).all()
+    assert [r.gene for r in signature.top_variable(disp, 7).collect()] == sorted(got.gene[got.disp_norm > 0])[:7]
+    odd = [(0, 1.0, 2.0), (1, 1.0, 3.0), (2, 1.0, 0.0), (3, 9.0, 9.0), (4, 9.0, 9.0), (5, 99.0, 9.0), (6, 99.0, math.inf)]
+    norm = {r.gene: r.disp_norm for r in signature.dispersion_of(spark.createDataFrame(odd, "gene int, m double, v double")).collect()}
+    assert norm[0] == -math.sqrt(0.5) and norm[1] == math.sqrt(0.5) and norm[2] is norm[3] is norm[4] is None and math.isnan(norm[5]) and math.isnan(norm[6])
+
+
+def test_variable_genes_are_those_of_exact_arithmetic(spark):
+    """Five genes of sf0.1 lie at the root of a half and four of them are taken: exp(ln(1 + 10 |e|)) - 1 is 10 |e|, so the order can be had from the components in whole numbers."""
+    got = {r.gene for r in catalog.queries()["hvg_centroids"](spark, "/root/testdata/sf0.1").collect()}
+    e = np.stack(pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet", columns=["embedding"])["embedding"]).astype(float)
+    whole = [[int(x) for x in np.abs(column) * 2.0**60] for column in e.T]  # floats of 24 bits: lossless from 2^-36 on, and nearly so below
+    with decimal.localcontext(prec=60):
+        mean = [decimal.Decimal(10 * sum(c)) / len(c) / 2**60 for c in whole]
+        ratio = [(decimal.Decimal(100 * sum(x * x for x in c)) / len(c) / 2**120 - m * m) / m for c, m in zip(whole, mean, strict=True)]
+        at, disp = [(1 + m).ln() for m in mean], [r.ln() for r in ratio]
+        width = (max(at) - min(at)) / 20
+        bins = [min(max(math.ceil((a - min(at)) / width), 1), 20) for a in at]
+        norm = []
+        for b, d in zip(bins, disp, strict=True):
+            own = [x for x, y in zip(disp, bins, strict=True) if y == b]
+            centre = sum(own) / len(own)
+            norm.append(decimal.Decimal(1) if len(own) == 1 else (d - centre) / (sum((x - centre) ** 2 for x in own) / (len(own) - 1)).sqrt())
+        assert sum(abs(n - decimal.Decimal("0.5").sqrt()) < decimal.Decimal("1e-30") for n in norm) == 5
+        want = sorted(range(len(norm)), key=lambda g: (-round(norm[g], 30), g))[:20]
+    assert got == set(want)
